@@ -66,36 +66,49 @@ def top_entries(read: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(tagged), 1, k), lambda e: _entry(e["style"], e["score"]))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _mass(read: Column) -> Column:
+    return F.aggregate(read, F.lit(0.0), lambda a, e: a + e["score"])
+
+
 def adjust(read: Column, steps: Column, drops: Column, k: int = READ_LENGTH) -> Column:
     """The read after its hand adjustments, renormalised over the kept entries.
 
     Drops leave first; a raised style below the entry share of the remaining mass
     enters at that share; scores scale by their step; the k best are renormalised.
     """
-    steps = F.coalesce(steps, F.create_map().cast("map<string,int>"))
-    gone = surviving_drops(read, drops)
     scored = F.transform(
         F.filter(read, lambda e: F.coalesce(e["style"], F.lit("")) != ""),
         lambda e: _entry(e["style"], F.greatest(F.lit(0.0), F.coalesce(e["score"], F.lit(0.0)))),
     )
-    left = F.filter(scored, lambda e: ~F.array_contains(gone, e["style"]))
-    live = F.map_filter(steps, lambda s, v: (clamp_step(v) != 0) & ~F.array_contains(gone, s))
-    entry = F.aggregate(left, F.lit(0.0), lambda a, e: a + e["score"]) * ENTRY_FRACTION
-    step_of = lambda s: F.coalesce(F.try_element_at(live, s), F.lit(0))
-    lifted = F.transform(
-        left,
-        lambda e: _entry(e["style"], F.when((clamp_step(step_of(e["style"])) > 0) & (e["score"] < entry), entry).otherwise(e["score"])),
+    wanted = F.transform_values(
+        F.coalesce(steps, F.create_map().cast("map<string,int>")), lambda s, v: clamp_step(v)
     )
-    known = F.transform(left, lambda e: e["style"])
-    fresh = F.transform(
-        F.filter(F.map_entries(live), lambda kv: (clamp_step(kv["value"]) > 0) & ~F.array_contains(known, kv["key"])),
-        lambda kv: _entry(kv["key"], entry),
-    )
-    scaled = F.transform(F.concat(lifted, fresh), lambda e: _entry(e["style"], e["score"] * multiplier(step_of(e["style"]))))
-    best = top_entries(scaled, k)
-    kept = F.aggregate(best, F.lit(0.0), lambda a, e: a + e["score"])
-    total = F.aggregate(scaled, F.lit(0.0), lambda a, e: a + e["score"])
-    return F.when(total > 0, F.transform(best, lambda e: _entry(e["style"], F.bround(e["score"] / kept, 4)))).otherwise(_empty())
+
+    def kept(gone: Column) -> Column:
+        return F.struct(
+            F.filter(scored, lambda e: ~F.array_contains(gone, e["style"])).alias("read"),
+            F.map_filter(wanted, lambda s, v: (v != 0) & ~F.array_contains(gone, s)).alias("steps"),
+        )
+
+    def scale(p: Column, entry: Column) -> Column:
+        step_of = lambda s: F.coalesce(F.try_element_at(p["steps"], s), F.lit(0))
+        names = F.transform(p["read"], lambda e: e["style"])
+        heard = F.transform(p["read"], lambda e: let(step_of(e["style"]), lambda n: _entry(
+            e["style"], F.when((n > 0) & (e["score"] < entry), entry).otherwise(e["score"]) * F.pow(F.lit(STEP_SCALE), n))))
+        fresh = F.filter(F.map_entries(p["steps"]), lambda kv: (kv["value"] > 0) & ~F.array_contains(names, kv["key"]))
+        return F.concat(heard, F.transform(fresh, lambda kv: _entry(kv["key"], entry * F.pow(F.lit(STEP_SCALE), kv["value"]))))
+
+    def finish(scaled: Column) -> Column:
+        best = lambda b: let(_mass(b), lambda m: F.transform(b, lambda e: _entry(e["style"], F.bround(e["score"] / m, 4))))
+        return F.when(_mass(scaled) > 0, let(top_entries(scaled, k), best)).otherwise(_empty())
+
+    return let(surviving_drops(read, drops), lambda gone: let(
+        kept(gone), lambda p: let(_mass(p["read"]) * ENTRY_FRACTION, lambda entry: let(scale(p, entry), finish))))
 
 
 def filled(read: Column) -> Column:
@@ -111,25 +124,39 @@ def base_read(relabel: Column, salience: Column, styles: Column) -> Column:
 def adjusted_read(relabel: Column, salience: Column, styles: Column, steps: Column, drops: Column) -> Column:
     """The hand-adjusted blend, or null without adjustments."""
     touched = (F.coalesce(F.size(steps), F.lit(0)) > 0) | (F.coalesce(F.size(drops), F.lit(0)) > 0)
-    return F.when(touched, filled(adjust(base_read(relabel, salience, styles), steps, drops)))
+    blend = let(base_read(relabel, salience, styles), lambda base: let(adjust(base, steps, drops), filled))
+    return F.when(touched, blend)
 
 
 def identity(override: Column, relabel: Column, salience: Column, styles: Column, steps: Column, drops: Column) -> Column:
     """``struct(style, score, source, read)``: override, weights, relabel, salience, styles."""
-    forced = F.when(F.coalesce(override, F.lit("")) != "", F.array(_entry(override, F.lit(1.0))))
-    blend = adjusted_read(relabel, salience, styles, steps, drops)
-    read = F.coalesce(forced, blend, base_read(relabel, salience, styles))
-    source = (
-        F.when(forced.isNotNull(), "override").when(blend.isNotNull(), "weights")
-        .when(filled(relabel).isNotNull(), "relabel").when(filled(salience).isNotNull(), "salience")
-        .when(filled(styles).isNotNull(), "styles")
-    )
-    top = F.try_element_at(read, F.lit(1))
+
+    def answer(blend: Column) -> Column:
+        forced = F.when(F.coalesce(override, F.lit("")) != "", F.array(_entry(override, F.lit(1.0))))
+        read = F.coalesce(forced, blend, base_read(relabel, salience, styles))
+        source = (
+            F.when(forced.isNotNull(), "override").when(blend.isNotNull(), "weights")
+            .when(filled(relabel).isNotNull(), "relabel").when(filled(salience).isNotNull(), "salience")
+            .when(filled(styles).isNotNull(), "styles")
+        )
+        return let(read, lambda r: F.struct(
+            F.try_element_at(r, F.lit(1))["style"].alias("style"),
+            F.coalesce(F.bround(F.try_element_at(r, F.lit(1))["score"], 4), F.lit(0.0)).alias("score"),
+            source.alias("source"),
+            r.alias("read"),
+        ))
+
+    return let(adjusted_read(relabel, salience, styles, steps, drops), answer)
+
+
+def identity_fields(ident: Column, base: Column, tag_text: Column, tag_key: Column, shown_key: Column, top: int = READ_LENGTH) -> Column:
+    """What a view shows beside the identity: its read, the model's own read under an override, the tag's opinion."""
+    agrees = F.when(tag_key.isNotNull() & shown_key.isNotNull(), tag_key == shown_key)
     return F.struct(
-        top["style"].alias("style"),
-        F.coalesce(F.bround(top["score"], 4), F.lit(0.0)).alias("score"),
-        source.alias("source"),
-        read.alias("read"),
+        ident["style"].alias("dominant_style"), ident["score"].alias("dominant_score"), ident["source"].alias("dominant_source"),
+        F.slice(ident["read"], 1, top).alias("dominant_read"),
+        F.when(ident["source"] == "override", F.slice(base, 1, top)).alias("model_read"),
+        F.when(F.coalesce(F.trim(tag_text), F.lit("")) != "", F.struct(tag_text.alias("text"), tag_key.alias("keystone"), agrees.alias("agrees"))).alias("file_tag"),
     )
 
 

@@ -161,13 +161,13 @@ def clean_weight(weight: Column) -> Column:
     return F.when(w.isNull(), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), w)))
 
 
-def import_vibes(existing: DataFrame, incoming: DataFrame, at: str = "updated") -> tuple[DataFrame, DataFrame]:
+def import_vibes(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged members, counts) of a vibe import matched by name.
 
     ``existing`` is (name, hash, weight); ``incoming`` is (name, pos, hash, weight).
     """
     clean = incoming.withColumn("name", F.trim("name")).where(F.coalesce("name", F.lit("")) != "")
-    links = clean.where(F.coalesce("hash", F.lit("")) != "").select("name", "hash", clean_weight(F.col("weight")).alias("weight"), "pos")
+    links = clean.where(F.coalesce(F.col("hash").cast("string"), F.lit("")) != "").select("name", "hash", clean_weight(F.col("weight")).alias("weight"), "pos")
     latest = links.groupBy("name", "hash").agg(F.max_by("weight", "pos").alias("weight"))
     kept = existing.where(F.col("hash").isNotNull()).join(latest.select("name", "hash"), ["name", "hash"], "left_anti")
     names = clean.groupBy("name").agg(F.lit(1).alias("one")).join(

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..plans.guards import fetch_bounded
 
 MAX_CELLS = 4096
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -213,7 +212,12 @@ def similarity_graph(neighbours: DataFrame, key: str) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.round(F.max("sim"), 3).alias("sim"))
 
 
-def neighbour_verdict(neighbours: DataFrame, own: DataFrame, styles: DataFrame, key: str) -> DataFrame:
+BOUNDS = (CONF_MAX, AGREE_MIN, SIM_MIN)
+
+
+def neighbour_verdict(
+    neighbours: DataFrame, own: DataFrame, styles: DataFrame, key: str, bounds: tuple[float, float, float] = BOUNDS
+) -> DataFrame:
     """Vote of a kNN table on each row's family.
 
     ``own`` is (key, style, family, confidence), ``styles`` is (key, style, family)
@@ -241,19 +245,20 @@ def neighbour_verdict(neighbours: DataFrame, own: DataFrame, styles: DataFrame,
         F.bround(agree, 3).alias("agreement"),
         F.bround("top", 3).alias("top_sim"),
         (
-            (F.col("confidence") < CONF_MAX) & (F.col("win.nfamily") != F.col("family"))
-            & (agree >= AGREE_MIN) & (F.col("top") >= SIM_MIN)
+            (F.col("confidence") < bounds[0]) & (F.col("win.nfamily") != F.col("family"))
+            & (agree >= bounds[1]) & (F.col("top") >= bounds[2])
         ).alias("flag"),
     )
 
 
-def misread_audit(tracks: DataFrame, key: str, vec: str, k: int = NEIGHBOURS, sim_min: float | None = None, **options) -> DataFrame:
+def misread_audit(
+    tracks: DataFrame, key: str, vec: str, k: int = NEIGHBOURS, bounds: tuple[float, float, float] = BOUNDS, **options
+) -> DataFrame:
     """Flagged tracks of (key, vec, style, family, confidence); nothing below four rows."""
-    if fetch_bounded(tracks.select(key), 3) is not None:
-        return neighbour_verdict(knn_join(tracks.limit(0), key, vec, k), tracks, tracks, key)
+    enough = tracks.where(F.col(vec).isNotNull()).limit(4).agg((F.count(F.lit(1)) >= 4).alias("ok")).select("ok").scalar()
     near = knn_join(tracks, key, vec, k, eps=1e-9, **options)
-    verdict = neighbour_verdict(near, tracks.drop(vec), tracks.select(key, "style", "family"), key)
-    return verdict.where("flag")
+    verdict = neighbour_verdict(near, tracks.drop(vec), tracks.select(key, "style", "family"), key, bounds)
+    return verdict.where("flag").where(enough)
 
 
 def check_one(vector: list[float], style: str, family: str, confidence: float, tracks: DataFrame, key: str, vec: str, k: int = NEIGHBOURS) -> DataFrame:

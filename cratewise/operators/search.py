@@ -191,10 +191,10 @@ def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     wide = untimed.select("camelot", F.explode(music.compatible_codes(F.col("camelot"))).alias("camelot2")).join(reach, "camelot2").groupBy(
         "camelot"
     ).agg(F.sum("all").alias("any_bpm"), F.coalesce(F.sum("nobpm"), F.lit(0)).alias("unknown"))
-    scored = cells.join(wide, "camelot").join(timed_hits.withColumnRenamed("bpm", "_b"), (F.col("bpm").eqNullSafe(F.col("_b"))) & (
-        cells["camelot"] == timed_hits["camelot"]), "left").select(
-        cells["camelot"], cells["bpm"],
-        (F.when(cells["bpm"].isNull(), F.col("any_bpm")).otherwise(F.coalesce("hits", F.lit(0)) + F.col("unknown")) - 1).alias("partners"),
+    timed_hits = timed_hits.select(F.col("camelot").alias("_c"), F.col("bpm").alias("_b"), "hits")
+    scored = cells.join(wide, "camelot").join(timed_hits, (F.col("camelot") == F.col("_c")) & (F.col("bpm") == F.col("_b")), "left").select(
+        "camelot", "bpm",
+        (F.when(F.col("bpm").isNull(), F.col("any_bpm")).otherwise(F.coalesce("hits", F.lit(0)) + F.col("unknown")) - 1).alias("partners"),
     )
     per_cell = scored.select(F.col("camelot").alias("_k"), F.col("bpm").alias("_b"), "partners")
     return tracks.join(per_cell, (F.col("camelot") == F.col("_k")) & F.col("bpm").eqNullSafe(F.col("_b")), "left").select(
