@@ -98,7 +98,7 @@ def override_state(spark, d):
     return E.override_state(e, "user_id")
 
 
-ADJUST = """s AS (SELECT user_id, max(event_id) FILTER (event_type = 'view') AS sat, arg_max((value // 10)::INT - 2, event_id) FILTER (event_type = 'view') AS house FROM events GROUP BY 1),
+ADJUST = """s AS (SELECT user_id, max(event_id) FILTER (event_type = 'view') AS sat, arg_max(floor(value / 10)::INT - 2, event_id) FILTER (event_type = 'view') AS house FROM events GROUP BY 1),
 dr AS (SELECT user_id, max(event_id) FILTER (event_type = 'click' AND value > 30) AS dat, max(event_id) FILTER (event_type = 'click') AS lastd FROM events GROUP BY 1)"""
 
 

@@ -38,9 +38,9 @@ def normalise_genres(names: DataFrame, name: str, styles: DataFrame, parents: Da
     first-seen spelling by ``order``.
     """
     raw = T.squeeze(F.coalesce(F.col(name), F.lit("")))
-    distinct = names.groupBy(name).agg(F.min(order).alias("_o")).withColumn("raw", raw)
-    bare = F.trim(F.regexp_replace("raw", r"\s*\([^)]*\)\s*", " "))
-    whole = F.array_distinct(F.filter(F.array(F.col("raw"), bare), lambda t: t != ""))
+    distinct = names.groupBy(name).agg(F.min(order).alias("_o")).withColumn("_raw", raw)
+    bare = F.trim(F.regexp_replace("_raw", r"\s*\([^)]*\)\s*", " "))
+    whole = F.array_distinct(F.filter(F.array(F.col("_raw"), bare), lambda t: t != ""))
     halves = F.flatten(F.transform(F.filter(whole, lambda t: t.contains("/")), lambda t: F.transform(F.split(t, "/"), lambda h: F.trim(h))))
     low = F.transform(F.filter(F.concat(whole, halves), lambda t: t != ""), lambda t: F.lower(t))
     tries = distinct.select(name, F.posexplode(low).alias("p", "t")).select(
@@ -48,12 +48,12 @@ def normalise_genres(names: DataFrame, name: str, styles: DataFrame, parents: Da
     )
     best = lambda dim, out: tries.join(dim, "k").groupBy(name).agg(F.min_by("genre", F.struct("p", "v")).alias(out))
     spelled = distinct.join(best(styles, "_s"), name, "left").join(best(parents, "_p"), name, "left")
-    other = spelled.groupBy(F.lower("raw").alias("_low")).agg(F.min_by("raw", "_o").alias("_first"))
-    empty = (F.col("raw") == "") | F.col("raw").rlike(r"^\(?\d+\)?$")
-    return spelled.join(other, F.lower("raw") == F.col("_low"), "left").select(
+    other = spelled.groupBy(F.lower("_raw").alias("_low")).agg(F.min_by("_raw", "_o").alias("_first"))
+    empty = (F.col("_raw") == "") | F.col("_raw").rlike(r"^\(?\d+\)?$")
+    return spelled.join(other, F.lower("_raw") == F.col("_low"), "left").select(
         name,
-        F.when(empty | T.is_umbrella(F.col("raw")), None).otherwise(F.coalesce("_s", "_p", "_first")).alias("genre"),
-        F.when(empty, None).when(T.is_umbrella(F.col("raw")), "umbrella").when(F.col("_s").isNotNull(), "style")
+        F.when(empty | T.is_umbrella(F.col("_raw")), None).otherwise(F.coalesce("_s", "_p", "_first")).alias("genre"),
+        F.when(empty, None).when(T.is_umbrella(F.col("_raw")), "umbrella").when(F.col("_s").isNotNull(), "style")
         .when(F.col("_p").isNotNull(), "parent").otherwise("other").alias("kind"),
     )
 

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.guards import cut_lineage
 from ..plans.ranks import group_rank
 
 READ_LENGTH = 8
@@ -129,7 +130,8 @@ def _features(df: DataFrame, vec: str) -> DataFrame:
 
 def cross_validate(tracks: DataFrame, key: str, vec: str, label: str, folds: int = 5, seed: int = 0, max_iter: int = 100) -> DataFrame:
     """(key, label, fold, prediction) of a class-balanced logistic head, each row scored unseen (M7)."""
-    rows, names = _labelled(assign_folds(tracks, key, label, folds, seed), label)
+    # Every fold reads the same written rows, so folds are assigned once.
+    rows, names = _labelled(cut_lineage(assign_folds(tracks.select(key, vec, label), key, label, folds, seed)), label)
     rows = _features(rows, vec)
     labels = F.array(*[F.lit(n) for n in names])
     head = Pipeline(stages=[
@@ -154,7 +156,7 @@ def train_head(frames: DataFrame, key: str, vec: str, label: str, hidden: int =
     averaged per track before the class is chosen.
     """
     tracks = stratified_split(frames.select(key, label).distinct(), key, label, seed=seed)
-    rows, names = _labelled(frames.join(tracks.select(key, "validation"), key), label)
+    rows, names = _labelled(cut_lineage(frames.select(key, vec, label).join(tracks.select(key, "validation"), key)), label)
     rows = _features(rows, vec)
     dim = rows.agg(F.max(F.size(vec))).first()[0]
     head = Pipeline(stages=[
@@ -162,8 +164,6 @@ def train_head(frames: DataFrame, key: str, vec: str, label: str, hidden: int =
         MultilayerPerceptronClassifier(featuresCol="_s", labelCol="_y", layers=[dim, hidden, len(names)], maxIter=max_iter, seed=seed, probabilityCol="_q"),
     ])
     model = head.fit(rows.where(~F.col("validation")))
-    from pyspark.ml.functions import vector_to_array
-
     probs = model.transform(rows.where("validation")).select(key, label, F.posexplode(vector_to_array("_q")).alias("i", "p"))
     means = probs.groupBy(key, label, "i").agg(F.avg("p").alias("p"))
     best = means.groupBy(key, label).agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("i"))
@@ -179,8 +179,7 @@ def class_report(predictions: DataFrame, label: str = "label", prediction: str =
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     p, r = ratio(F.col("hits"), F.col("called")), ratio(F.col("hits"), F.col("support"))
     return truth.join(called, "class", "left").select(
-        "class", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
-        F.round(ratio(2 * p * r, p + r), 6).alias("f1"), "support", "hits",
+        "class", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support", "hits",
     )
 
 

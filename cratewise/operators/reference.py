@@ -118,8 +118,8 @@ def field_coverage(records: DataFrame, columns: list[str] | None = None) -> Data
 def graph_depth(edges: DataFrame, root, max_depth: int = DEPTH_LIMIT) -> DataFrame:
     """(node, depth): shortest distance from ``root`` down (child, parent) edges; cycles end.
 
-    One frontier join per level. Lineage is cut every few levels, and only newly
-    reached nodes enter the next join.
+    One frontier join per level, each level written out, so only newly reached
+    nodes enter the next join and no level is worked out twice.
     """
     kind = edges.schema["child"].dataType
     seen = edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth"))
@@ -130,10 +130,7 @@ def graph_depth(edges: DataFrame, root, max_depth: int = DEPTH_LIMIT) -> DataFra
         fresh = cut_lineage(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if fresh.isEmpty():
             break
-        seen = seen.unionByName(fresh)
-        if level % 4 == 0:
-            seen = cut_lineage(seen)
-        frontier = fresh
+        seen, frontier = seen.unionByName(fresh), fresh
     return seen
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import fold_and, squeeze
+from ..plans.guards import cut_lineage
 
 GRAPH_DEPTH = 5
 
@@ -133,24 +134,32 @@ def graph_keystones(genres: DataFrame, overlay: Overlay = Overlay(), depth: int
     )
     names = own.unionByName(aliases)
     edges = first.select(F.col("canon").alias("node"), F.posexplode("parents").alias("pos", "p")).select(
-        "node", "pos", "p", low("p").alias("pn")
+        "node", "pos", F.trim("p").alias("p"), low("p").alias("pn")
+    )
+    # Parents and canonical names are resolved once each, not once per path that meets them.
+    wanted = edges.select("p").union(own.select("canon")).distinct()
+    answers = cut_lineage(wanted.withColumn("keystone", keystone(F.col("p"), overlay)))
+    edges = cut_lineage(edges.join(answers, "p").select("node", "pos", "pn", "keystone"))
+    names = cut_lineage(names)
+    canon = names.where(F.col("name") != F.col("canon")).join(answers.withColumnRenamed("p", "canon"), "canon").where("keystone is not null")
+    done = canon.select("name", "keystone")
+    frontier = names.join(done.select("name"), "name", "left_anti").select(
+        "name", F.col("canon").alias("node"), F.array().cast("array<int>").alias("path")
     )
-    resolved = names.withColumn("keystone", F.when(F.col("canon") != F.col("name"), keystone(F.col("canon"), overlay)))
-    frontier = resolved.where(F.col("keystone").isNull()).select("name", F.col("canon").alias("node"), F.array().cast("array<int>").alias("path"))
     seen = frontier.select("name", F.col("name").alias("pn")).union(frontier.select("name", "node")).distinct()
-    done = resolved.where(F.col("keystone").isNotNull()).select("name", "keystone")
     links = names.select(F.col("name").alias("pn"), F.col("canon").alias("next"))
     for _ in range(depth):
         steps = frontier.join(edges, "node").join(seen, ["name", "pn"], "left_anti")
-        steps = steps.select("name", "pn", "p", F.concat("path", F.array("pos")).alias("path"))
-        steps = steps.groupBy("name", "pn").agg(F.min_by("p", "path").alias("p"), F.min("path").alias("path"))
-        steps = steps.withColumn("keystone", keystone(F.col("p"), overlay))
+        steps = cut_lineage(
+            steps.withColumn("path", F.concat("path", F.array("pos"))).groupBy("name", "pn")
+            .agg(F.min("path").alias("path"), F.max("keystone").alias("keystone"))
+        )
+        if steps.isEmpty():
+            break
         hits = steps.where(F.col("keystone").isNotNull()).groupBy("name").agg(F.min_by("keystone", "path").alias("keystone"))
         done = done.unionByName(hits)
         seen = seen.unionByName(steps.select("name", "pn"))
-        frontier = (
-            steps.join(hits.select("name"), "name", "left_anti").join(links, "pn").select("name", F.col("next").alias("node"), "path")
-        )
+        frontier = steps.join(hits.select("name"), "name", "left_anti").join(links, "pn").select("name", F.col("next").alias("node"), "path")
     return done
 
 

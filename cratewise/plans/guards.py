@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side that is ever shipped whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting (tests) gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cratewise-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder the cluster names.
+    """``df`` written once as a table in the shared folder and read back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without
-    that setting (tests) gets a temporary folder of its own.
+    One job, unlike an eager checkpoint, and a lost executor re-reads files
+    instead of replaying every earlier round.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="cratewise-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{_scratch(spark)}/cratewise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fetch_bounded(df: DataFrame, limit: int) -> list | None:

@@ -125,10 +125,12 @@ def collection_xml(entries: DataFrame, ratings: DataFrame, playlists: DataFrame,
         *[at(4, zero + i, F.lit(s)) for i, s in enumerate(["</NODE>", "</NODE>", "</PLAYLISTS>", "</DJ_PLAYLISTS>"])],
     ]
     outer = counts.select("id", F.explode(F.array(*frame)).alias("l")).select("id", "l.part", "l.pos", "l.line").where(F.col("line").isNotNull())
-    rows = body.select("id", F.lit(1).alias("part"), F.col("track_id").alias("pos"), "line")
-    refs = body.select("id", F.lit(3).alias("part"), F.col("track_id").alias("pos"), F.concat(F.lit("<TRACK "), _attr("Key", F.col("track_id")), F.lit("/>")).alias("line"))
+    ref = F.concat(F.lit("<TRACK "), _attr("Key", F.col("track_id")), F.lit("/>"))
+    inner = body.select("id", F.explode(F.array(
+        at(1, F.col("track_id"), F.col("line")), at(3, F.col("track_id"), ref)
+    )).alias("l")).select("id", "l.part", "l.pos", "l.line")
     width = 1 << 40
-    return outer.unionByName(rows).unionByName(refs).select("id", (F.col("part") * width + F.col("pos")).alias("pos"), "line")
+    return outer.unionByName(inner).select("id", (F.col("part") * width + F.col("pos")).alias("pos"), "line")
 
 
 def vibe_rows(vibes: DataFrame, members: DataFrame) -> DataFrame:
