@@ -1,11 +1,16 @@
-"""Exact ranks and order statistics that never sort one group in one task.
+"""Exact ranks and order statistics that never sort one huge group in one task.
 
 A plain ``row_number() over (partition by group order by ...)`` puts a whole
 group in one task, which fails once a single genre holds a third of a library.
-Here every group is cut into ranges by splitters taken from a bottom-k-by-hash
-sample. That sample depends on the data alone, so a recomputed task sees the
-same ranges. Counts per range give the offset of each range, and only the rows
-inside one range are sorted together. Results are exact.
+Here groups are counted first (one combined count over the key columns). When the
+largest fits a task, the plan is one window. Otherwise large groups are cut into
+ranges by splitters from a bottom-k-by-hash sample, which depends on the data
+alone, so a recomputed task sees the same ranges. Counts per range give each
+range's offset, and only rows of one range are sorted together. Both ways are exact.
+
+What is broadcast has a fixed bound: a group is cut only when it also holds more
+than 1/10 000 of all rows, so there are fewer than 10 000 of them, each with at
+most 64 splitters and 64 offsets.
 """
 
 from __future__ import annotations
@@ -16,24 +21,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
-
-
-def _with_ranges(df: DataFrame, keys: list[str], order: Column, ranges: int) -> DataFrame:
-    """Add ``_ord`` (the sort value) and ``_range`` (its range within the group)."""
-    rows = df.withColumn("_ord", order)
-    by = [F.col(k) for k in keys]
-    pick = Window.partitionBy(*by).orderBy("_h", "_ord") if keys else Window.orderBy("_h", "_ord")
-    sample = rows.select(*by, "_ord", F.xxhash64(*by, "_ord").alias("_h"))
-    if keys:
-        sample = sample.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") < ranges)
-    else:
-        sample = sample.orderBy("_h", "_ord").limit(ranges - 1)
-    splits = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_ord")).alias("_splits"))
-    below = F.size(F.filter("_splits", lambda s: s < F.col("_ord")))
-    if keys:
-        return rows.join(splits, keys, "left").withColumn("_range", below).drop("_splits")
-    one = splits.select("_splits").scalar()
-    return rows.withColumn("_splits", one).withColumn("_range", below).drop("_splits")
+_STEP = 8  # splitters are searched in two steps of eight
+LARGE_GROUP = 2_000_000
+MAX_LARGE = 10_000
+
+
+def _cut_large(rows: DataFrame, keys: list[str], weight: Column, ranges: int, large: int) -> DataFrame:
+    """Add ``_range``, ``_off`` and ``_total`` (null for an uncut group) to rows with ``_ord``."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.sum(weight).alias("_total"))
+    most, total = sizes.agg(F.max("_c"), F.sum("_c")).first()
+    limit = max(large, (total or 0) / MAX_LARGE)
+    if (most or 0) <= limit:
+        none = F.lit(None).cast("long")
+        return rows.withColumns({"_range": F.lit(0), "_off": none, "_total": none})
+    hot = sizes.where(F.col("_c") > limit).select(*keys, "_total")
+    pick = Window.partitionBy(*keys).orderBy("_h", "_ord")
+    sample = (
+        rows.join(F.broadcast(hot.select(*keys)), keys).select(*keys, "_ord", F.xxhash64("_ord").alias("_h"))
+        .withColumn("_n", F.row_number().over(pick)).where(F.col("_n") < ranges)
+    )
+    splits = sample.groupBy(*keys).agg(F.sort_array(F.collect_list("_ord")).alias("_fine"))
+    coarse = F.filter("_fine", lambda s, i: i % _STEP == _STEP - 1)
+    cuts = hot.join(F.broadcast(splits.withColumn("_coarse", coarse)), keys)
+    below = lambda s: s < F.col("_ord")
+    found = rows.join(F.broadcast(cuts), keys, "left").withColumn("_at", F.size(F.filter("_coarse", below)) * _STEP)
+    ranged = found.withColumn("_range", F.when(F.col("_fine").isNull(), 0).otherwise(
+        F.col("_at") + F.size(F.filter(F.slice("_fine", F.col("_at") + 1, _STEP - 1), below))
+    ))
+    counts = ranged.where(F.col("_fine").isNotNull()).groupBy(*keys, "_range").agg(F.sum(weight).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.sum("_c").over(before).alias("_off"))
+    return ranged.drop("_fine", "_coarse", "_at").join(F.broadcast(offsets), [*keys, "_range"], "left")
 
 
 def group_rank(
@@ -43,31 +61,24 @@ def group_rank(
     out: str = "rank",
     size_out: str | None = None,
     ranges: int = RANGES,
+    large: int = LARGE_GROUP,
 ) -> DataFrame:
     """``df`` plus the exact 1-based rank of each row within its group.
 
     ``order`` sorts ascending and should end in a unique column. ``size_out``
-    names an optional column for the group size.
+    names an optional column for the group size. No keys means one group.
     """
-    ranged = _with_ranges(df, keys, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), ranges)
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = counts.select(
-        *keys,
-        "_range",
-        F.coalesce(
-            F.sum("_c").over(part.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-        F.sum("_c").over(part).alias("_size"),
-    )
-    local = Window.partitionBy(*keys, "_range").orderBy("_ord")
-    ranked = ranged.join(offsets, [*keys, "_range"]).withColumn(
-        out, (F.col("_off") + F.row_number().over(local)).cast("long")
+    by = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    rows = rows.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    cut = _cut_large(rows, by, F.lit(1), ranges, large)
+    part = Window.partitionBy(*by, "_range")
+    ranked = cut.withColumn(
+        out, (F.coalesce("_off", F.lit(0)) + F.row_number().over(part.orderBy("_ord"))).cast("long")
     )
     if size_out:
-        ranked = ranked.withColumn(size_out, F.col("_size").cast("long"))
-    return ranked.drop("_ord", "_range", "_off", "_size")
+        ranked = ranked.withColumn(size_out, F.coalesce("_total", F.count(F.lit(1)).over(part)).cast("long"))
+    return ranked.drop("_all", "_ord", "_range", "_off", "_total")
 
 
 def order_stats(
@@ -77,48 +88,30 @@ def order_stats(
     picks: dict[str, Callable[[Column], Column]],
     size_out: str = "n",
     ranges: int = RANGES,
+    large: int = LARGE_GROUP,
 ) -> DataFrame:
     """The values at chosen 1-based ranks of each group, and the group size.
 
     ``picks`` maps an output name to a function from the group size to a rank.
-    Values are counted per distinct value first, so repeats never travel, and
-    only the ranges holding a wanted rank are sorted.
+    Values are counted per distinct value first, so repeats never travel.
     """
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_w")
-    )
-    ranged = _with_ranges(distinct, keys, F.col(value), ranges)
-    counts = ranged.groupBy(*keys, "_range").agg(F.sum("_w").alias("_c"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = counts.select(
-        *keys,
-        "_range",
-        "_c",
-        F.coalesce(
-            F.sum("_c").over(part.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-        F.sum("_c").over(part).alias("_size"),
-    )
-    ranks = {name: make(F.col("_size")) for name, make in picks.items()}
-    hit = F.lit(False)
-    for rank in ranks.values():
-        hit = hit | ((rank > F.col("_off")) & (rank <= F.col("_off") + F.col("_c")))
-    local = Window.partitionBy(*keys, "_range").orderBy("_ord").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    inside = (
-        ranged.join(offsets.where(hit), [*keys, "_range"])
-        .withColumn("_hi", F.col("_off") + F.sum("_w").over(local))
-        .withColumn("_lo", F.col("_hi") - F.col("_w"))
-    )
-    return inside.groupBy(*keys).agg(
+    by = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_ord")).agg(F.count(F.lit(1)).alias("_w"))
+    cut = _cut_large(counted, by, F.col("_w"), ranges, large)
+    part = Window.partitionBy(*by, "_range")
+    placed = cut.withColumn(
+        "_hi", F.coalesce("_off", F.lit(0)) + F.sum("_w").over(part.orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("_size", F.coalesce("_total", F.sum("_w").over(part)))
+    inside = lambda rank: (rank > F.col("_hi") - F.col("_w")) & (rank <= F.col("_hi"))
+    hits = {name: inside(make(F.col("_size"))) for name, make in picks.items()}
+    any_hit = F.lit(False)
+    for hit in hits.values():
+        any_hit = any_hit | hit
+    return placed.where(any_hit).groupBy(*by).agg(
         F.max("_size").cast("long").alias(size_out),
-        *[
-            F.max(F.when((rank > F.col("_lo")) & (rank <= F.col("_hi")), F.col(value))).alias(name)
-            for name, rank in ranks.items()
-        ],
-    )
+        *[F.max(F.when(hit, F.col("_ord"))).alias(name) for name, hit in hits.items()],
+    ).drop("_all")
 
 
 def median_picks(prefix: str = "_med") -> dict[str, Callable[[Column], Column]]:
