@@ -26,15 +26,17 @@ def is_audio_path(path: Column) -> Column:
     return suffix.isin(AUDIO_SUFFIXES) & ~name.startswith("._") & ~system
 
 
-def scan_folder(spark: SparkSession, folder: str, under: str | None = None) -> DataFrame:
-    """(path, content, length) of the audio files under a folder.
+def below(path: Column, root: str | None) -> Column:
+    """The part of a path under the scanned folder: rules on folder names start there."""
+    if root is None:
+        return path
+    return F.element_at(F.split(path, "\\Q" + root.rstrip("/") + "\\E", 2), -1)
 
-    Suffix and folder rules see the path below ``folder`` only.
-    """
+
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content, length) of the audio files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = (under or folder).rstrip("/")
-    below = F.element_at(F.split(F.col("path"), F.lit("\\Q" + root + "\\E"), 2), -1)
-    return files.where(is_audio_path(below)).select("path", "content", "length")
+    return files.where(is_audio_path(below(F.col("path"), folder))).select("path", "content", "length")
 
 
 def content_hash(files: DataFrame) -> DataFrame:

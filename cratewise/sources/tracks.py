@@ -86,7 +86,7 @@ def normalise_tags(tags: Column) -> Column:
 
 # --- stored lookup responses ----------------------------------------------------------
 
-_NAMED = "array<struct<name:string,count:int>>"
+_NAMED = "array<struct<name:string,count:string>>"  # a count may be a number or its text
 
 
 def lookup_names(cache: DataFrame) -> DataFrame:
@@ -99,13 +99,13 @@ def lookup_names(cache: DataFrame) -> DataFrame:
     src, js = F.col("source"), F.col("response_json")
     plain = lambda path: F.coalesce(F.from_json(F.get_json_object(js, path), "array<string>"), F.array().cast("array<string>"))
     counted = lambda path: F.coalesce(F.from_json(F.get_json_object(js, path), _NAMED), F.array().cast(_NAMED))
-    release = F.transform(F.concat(plain("$.results[0].style"), plain("$.results[0].genre")), lambda n: F.struct(n.alias("name"), F.lit(None).cast("int").alias("count")))
+    release = F.transform(F.concat(plain("$.results[0].style"), plain("$.results[0].genre")), lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("count")))
     recording = F.concat(counted("$.recordings[0].genres"), counted("$.recordings[0].tags"))
     tag = F.get_json_object(js, "$.toptags.tag")
     listed = F.when(F.ltrim(tag).startswith("{"), F.concat(F.lit("["), tag, F.lit("]"))).otherwise(tag)
     track = F.coalesce(F.from_json(listed, _NAMED), F.array().cast(_NAMED))
     entries = F.when(src == "discogs", release).when(src == "musicbrainz", recording).otherwise(track)
-    tall = cache.select("hash", "source", F.posexplode(entries).alias("p", "e")).select("hash", "source", "p", F.trim("e.name").alias("name"), "e.count").where(F.coalesce("name", F.lit("")) != "")
+    tall = cache.select("hash", "source", F.posexplode(entries).alias("p", "e")).select("hash", "source", "p", F.trim("e.name").alias("name"), F.col("e.count").try_cast("int").alias("count")).where(F.coalesce("name", F.lit("")) != "")
     folded = F.when(src == "lastfm", F.concat_ws(":", "p", "name")).otherwise(F.lower("name"))
     best = tall.groupBy("hash", "source", folded.alias("_k")).agg(
         F.min_by(F.struct("name", "count"), F.struct(F.when(src == "musicbrainz", -F.coalesce("count", F.lit(0))).otherwise(0), "p")).alias("e"), F.min("p").alias("p")

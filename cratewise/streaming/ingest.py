@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import music, reads
 from ..operators.learn import Engines, analyse
-from ..sources.files import is_audio_path
+from ..sources.files import below, is_audio_path
 
 STORE = (
     "hash string, path string, styles array<struct<style:string,score:double>>, bpm double, key string, scale string, "
@@ -24,9 +24,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
         return spark.createDataFrame([], STORE)
 
 
-def new_tracks(files: DataFrame, known: DataFrame, engines: Engines, minimum: float = 0.0) -> DataFrame:
+def new_tracks(
+    files: DataFrame, known: DataFrame, engines: Engines, minimum: float = 0.0, root: str | None = None
+) -> DataFrame:
     """Analysed rows for content not stored yet; failures and short files are rows with a status."""
-    hashed = files.where(is_audio_path(F.col("path"))).select(F.sha1("content").alias("hash"), "path", "content")
+    hashed = files.where(is_audio_path(below(F.col("path"), root))).select(F.sha1("content").alias("hash"), "path", "content")
     fresh = hashed.join(known.where(F.col("status") == "ok").select("hash"), "hash", "left_anti")
     once = fresh.groupBy("hash").agg(F.min("path").alias("path"), F.min("content").alias("content"))
     out = analyse(once, engines)
@@ -37,10 +39,12 @@ def new_tracks(files: DataFrame, known: DataFrame, engines: Engines, minimum: fl
     )
 
 
-def ingest_batch(files: DataFrame, store: str, engines: Engines, minimum: float = 0.0) -> None:
+def ingest_batch(
+    files: DataFrame, store: str, engines: Engines, minimum: float = 0.0, root: str | None = None
+) -> None:
     """One idempotent append: only tracks that analysed well and are long enough are stored."""
     spark = files.sparkSession
-    rows = new_tracks(files, read_store(spark, store), engines, minimum)
+    rows = new_tracks(files, read_store(spark, store), engines, minimum, root)
     rows.where(F.col("status") == "ok").write.mode("append").parquet(store)
 
 
@@ -53,5 +57,5 @@ def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str,
     )
     return (
         files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: ingest_batch(batch, store, engines, minimum)).start()
+        .foreachBatch(lambda batch, _: ingest_batch(batch, store, engines, minimum, folder)).start()
     )

@@ -95,13 +95,12 @@ ENGINES = learn.stub_engines(["House", "Techno", "Trance"])
 def test_ingest_is_idempotent_in_batch_and_stream(spark, folder, tmp_path):
     scanned = files.scan_folder(spark, str(folder))
     for _ in range(2):
-        ingest.ingest_batch(scanned, str(tmp_path / "s1"), ENGINES)
+        ingest.ingest_batch(scanned, str(tmp_path / "s1"), ENGINES, root=str(folder))
     batch = ingest.read_store(spark, str(tmp_path / "s1"))
     assert batch.count() == 2
     for _ in range(2):
         ingest.ingest_stream(spark, str(folder), str(tmp_path / "s2"), str(tmp_path / "cp"), ENGINES).awaitTermination(120)
     stream = ingest.read_store(spark, str(tmp_path / "s2"))
-    # The system folder rule needs the path below the scanned root; the stream sees whole paths too.
     assert sorted(r["hash"] for r in stream.collect()) == sorted(r["hash"] for r in batch.collect())
 
 
@@ -112,7 +111,7 @@ def test_short_and_failing_files_are_rows(spark, folder):
         return 100.0
 
     engines = learn.Engines(ENGINES.genre, broken, ENGINES.key, lambda c: 1.0)
-    rows = ingest.new_tracks(files.scan_folder(spark, str(folder)), ingest.read_store(spark, "/tmp/no-such-store"), engines, minimum=2.0).collect()
+    rows = ingest.new_tracks(files.scan_folder(spark, str(folder)), ingest.read_store(spark, "/tmp/no-such-store"), engines, minimum=2.0, root=str(folder)).collect()
     assert sorted(r["status"] for r in rows) == ["error", "short"]
 
 
