@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Share of keystone weight a runner-up needs to make a fusion.
 FUSION_THRESHOLD = 0.35
@@ -122,6 +125,11 @@ SIBLINGS = {
 }
 
 
+def map_column(table: dict, kind: str = "string") -> Column:
+    """A fixed table as one map literal: constant-folded, so it costs nothing per row to build."""
+    return F.from_json(F.lit(json.dumps(table, sort_keys=True)), f"map<string,{kind}>")
+
+
 def style_table() -> dict[str, str]:
     """Electronic style to keystone."""
     return {s: k for k, styles in ELECTRONIC.items() for s in styles}

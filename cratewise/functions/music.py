@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..dims import map_column
+
 # Pitch-class names in order, and the flat/sharp spellings folded onto them.
 KEY_NAMES = ["C", "C#", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B"]
 SPELLING = {"Db": "C#", "D#": "Eb", "Gb": "F#", "G#": "Ab", "A#": "Bb"}
@@ -12,18 +14,14 @@ MODES = ["major", "minor"]
 BPM_TOLERANCE = 0.06
 
 
-def _lookup(table: dict[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
 def spell(key: Column) -> Column:
     """Fold an enharmonic spelling onto the canonical name."""
-    return F.coalesce(F.try_element_at(_lookup(SPELLING), key), key)
+    return F.coalesce(F.try_element_at(map_column(SPELLING), key), key)
 
 
 def tonic(key: Column) -> Column:
     """Pitch class 0..11 of a key name in any spelling, null when unknown."""
-    return F.try_element_at(_lookup({k: i for i, k in enumerate(KEY_NAMES)}), spell(key))
+    return F.try_element_at(map_column({k: i for i, k in enumerate(KEY_NAMES)}, "int"), spell(key))
 
 
 def camelot(key: Column, scale: Column) -> Column:

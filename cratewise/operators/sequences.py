@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import dims
 from ..plans import scan
@@ -94,7 +95,7 @@ def pooled_winner(topk: DataFrame, key: str, groups: DataFrame | None = None) ->
     A style in no group stands for itself; ties go to the group met first.
     """
     if groups is None:
-        table = F.create_map(*[F.lit(x) for kv in sorted(dims.sibling_table().items()) for x in kv])
+        table = dims.map_column(dims.sibling_table())
         grouped = topk.withColumn("g", F.coalesce(F.try_element_at(table, F.lower("style")), "style"))
     else:
         grouped = topk.join(groups.select("style", F.col("group").alias("_g")), "style", "left").withColumn("g", F.coalesce("_g", "style"))
@@ -154,59 +155,109 @@ def _summarise(rows: list, margin: float, hold: int) -> dict:
     return {"first": winners[0], "lead": lead, "last": winners[-1], "tail": tail, "maps": maps, "rows": len(rows)}
 
 
-def hysteresis(frames: DataFrame, key: str, margin: float = MARGIN, hold: int = HOLD, chunk: int = scan.CHUNK) -> DataFrame:
-    """(key, frame_idx, style) after the hold-until-beaten rule over ``frames_as_rows``.
+def _tops(batch: pa.RecordBatch) -> list:
+    """The ranked (style, score) lists of a batch, from its flat Arrow buffers."""
+    column = batch.column("top")
+    ends = column.offsets.to_pylist()
+    flat = column.values
+    pairs = list(zip(flat.field("style").to_pylist(), flat.field("score").to_pylist()))
+    return [pairs[a:b] for a, b in zip(ends, ends[1:])]
 
-    Chunks are summarised in parallel, the summaries of a key are chained, and each
-    chunk is replayed from its true starting state: a prefix scan over functions.
-    """
-    kind = frames.schema[key].dataType.simpleString()
-    chunked = frames.select(key, "frame_idx", "top", F.floor(F.col("frame_idx") / chunk).alias("chunk"))
 
-    def tops(pdf: pd.DataFrame) -> list:
-        return [[(e["style"], e["score"]) for e in top] for top in pdf.sort_values("frame_idx")["top"]]
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], values) -> Iterator[tuple]:
+    """(group, rows) of batches already sorted by ``by``; one group is held at a time."""
+    group, held = None, []
+    for batch in batches:
+        keys = zip(*[batch.column(c).to_pylist() for c in by])
+        for k, row in zip(keys, values(batch)):
+            if k != group:
+                if held:
+                    yield group, held
+                group, held = k, []
+            held.append(row)
+    if held:
+        yield group, held
+
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _summarise(tops(pdf), margin, hold)
-        maps = [[(k, v) for k, v in m.items()] for m in s["maps"]]
-        first = pdf.iloc[0]
-        return pd.DataFrame([{key: first[key], "chunk": first["chunk"], "first": s["first"], "lead": s["lead"], "last": s["last"],
-                              "tail": s["tail"], "rows": s["rows"], "maps": maps}])
+def _sorted(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions(*by, order)
 
-    summary = chunked.groupBy(key, "chunk").applyInPandas(
+
+def hysteresis(frames: DataFrame, key: str, margin: float = MARGIN, hold: int = HOLD, chunk: int | None = None) -> DataFrame:
+    """(key, frame_idx, style) after the hold-until-beaten rule over ``frames_as_rows``.
+
+    Tracks no longer than a chunk are one fold each. For longer ones the chunks are
+    summarised in parallel, the summaries of a track are chained, and every chunk is
+    replayed from its true starting state: a prefix scan over functions.
+    """
+    chunk = chunk or scan.chunk_for(frames, "frame_idx")
+    kind = frames.schema[key].dataType
+    out_type = f"{key} {kind.simpleString()}, frame_idx long, style string"
+    names = [key, "frame_idx", "style"]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, state = None, None
+        for batch in batches:
+            keys, idx, out = batch.column(key).to_pylist(), batch.column("frame_idx"), []
+            starts = batch.column("start").to_pylist() if "start" in batch.schema.names else None
+            marks = keys if starts is None else list(zip(keys, batch.column("chunk").to_pylist()))
+            for i, (mark, top) in enumerate(zip(marks, _tops(batch))):
+                if mark != track:
+                    begin = None if starts is None else starts[i]
+                    track, state = mark, (None, None, 0) if begin is None else (begin["held"], begin["rival"], begin["run"])
+                state = hysteresis_step(state, top, margin, hold)
+                out.append(state[0])
+            yield pa.RecordBatch.from_arrays([batch.column(key), idx.cast(pa.int64()), pa.array(out, pa.string())], names)
+
+    rows = frames.select(key, "frame_idx", "top")
+    if chunk is None:
+        return _sorted(rows, [key], "frame_idx").mapInArrow(replay, out_type)
+
+    chunked = rows.withColumn("chunk", F.floor(F.col("frame_idx") / chunk))
+    long = rows.where(F.col("frame_idx") >= chunk).select(key).distinct()
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (track, at), tops in _groups(batches, [key, "chunk"], _tops):
+            s = _summarise(tops, margin, hold)
+            maps = [[{"from": k, "to": v} for k, v in m.items()] for m in s["maps"]]
+            yield pa.RecordBatch.from_pylist(
+                [{key: track, "chunk": at, **{c: s[c] for c in ("first", "lead", "last", "tail", "rows")}, "maps": maps}], summary_type
+            )
+
+    pair = pa.struct([("from", pa.string()), ("to", pa.string())])
+    arrow_key = to_arrow_type(kind)
+    summary_type = pa.schema([
+        (key, arrow_key), ("chunk", pa.int64()), ("first", pa.string()), ("lead", pa.int64()), ("last", pa.string()),
+        ("tail", pa.int64()), ("rows", pa.int64()), ("maps", pa.list_(pa.list_(pair))),
+    ])
+    start_type = pa.schema([(key, arrow_key), ("chunk", pa.int64()), ("start", pa.struct([("held", pa.string()), ("rival", pa.string()), ("run", pa.int64())]))])
+    summary = _sorted(chunked.join(long, key, "left_semi"), [key, "chunk"], "frame_idx").mapInArrow(
         summarise,
-        f"{key} {kind}, chunk long, first string, lead long, last string, tail long, rows long, "
-        "maps array<array<struct<start:string,end:string>>>",
+        f"{key} {kind.simpleString()}, chunk long, first string, lead long, last string, tail long, rows long, "
+        "maps array<array<struct<`from`:string,`to`:string>>>",
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, rival, run, out = None, None, 0, []
-        for row in pdf.sort_values("chunk").to_dict("records"):
-            out.append({key: row[key], "chunk": row["chunk"], "held": held, "rival": rival, "run": run})
-            brought = min(hold, run) if row["first"] == rival else 0
-            table = {e["start"]: e["end"] for e in row["maps"][brought]}
-            start = row["first"] if held is None else held
-            end = table.get(start, table[_OUTSIDE])
-            held = start if end == _OUTSIDE else end
-            run = row["tail"] + (run if row["tail"] == row["rows"] and row["last"] == rival else 0)
-            rival = row["last"]
-        return pd.DataFrame(out)
-
-    starts = summary.groupBy(key).applyInPandas(chain, f"{key} {kind}, chunk long, held string, rival string, run long")
-
-    def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.sort_values("frame_idx")
-        held, rival, run = (right.iloc[0][c] for c in ("held", "rival", "run"))
-        state = (None, None, 0) if pd.isna(held) else (held, None, 0) if held == rival else (held, rival, int(run))
-        out = []
-        for top in tops(rows):
-            state = hysteresis_step(state, top, margin, hold)
-            out.append(state[0])
-        return pd.DataFrame({key: rows[key].to_numpy(), "frame_idx": rows["frame_idx"].to_numpy(), "style": out})
-
-    return chunked.groupBy(key, "chunk").cogroup(starts.groupBy(key, "chunk")).applyInPandas(
-        replay, f"{key} {kind}, frame_idx long, style string"
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, held, rival, run = None, None, None, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row[key] != track:
+                    track, held, rival, run = row[key], None, None, 0
+                begin = None if held is None else {"held": held, "rival": None if held == rival else rival, "run": 0 if held == rival else run}
+                out.append({key: track, "chunk": row["chunk"], "start": begin})
+                table = {e["from"]: e["to"] for e in row["maps"][min(hold, run) if row["first"] == rival else 0]}
+                start = row["first"] if held is None else held
+                end = table.get(start, table[_OUTSIDE])
+                held = start if end == _OUTSIDE else end
+                run = row["tail"] + (run if row["tail"] == row["rows"] and row["last"] == rival else 0)
+                rival = row["last"]
+            yield pa.RecordBatch.from_pylist(out, start_type)
+
+    starts = _sorted(summary, [key], "chunk").mapInArrow(
+        chain, f"{key} {kind.simpleString()}, chunk long, start struct<held:string,rival:string,run:long>"
     )
+    return _sorted(chunked.join(starts, [key, "chunk"], "left"), [key, "chunk"], "frame_idx").mapInArrow(replay, out_type)
 
 
 def steady_siblings(topk: DataFrame, key: str, groups: DataFrame | None = None, **options) -> DataFrame:
@@ -233,8 +284,12 @@ def majority_smooth(segments: DataFrame, key: str, win: int) -> DataFrame:
     return best.join(size, key).where(F.col("frame_idx") <= F.col("_last")).drop("_last")
 
 
-def runs(segments: DataFrame, key: str, chunk: int = scan.CHUNK) -> DataFrame:
+def runs(segments: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
     """(key, run, style, start, length) of maximal runs of one style."""
+    return _runs(segments, key, chunk or scan.chunk_for(segments, "frame_idx"))
+
+
+def _runs(segments: DataFrame, key: str, chunk: int | None) -> DataFrame:
     prev = scan.neighbour(segments, [key], "frame_idx", F.col("style"), "_prev", chunk=chunk)
     starts = prev.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("style")), 1).otherwise(0))
     numbered = scan.running_sum(starts, [key], "frame_idx", F.col("_new"), "run", chunk)
@@ -243,7 +298,7 @@ def runs(segments: DataFrame, key: str, chunk: int = scan.CHUNK) -> DataFrame:
     ).withColumn("run", F.col("run") - 1)
 
 
-def absorb_short_runs(segments: DataFrame, key: str, min_run: int, chunk: int = scan.CHUNK) -> DataFrame:
+def absorb_short_runs(segments: DataFrame, key: str, min_run: int, chunk: int | None = None) -> DataFrame:
     """(key, start, length, style): runs shorter than ``min_run`` merged away to the fixed point.
 
     The fixed point has a closed form. A short run takes the last long run before
@@ -251,7 +306,8 @@ def absorb_short_runs(segments: DataFrame, key: str, min_run: int, chunk: int =
     together they are still short and differ from it, they take the first long
     run's style. With no long run everything takes the second run's style.
     """
-    spans = runs(segments, key, chunk)
+    chunk = chunk or scan.chunk_for(segments, "frame_idx")
+    spans = _runs(segments, key, chunk)
     long_style = F.when(F.col("length") >= min_run, F.col("style"))
     known = scan.last_known(spans, [key], "run", long_style, "_held", chunk)
     heads = spans.groupBy(key).agg(
@@ -294,7 +350,7 @@ def value_at(segments: DataFrame, key: str, positions: DataFrame) -> DataFrame:
 
 def densest_section(series: DataFrame, key: str, frac: float = 0.25, which: str = "loud") -> DataFrame:
     """(key, start, length, energy) of the contiguous fraction with most or least energy."""
-    summed = scan.running_sum(series, [key], "frame_idx", F.col("energy"), "csum")
+    summed = scan.running_sum(series, [key], "frame_idx", F.col("energy"), "csum", scan.chunk_for(series, "frame_idx"))
     size = series.groupBy(key).agg((F.max("frame_idx") + 1).alias("n")).withColumn(
         "w", F.greatest(F.lit(1), F.bround(F.col("n") * frac).cast("long"))
     )
@@ -312,7 +368,7 @@ def densest_section(series: DataFrame, key: str, frac: float = 0.25, which: str
 
 def change_points(segments: DataFrame, key: str) -> DataFrame:
     """Frames whose style differs from the frame before."""
-    prev = scan.neighbour(segments, [key], "frame_idx", F.col("style"), "previous")
+    prev = scan.neighbour(segments, [key], "frame_idx", F.col("style"), "previous", chunk=scan.chunk_for(segments, "frame_idx"))
     return prev.where(F.col("previous").isNotNull() & (F.col("previous") != F.col("style"))).select(key, "frame_idx", "previous", "style")
 
 
@@ -390,7 +446,8 @@ def resample(series: DataFrame, key: str, rate_in: int, rate_out: int, phase: fl
     """
     step = rate_in / rate_out
     size = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    ahead = scan.neighbour(series, [key], "frame_idx", F.col("value"), "_next", step=1).join(size, key)
+    chunk = scan.chunk_for(series, "frame_idx")
+    ahead = scan.neighbour(series, [key], "frame_idx", F.col("value"), "_next", step=1, chunk=chunk).join(size, key)
     total = F.bround(F.col("n") * rate_out / rate_in).cast("long")
     idx = F.col("frame_idx")
     low = F.when(idx == 0, F.lit(0).cast("long")).otherwise(F.floor((idx - phase) / step) - 1)

@@ -29,9 +29,7 @@ class Overlay:
 
 
 def _table(entries: dict[str, str]) -> Column:
-    if not entries:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in sorted(entries.items()) for x in kv])
+    return dims.map_column(entries)
 
 
 def _get(entries: dict[str, str], key: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Each helper works in two levels: inside fixed-size chunks of the index, then over
 one summary row per chunk, then back. The widest sort is one chunk of rows or one
-row per chunk, never one whole series of frames.
+row per chunk, never one whole series of frames. When the longest series fits a
+task (see :func:`chunk_for`) the same result comes from one plain window.
 """
 
 from __future__ import annotations
@@ -11,6 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+LONG_SERIES = 200_000
+
+
+def chunk_for(df: DataFrame, idx: str, long: int = LONG_SERIES) -> int | None:
+    """The chunk size the longest series calls for; None when a plain window will do."""
+    last = df.agg(F.max(idx)).first()[0]
+    return None if last is None or last < long else CHUNK
 
 
 def _chunk(idx: str, chunk: int) -> Column:
@@ -18,9 +26,12 @@ def _chunk(idx: str, chunk: int) -> Column:
 
 
 def neighbour(
-    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, step: int = -1, chunk: int = CHUNK
+    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, step: int = -1, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Add the value ``step`` positions away in index order (-1 previous, +1 next)."""
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(idx)
+        return df.withColumn(out, (F.lag(value) if step < 0 else F.lead(value)).over(whole))
     rows = df.withColumn("_v", value).withColumn("_chunk", _chunk(idx, chunk))
     edge = F.max_by("_v", idx) if step < 0 else F.min_by("_v", idx)
     order = Window.partitionBy(*keys).orderBy("_chunk")
@@ -40,9 +51,12 @@ def neighbour(
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, chunk: int = CHUNK
+    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Add the inclusive running sum in index order."""
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(whole))
     rows = df.withColumn("_v", value).withColumn("_chunk", _chunk(idx, chunk))
     order = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -58,9 +72,12 @@ def running_sum(
 
 
 def last_known(
-    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, chunk: int = CHUNK
+    df: DataFrame, keys: list[str], idx: str, value: Column, out: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Add the most recent non-null value at or before each row in index order."""
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(whole))
     rows = df.withColumn("_v", value).withColumn("_chunk", _chunk(idx, chunk))
     order = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     tails = (
