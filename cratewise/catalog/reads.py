@@ -195,3 +195,35 @@ def genre_tracks(spark, d):
     tracks = top.join(_dim(tall), "style")
     labels = table(spark, d, "events").where("event_type = 'purchase' and value > 100").select("user_id", F.lit("HOUSE").alias("genre"))
     return taxonomy.genre_tracks(tracks, "user_id", " house", labels, labels)[0]
+
+
+@query("""WITH e AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'aliases' WHEN 'assistant' THEN 'archgenre' ELSE 'nope' END AS section, CASE WHEN length(text) % 3 = 0 THEN NULL WHEN length(text) % 3 = 1 THEN '' ELSE 'V' || conv_id END AS value FROM conversations),
+l AS (SELECT section, 'k' || conv_id AS name, arg_max(coalesce(value, '~'), turn) AS value FROM e GROUP BY ALL) SELECT section, name, value FROM l WHERE value <> '~' AND section <> 'nope' AND (value <> '' OR section = 'archgenre')""")
+def overlay_patch(spark, d):
+    """Taxonomy overlay after patch events: null removes, a blank only stays for an archgenre."""
+    c = table(spark, d, "conversations")
+    kind = F.length("text") % 3
+    name = F.concat(F.lit(" K"), F.col("conv_id").cast("string"))
+    events = c.select(
+        F.when(F.col("role") == "user", "aliases").when(F.col("role") == "assistant", "archgenre").otherwise("nope").alias("section"),
+        F.when(F.col("role") == "user", name).otherwise(F.lower(name)).alias("name"),
+        F.when(kind == 1, " ").when(kind == 2, F.concat(F.lit("V"), F.col("conv_id").cast("string"))).alias("value"), F.col("turn").alias("updated"),
+    )
+    return taxonomy.patch_overlay(events)
+
+
+@query(f"""WITH {SHARES}, st AS (SELECT user_id, max(value) AS peak FROM events GROUP BY 1), t AS (SELECT user_id, style, round_even(score, 4) AS score FROM sh WHERE n = 1)
+SELECT user_id, CASE WHEN peak > 200 THEN 'Techno' ELSE style END AS style, CASE WHEN peak > 200 THEN 'override' ELSE 'salience' END AS source, CASE WHEN peak > 200 THEN style END AS model_top,
+ CASE WHEN peak > 200 THEN false WHEN style = 'Deep House' THEN true ELSE false END AS agrees FROM t JOIN st USING (user_id)""")
+def identity_fields(spark, d):
+    """The identity with the model's own read under an override and the file tag's opinion."""
+    peaks = table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("peak"))
+    rows = _shares(spark, d).join(peaks, "user_id")
+    none = lambda t: F.lit(None).cast(t)
+    who = R.identity(F.when(F.col("peak") > 200, "Techno"), none(R.READ_TYPE), F.col("read"), none(R.READ_TYPE), none("map<string,int>"), none("array<string>"))
+    named = rows.select("user_id", "read", who.alias("i"))
+    shown = taxonomy.style_dim(named.select(F.col("i.style").alias("s")), "s")
+    joined = named.join(shown, F.col("i.style") == F.col("s"))
+    fields = R.identity_fields(F.col("i"), F.col("read"), F.lit("House Music"), F.lit("House"), F.col("keystone"))
+    out = joined.select("user_id", fields.alias("f"))
+    return out.select("user_id", F.col("f.dominant_style").alias("style"), F.col("f.dominant_source").alias("source"), F.try_element_at("f.model_read", F.lit(1))["style"].alias("model_top"), "f.file_tag.agrees")

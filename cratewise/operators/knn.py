@@ -46,7 +46,7 @@ def _distinct_vectors(df: DataFrame, key: str, vec: str, k: int, eps: float | No
     first = Window.partitionBy("vid", "vec").orderBy("key")
     lead = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     reps = lead.groupBy("vid", "vec").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    return members, reps.withColumn("lead", F.element_at("keys", 1)).withColumn("unit", V.unit("vec", eps)).drop("vec")
+    return members, reps.withColumn("unit", V.unit("vec", eps)).drop("vec")
 
 
 def _assign(pivots: np.ndarray):
@@ -74,49 +74,57 @@ def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score_pairs(k: int):
+    """Block pairs to (vid, neighbour, sim): the k best candidate vectors per query, one row per key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qv, qm, cv, cl, cm in zip(pdf["qvids"], pdf["qunits"], pdf["cvids"], pdf["cleads"], pdf["cunits"]):
+            for qv, qm, keys, cm in zip(pdf["qvids"], pdf["qunits"], pdf["ckeys"], pdf["cunits"]):
                 q, c = np.stack(qm), np.stack(cm)
                 qi, ci = _top(q @ c.T, k)
                 sims = np.einsum("ij,ij->i", q[qi], c[ci])
-                yield pd.DataFrame({"vid": np.asarray(qv)[qi], "nvid": np.asarray(cv)[ci], "nkey": np.asarray(cl)[ci], "sim": sims})
+                copies = np.array([len(x) for x in keys])
+                flat, ends = np.concatenate(list(keys)), np.cumsum(copies)
+                times = copies[ci]
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at = np.repeat(ends[ci] - times, times) + step
+                yield pd.DataFrame({
+                    "vid": np.repeat(np.asarray(qv)[qi], times), "neighbour": flat[at], "sim": np.repeat(sims, times)
+                })
 
     return run
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("vid").orderBy(F.desc("sim"), "nkey")
-    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    order = Window.partitionBy("vid").orderBy(F.desc("sim"), "neighbour")
+    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
 
 
 def _compare(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Hits of every (query block, candidate block) pair, at most k (plus ties) per query row."""
+    """Hits of every (query block, candidate block) pair."""
     q = blocks.select(F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), F.col("vids").alias("qvids"), F.col("units").alias("qunits"))
-    c = blocks.select(F.col("cell").alias("ccell"), F.col("sub").alias("csub"), F.col("vids").alias("cvids"), F.col("leads").alias("cleads"), F.col("units").alias("cunits"))
+    c = blocks.select(F.col("cell").alias("ccell"), F.col("sub").alias("csub"), F.col("keys").alias("ckeys"), F.col("units").alias("cunits"))
     joined = pairs.join(q, ["qcell", "qsub"]).join(c, ["ccell", "csub"])
-    return joined.select("qvids", "qunits", "cvids", "cleads", "cunits").mapInPandas(_score_pairs(k), _hits(blocks))
-
-
-def _hits(blocks: DataFrame) -> str:
-    kind = blocks.schema["leads"].dataType.elementType.simpleString()
-    return f"vid string, nvid string, nkey {kind}, sim double"
+    kind = blocks.schema["keys"].dataType.elementType.elementType.simpleString()
+    return joined.select("qvids", "qunits", "ckeys", "cunits").mapInPandas(
+        _score_pairs(k), f"vid string, neighbour {kind}, sim double"
+    )
 
 
 def knn_vectors(
-    reps: DataFrame, k: int, mode: str = "exact", probes: int = 4, cells: int | None = None, block_rows: int | None = None
+    reps: DataFrame, n: int, dim: int, k: int, mode: str = "exact", probes: int = 4,
+    cells: int | None = None, block_rows: int | None = None,
 ) -> DataFrame:
-    """(vid, nvid, nkey, sim): the k nearest distinct vectors of every distinct vector, itself included."""
-    n, dim = reps.agg(F.count(F.lit(1)), F.max(F.size("unit"))).first()
-    if not n:
-        return reps.select("vid", F.col("vid").alias("nvid"), F.col("lead").alias("nkey"), F.lit(0.0).alias("sim"))
+    """(vid, neighbour, sim, n): the k nearest keys of every distinct vector, its own included.
+
+    ``n`` and ``dim`` are the number of rows (an upper bound will do) and of dimensions.
+    """
     block_rows = block_rows or max(64, min(2048, BLOCK_BYTES // (8 * dim)))
     cells = cells or max(1, min(MAX_CELLS, math.ceil(n / block_rows)))
     spark = reps.sparkSession
     if cells == 1:
         pivots, radius = np.zeros((1, dim)), np.zeros(1)
-        subs = np.array([math.ceil(n / block_rows)], dtype=np.int64)
-        filed = reps.select("vid", "lead", "unit").withColumn("cell", F.lit(0))
+        subs = np.array([max(1, math.ceil(n / block_rows))], dtype=np.int64)
+        filed = reps.select("vid", "keys", "unit").withColumn("cell", F.lit(0))
     else:
         # At most MAX_CELLS rows reach the driver, by a choice that depends on the data alone.
         seed = reps.orderBy(F.xxhash64("vid"), "vid").limit(cells).select("unit").collect()
@@ -125,8 +133,8 @@ def knn_vectors(
         pivots = pivots / np.where(norms > 0, norms, 1.0)
         subs, radius = np.ones(len(pivots), dtype=np.int64), np.full(len(pivots), -1.0)
         filed = (
-            reps.select("vid", "lead", "unit").withColumn("at", _assign(pivots)("unit"))
-            .select("vid", "lead", "unit", "at.cell", "at.angle")
+            reps.select("vid", "keys", "unit").withColumn("at", _assign(pivots)("unit"))
+            .select("vid", "keys", "unit", "at.cell", "at.angle")
         )
         stats = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"))
         for row in stats.collect():
@@ -135,10 +143,10 @@ def knn_vectors(
     sub_dim = F.broadcast(spark.createDataFrame(used, "cell int, subs int"))  # at most MAX_CELLS rows
     filed = filed.join(sub_dim, "cell")
     filed = filed.withColumn("sub", F.pmod(F.xxhash64("vid"), F.col("subs")).cast("int"))
-    blocks = (
-        filed.groupBy("cell", "sub").agg(F.collect_list(F.struct("lead", "vid", "unit")).alias("b"))
-        .withColumn("b", F.array_sort("b", lambda x, y: F.when(x["lead"] < y["lead"], -1).when(x["lead"] > y["lead"], 1).otherwise(0)))
-        .select("cell", "sub", F.col("b.vid").alias("vids"), F.col("b.lead").alias("leads"), F.col("b.unit").alias("units"))
+    # Candidates in key order, so that ties inside a block go to the smaller key.
+    packed = F.sort_array(F.collect_list(F.struct("keys", "vid", "unit")))
+    blocks = filed.groupBy("cell", "sub").agg(packed.alias("b")).select(
+        "cell", "sub", F.col("b.vid").alias("vids"), F.col("b.keys").alias("keys"), F.col("b.unit").alias("units")
     )
     near = np.argsort(-(pivots @ pivots.T), axis=1)[:, : max(1, probes)]
     near[:, 0] = np.arange(len(pivots))
@@ -159,9 +167,9 @@ def knn_vectors(
     if mode == "ivf" or len(pivots) <= probes:
         return _best(first, k)
 
-    kth = Window.partitionBy("vid").orderBy(F.desc("sim"), "nkey")
-    reached = first.withColumn("n", F.row_number().over(kth)).where(F.col("n") <= k)
-    floor = reached.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-1.0).alias("floor"))
+    floor = _best(first, k).groupBy("vid").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-1.0).alias("floor")
+    )
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -187,18 +195,13 @@ def knn_join(
 ) -> DataFrame:
     """(key, rank, neighbour, sim): the k nearest other rows by cosine, ties to the smaller key."""
     members, reps = _distinct_vectors(df, key, vec, k, eps)
-    hits = knn_vectors(reps, k + 1, mode, **options)
-    named = hits.join(reps.select(F.col("vid").alias("nvid"), "keys"), "nvid").select(
-        "vid", "sim", F.explode("keys").alias("neighbour")
-    )
-    order = Window.partitionBy("vid").orderBy(F.desc("sim"), "neighbour")
-    short = (
-        named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-        .groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "sim"))).alias("near"))
-    )
+    size = df.where(F.col(vec).isNotNull()).select(F.size(vec)).head(1)
+    n, dim = (df.count(), size[0][0]) if size else (0, 1)
+    hits = knn_vectors(reps, n, dim, k + 1, mode, **options)
+    near = hits.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "sim"))).alias("near"))
     others = F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("key")), 1, k)
     return (
-        members.select("key", "vid").join(short, "vid")
+        members.select("key", "vid").join(near, "vid")
         .select("key", F.posexplode(others).alias("rank", "e"))
         .select(F.col("key").alias(key), (F.col("rank") + 1).alias("rank"), F.col("e.neighbour").alias("neighbour"), F.col("e.sim").alias("sim"))
     )

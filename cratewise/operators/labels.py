@@ -121,7 +121,7 @@ def label_union(sources: dict[str, DataFrame], tracks: DataFrame, key: str) -> D
     """(key, genre, source) of every source, one row per (track, source), orphans dropped."""
     union = None
     for name, df in sources.items():
-        part = df.where(F.col("genre").isNotNull()).select(key, "genre").dropDuplicates([key]).withColumn("source", F.lit(name))
+        part = df.groupBy(key).agg(F.min("genre").alias("genre")).where(F.col("genre").isNotNull()).withColumn("source", F.lit(name))
         union = part if union is None else union.unionByName(part)
     return union.join(tracks.select(key), key, "left_semi")
 

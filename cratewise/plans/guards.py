@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
     Only a local session without that setting (tests) gets a temporary folder.
@@ -33,7 +33,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     instead of replaying every earlier round.
     """
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/cratewise-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/cratewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

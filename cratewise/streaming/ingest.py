@@ -48,14 +48,19 @@ def ingest_batch(
     rows.where(F.col("status") == "ok").write.mode("append").parquet(store)
 
 
+def run_ingest(files: DataFrame, store: str, checkpoint: str, engines: Engines, minimum: float = 0.0, root: str | None = None):
+    """Start the ingest of a stream of (path, content); a replayed micro-batch adds nothing."""
+    return (
+        files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, _: ingest_batch(batch, store, engines, minimum, root)).start()
+    )
+
+
 def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str, engines: Engines, minimum: float = 0.0):
-    """Streaming form of :func:`ingest_batch`. The checkpoint resumes; a replayed batch adds nothing."""
+    """Streaming form of :func:`ingest_batch` over a folder of files. The checkpoint resumes."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = (
         spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", 1000).load(folder)
     )
-    return (
-        files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: ingest_batch(batch, store, engines, minimum, folder)).start()
-    )
+    return run_ingest(files, store, checkpoint, engines, minimum, folder)
