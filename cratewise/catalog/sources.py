@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import reference as R, taxonomy
+from ..functions import text as T, vectors as V
+from ..operators import edits, reference as R, taxonomy
+from ..plans.guards import scratch_folder
 from ..sources import files, pages, sinks, tracks
 from .registry import query, table
 
@@ -31,6 +34,24 @@ def listing_columns(spark, d):
     return tracks.listing_columns(parsed).select("event_id", "style", "bpm", "tag_artist")
 
 
+@query("SELECT vec_id, len(embedding)::INT AS dim, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+def blob_vectors(spark, d):
+    """Stored float32 bytes decoded to vectors."""
+    stored = table(spark, d, "embeddings").select("vec_id", V.encode_blob("embedding").alias("embedding"))
+    e = tracks.decode_vectors(stored)
+    at = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)
+    return e.select("vec_id", F.size("embedding").alias("dim"), at(0).alias("first"), at(63).alias("last"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def snapshot_restore(spark, d):
+    """A snapshot of learned state read back; rows of vanished tracks are left out."""
+    folder = f"{scratch_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    edits.take_snapshot({"labels": table(spark, d, "labels")}, folder, "one", "before", 1.0)
+    edits.take_snapshot({"labels": table(spark, d, "labels").limit(0)}, folder, "two", "after a clear", 2.0)
+    return edits.restore_snapshot(spark, folder, "one", "labels", table(spark, d, "documents").where("lang = 'en'"), "doc_id")
+
+
 @query("SELECT sha1(text) AS hash, lpad(min(doc_id)::VARCHAR, 9, '0') AS path, count(*) AS copies FROM documents GROUP BY 1")
 def dedupe_by_hash(spark, d):
     """One row per content, first path wins."""

@@ -90,6 +90,16 @@ def decode_blob(blob: Column | str) -> Column:
     return _decode(blob)
 
 
+def encode_blob(vec: Column | str) -> Column:
+    """An array as little-endian float32 bytes, the stored form."""
+
+    @F.pandas_udf("binary")
+    def _encode(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return _encode(vec)
+
+
 def array_sum(a: Column) -> Column:
     """Sum of a numeric array, left to right."""
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
