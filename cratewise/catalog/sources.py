@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as T, vectors as V
 from ..operators import edits, reference as R, taxonomy
 from ..plans.guards import scratch_folder
@@ -30,7 +31,7 @@ def listing_columns(spark, d):
         F.array(F.struct(F.lit("Electronic").alias("parent"), e.alias("style"), F.lit(0.5).alias("score"))).alias("styles"), F.when(F.col("value") > 10, F.col("value")).alias("bpm"),
         F.struct(F.create_map(F.lit("artist"), F.when(e == "view", " solo ").otherwise(""), F.lit("albumartist"), F.when(e == "click", "va").otherwise("")).alias("tag")).alias("tags"),
     ))
-    parsed = tracks.parse_payload(table(spark, d, "events").select("event_id", payload.alias("payload")))
+    parsed = tracks.parse_payload(table(spark, d, "events").select("event_id", payload.alias("payload")), schema=schemas.LISTING)
     return tracks.listing_columns(parsed).select("event_id", "style", "bpm", "tag_artist")
 
 
@@ -252,7 +253,18 @@ def first_elements(spark, d):
     return pages.first_by(rows, ["page_id", "href"], F.col("pos")).select("page_id", "href", "pos")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
+ENTITIES = {"&copy;?": "©", "&middot;?": "·", "&nbsp;?": "\u00a0", "&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&#39;?": "''", "&amp;?": "&"}
+
+
+def _plain(sql: str) -> str:
+    """Tags out, entities decoded (a missing semicolon is allowed), spaces collapsed."""
+    sql = f"regexp_replace({sql}, '<[^>]+>', '', 'g')"
+    for pattern, text in ENTITIES.items():
+        sql = f"regexp_replace({sql}, '{pattern}', '{text}', 'g')"
+    return f"trim(regexp_replace({sql}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_plain('html')} AS text FROM pages")
 def strip_html(spark, d):
     """Whole pages as plain text: tags out, entities decoded, spaces collapsed."""
     return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))

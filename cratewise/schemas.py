@@ -17,6 +17,12 @@ PAYLOAD = (
     "neighbor_check struct<flag:boolean,confidence:double,suggested_family:string,suggested_style:string,agreement:double,top_sim:double>"
 )
 
+# What a listing reads; frames and waveforms, most of a payload, are not built.
+LISTING = (
+    "tags struct<tag:map<string,string>,tech:map<string,string>>, styles array<struct<parent:string,style:string,score:double>>, "
+    "bpm double, key string, scale string, camelot string, duration double"
+)
+
 TRACK_COLUMNS = (
     "hash string, filename string, filepath string, title string, payload string, embedding binary, created double"
 )

@@ -49,13 +49,21 @@ def read_tracks(spark: SparkSession, path: str, view: str | None = None) -> Data
 
 
 def parse_json(df: DataFrame, column: str, schema: str, out: str) -> DataFrame:
-    """``df`` with the column parsed into ``out``; rows that do not parse are left out."""
-    parsed = F.from_json(F.col(column), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return df.withColumn(out, parsed).where(F.col(out).isNotNull() & F.col(f"{out}._corrupt").isNull()).withColumn(out, F.col(out).dropFields("_corrupt"))
+    """``df`` with the column parsed into ``out``; rows that do not parse are left out.
+
+    The parse stands behind an explode of one element, so it runs once per row and
+    not once per field that is read from it.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json(F.col(column), f"{schema}, _corrupt string", options)
+    rest = [c for c in df.columns if c != out]
+    whole = df.select(*rest, F.explode(F.array(parsed)).alias(out))
+    return whole.where(F.col(out).isNotNull() & F.col(f"{out}._corrupt").isNull()).withColumn(out, F.col(out).dropFields("_corrupt"))
 
 
-def parse_payload(tracks: DataFrame, column: str = "payload") -> DataFrame:
-    return parse_json(tracks, column, schemas.PAYLOAD, column)
+def parse_payload(tracks: DataFrame, column: str = "payload", schema: str = schemas.PAYLOAD) -> DataFrame:
+    """The payload as nested columns; a narrower ``schema`` builds only the fields a job reads."""
+    return parse_json(tracks, column, schema, column)
 
 
 def listing_columns(tracks: DataFrame, payload: str = "payload") -> DataFrame:
