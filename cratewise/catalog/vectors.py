@@ -40,7 +40,7 @@ def group_affinity(spark, d):
     return profiles.affinity(_edges(spark, d), table(spark, d, "embeddings"), "vec_id", "label")
 
 
-VERDICT = f"""{PAIRS}, own AS (SELECT vec_id, label, 'f' || (label // 2) AS family, round(abs(v[1]) * 3, 4) AS confidence FROM e),
+VERDICT = f"""{PAIRS}, own AS (SELECT vec_id, label, 'f' || (label // 2) AS family, abs(v[1]) * 3 AS confidence FROM e),
 votes AS (SELECT n.vec_id, o.family AS nf, o.label AS ns, n.sim, n.rank FROM near n JOIN own o ON o.vec_id = n.neighbour WHERE n.rank <= 8 AND n.sim > 0),
 by_style AS (SELECT vec_id, nf, ns, sum(sim) AS w, min(rank) AS r FROM votes GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY vec_id, nf ORDER BY w DESC, r) AS k FROM by_style),
@@ -58,7 +58,7 @@ def _tracks(spark, d):
     return e.select(
         "vec_id", "embedding", F.col("label").cast("string").alias("style"),
         F.concat(F.lit("f"), F.floor(F.col("label") / 2).cast("string")).alias("family"),
-        F.round(F.abs(F.col("embedding")[0].cast("double")) * 3, 4).alias("confidence"),
+        (F.abs(F.col("embedding")[0].cast("double")) * 3).alias("confidence"),
     )
 
 
