@@ -96,6 +96,6 @@ def length_text(seconds: Column) -> Column:
 
 def date_text(epoch: Column) -> Column:
     """ISO date of epoch seconds, blank when unset."""
-    return F.when(F.coalesce(epoch, F.lit(0)) == 0, "").otherwise(
-        F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
-    )
+    # Whole days since the epoch, so the answer does not depend on the session's time zone.
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / 86400).cast("int"))
+    return F.when(F.coalesce(epoch, F.lit(0)) == 0, "").otherwise(day.cast("string"))
