@@ -42,7 +42,7 @@ LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
   SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
 sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(1) ORDER BY gram)) AS sig FROM grams GROUP BY doc_id),
 reps AS (SELECT sig, min(doc_id) AS doc_id, any_value(n) AS n FROM sizes GROUP BY sig),
 held AS (SELECT g.doc_id, g.gram, r.n FROM grams g JOIN reps r USING (doc_id)),
