@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
+from . import jaccard, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,13 @@ FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 def op7_note_classes(spark, folder):
     found = jaccard.note_classes(notes(table(spark, folder, "documents")), width=5, percent=80)
     return found.withColumnRenamed("hash", "doc_id")
+
+
+@query()
+def op10_passages(spark, folder):
+    cut = suffixes.without_repeats(notes(table(spark, folder, "documents")), length=100)
+    return cut.select(
+        F.col("hash").alias("doc_id"), F.octet_length(F.coalesce("note", F.lit(""))).cast("long").alias("n_bytes"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["e"] - s["s"]), F.lit(0).cast("long")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -48,3 +49,18 @@ def note_classes(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int
                 a, b = sorted((find(h), find(o)))
                 root[b] = a
     return {h: (len(s), find(h)) for h, s in sets.items()}
+
+
+def passages(rows: list[tuple[int, str | None]], length: int = 100) -> dict[int, tuple[int, int, int, str]]:
+    """(bytes, removed, spans, digest of what is left) of each note."""
+    seen, out = {}, {}
+    for h, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen.setdefault(raw[i : i + length], (h, i)) != (h, i):
+                gone[i : i + length] = b"\x01" * length
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out[h] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
