@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, suffixes
+from . import decontam, jaccard, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,26 @@ def op10_passages(spark, folder):
         F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["e"] - s["s"]), F.lit(0).cast("long")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '{ALNUM_SQL}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '{ALNUM_SQL}') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS win FROM i),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, pos, dw.size, item_id FROM (SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS win FROM dw) dw JOIN iw USING (size, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+)
+def op4_decontamination(spark, folder):
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("item"), "text")
+    found = decontam.contaminated_notes(notes(table(spark, folder, "documents")), items, size=10)
+    return found.select(
+        F.col("hash").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
