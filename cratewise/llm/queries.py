@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, suffixes
+from . import decontam, jaccard, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,27 @@ def op4_decontamination(spark, folder):
         F.col("hash").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op3_shards(spark, folder):
+    tracks = table(spark, folder, "documents").select(F.col("doc_id").alias("hash"), F.col("text").alias("payload"))
+    return shards.shard_tracks(tracks, shards=24).select(
+        F.col("hash").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT html, max(page_id) AS owner FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM p LEFT JOIN o USING (html)"""
+)
+def op5_archives(spark, folder):
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("page"), "url", "html")
+    return warc.archive_pages(pages).select(
+        F.expr("try_cast(record AS bigint)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("refers").cast("long").alias("refers_to"),
+    )
