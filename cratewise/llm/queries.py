@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, shards, suffixes, warc
+from . import decontam, jaccard, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,20 @@ def op5_archives(spark, folder):
         F.expr("try_cast(record AS bigint)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers").cast("long").alias("refers_to"),
     )
+
+
+@query()
+def op8_secrets(spark, folder):
+    cached = table(spark, folder, "documents").select(F.col("doc_id").alias("hash"), F.col("text").alias("response_json"))
+    found = secrets.found_secrets(cached)
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*kinds):
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        F.col("hash").alias("doc_id"), *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(listed(of(*secrets.BASE)), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
+    )

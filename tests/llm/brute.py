@@ -64,3 +64,15 @@ def passages(rows: list[tuple[int, str | None]], length: int = 100) -> dict[int,
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out[h] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def secrets(text: str | None) -> tuple[int, int, int, str]:
+    """The base kinds straight from their patterns."""
+    t, found = text or "", []
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for k, (kind, pattern, group, least) in enumerate(
+        [("assign", assign, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    ):
+        found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(t) if len(m.group(group)) >= least]
+    digest = hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+    return (*(sum(x[1] == k for x in found) for k in range(3)), digest)
