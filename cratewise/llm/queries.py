@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, secrets, shards, suffixes, warc
+from . import decontam, jaccard, licenses, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,21 @@ def op8_secrets(spark, folder):
         F.col("hash").alias("doc_id"), *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE],
         F.sha2(listed(of(*secrets.BASE)), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query()
+def op2_licenses(spark, folder):
+    notices = table(spark, folder, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("notice"))
+    found = licenses.licensed_notices(notices).select("name", "found.*")
+    starts = F.transform("base", lambda p: p["start"])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    both = F.concat("base", "matches")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(both, lambda p: F.sequence(p["start"], p["end"] - 1)))))
+    return found.select(
+        F.col("name").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(F.col("base")).alias("base_labels"), labels(both).alias("labels"),
+        F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"),
+    )

@@ -76,3 +76,12 @@ def secrets(text: str | None) -> tuple[int, int, int, str]:
         found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(t) if len(m.group(group)) >= least]
     digest = hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
     return (*(sum(x[1] == k for x in found) for k in range(3)), digest)
+
+
+def licenses(text: str | None) -> tuple:
+    """Words, places of base phrases, their least and largest start, their labels."""
+    w = words(text)
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    at = [(i, x) for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in at]
+    return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
