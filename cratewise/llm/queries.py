@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, secrets, shards, suffixes, warc
+from . import decontam, jaccard, licenses, quality, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,17 @@ def op2_licenses(spark, folder):
         F.array_max(starts).alias("last_word"), labels(F.col("base")).alias("base_labels"), labels(both).alias("labels"),
         F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"),
     )
+
+
+def grades(spark: SparkSession, folder: str) -> DataFrame:
+    """``labels`` as grades of notes: (hash, keep)."""
+    return table(spark, folder, "labels").select(F.col("doc_id").alias("hash"), F.col("quality").alias("keep"))
+
+
+@query()
+def op1_quality(spark, folder):
+    texts = notes(table(spark, folder, "documents"))
+    forest = quality.train_quality(texts, grades(spark, folder), most=20_000)
+    return quality.graded_notes(texts, forest).select(
+        F.col("hash").alias("doc_id"), quality.held_out(F.col("hash")).alias("held_out"), "score", "predicted"
+    )
