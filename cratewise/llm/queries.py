@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, quality, secrets, shards, suffixes, warc
+from . import covertree, decontam, jaccard, licenses, quality, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,16 @@ def op1_quality(spark, folder):
     return quality.graded_notes(texts, forest).select(
         F.col("hash").alias("doc_id"), quality.held_out(F.col("hash")).alias("held_out"), "score", "predicted"
     )
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+)
+def op9_nearest(spark, folder):
+    tracks = table(spark, folder, "embeddings").select(F.col("vec_id").alias("hash"), "embedding")
+    found = covertree.top_tracks(tracks, tracks.where("hash % 20 = 0"), k=20, scale=64)
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("hash").alias("vec_id"), "score")
