@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, jaccard, licenses, quality, secrets, shards, suffixes, warc
+from . import covertree, decontam, jaccard, licenses, mixture, quality, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +177,29 @@ def op9_nearest(spark, folder):
     tracks = table(spark, folder, "embeddings").select(F.col("vec_id").alias("hash"), "embedding")
     found = covertree.top_tracks(tracks, tracks.where("hash % 20 = 0"), k=20, scale=64)
     return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("hash").alias("vec_id"), "score")
+
+
+# Parameters of the mixture: a source's domain, and weights on domains and languages.
+DOMAINS = {"web": range(5), "forum": range(5, 10), "books": range(10, 15), "news": range(15, 20)}
+WEIGHTS = {("web",): 0.4, ("forum",): 0.2, ("books",): 0.2, ("news",): 0.2} | {
+    (d, lang): w for d in DOMAINS for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))
+}
+LEVELS = ("domain", "lang", "source")
+
+
+def domain_of(source):
+    named = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int)"), F.lit(-1))
+    out = F.lit("other")
+    for name, numbers in DOMAINS.items():
+        out = F.when(named.isin(*numbers), F.lit(name)).otherwise(out)
+    return out
+
+
+@query()
+def op6_mixture(spark, folder):
+    tracks = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("hash"), F.col("text").alias("note"), domain_of("source").alias("domain"), "lang", "source"
+    )
+    return mixture.mixed(tracks, LEVELS, WEIGHTS, share=0.8, epochs=2, seed=17).select(
+        F.col("hash").alias("doc_id"), *LEVELS, "tokens", "copies"
+    )
