@@ -111,21 +111,23 @@ def contaminated_notes(notes: DataFrame, items: DataFrame, size: int = 10) -> Da
 
 
 def clean_notes(notes: DataFrame, items: DataFrame, size: int = 10, action: str = "document") -> DataFrame:
-    """``notes`` without evaluation passages, with the columns it came with.
+    """``notes`` without evaluation passages, with the columns it came with (but any ``_item_...``).
 
     ``action`` "document" leaves out notes with a hit; "span" cuts the words that are hit,
     and what parts them, out of the note.
     """
+    notes = notes.drop("_item_hash", "_item_print", "_item_hits")
     dirty = cut_lineage(contamination(notes, items, size).where(F.size("hits") > 0).select(
-        F.col("hash").alias("_h"), F.col("print").alias("_p"), "hits"
+        F.col("hash").alias("_item_hash"), F.col("print").alias("_item_print"), F.col("hits").alias("_item_hits")
     ))
-    same = F.col("hash").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce("note", F.lit(""))) == F.col("_p"))
+    same = F.col("hash").eqNullSafe(F.col("_item_hash")) & (F.xxhash64(F.coalesce("note", F.lit(""))) == F.col("_item_print"))
     if action == "document":
-        return notes.join(bounded_side(dirty.drop("hits")), same, "left_anti")
+        return notes.join(bounded_side(dirty.drop("_item_hits")), same, "left_anti")
     if action != "span":
         raise ValueError("action must be document or span")
     joined = notes.join(bounded_side(dirty, 100_000), same, "left")
-    return joined.withColumn("note", F.when(F.col("hits").isNull(), F.col("note")).otherwise(_cut(F.col("note"), F.col("hits")))).drop("_h", "_p", "hits")
+    cut = F.when(F.col("_item_hits").isNull(), F.col("note")).otherwise(_cut(F.col("note"), F.col("_item_hits")))
+    return joined.withColumn("note", cut).drop("_item_hash", "_item_print", "_item_hits")
 
 
 def _cut(text: Column, hits: Column) -> Column:

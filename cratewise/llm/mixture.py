@@ -76,7 +76,9 @@ def mixed(
     """``tracks`` with ``tokens`` and ``copies``: how often each is taken to meet the mixture.
 
     ``tracks`` is (hash, note), the columns named by ``levels`` from the top of the tree
-    down, and any others but ``tokens`` and ``copies``; all are returned. The budget is
+    down, and any others; all are returned, but columns of the names ``tokens``,
+    ``copies``, ``_leaf``, ``_whole``, ``_rest``, ``_end``, ``_before``, ``_at``, ``_bucket``
+    are replaced or left out. The budget is
     ``share`` of all tokens. A leaf is read for at most ``epochs`` epochs, each in a
     seeded order of its own: whole epochs as often as its budget holds them, then the
     longest beginning of the next epoch's order that fits in the rest.
@@ -93,7 +95,7 @@ def mixed(
     spark = tracks.sparkSession
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels]
     leaf = F.concat_ws("\x1f", *text)
-    keyed = tracks.withColumn("_leaf", leaf)
+    keyed = tracks.drop("tokens", "copies", "_whole", "_rest", "_budget", "_end", "_before", "_at", "_bucket").withColumn("_leaf", leaf)
     narrow = cut_lineage(keyed.select("hash", "_leaf", tokens_in(F.col("note")).alias("tokens")))
     rows = fetch_bounded(narrow.groupBy("_leaf").agg(F.sum("tokens").alias("n")), MAX_LEAVES)
     if rows is None:
@@ -101,27 +103,27 @@ def mixed(
     held = {tuple(r["_leaf"].split("\x1f")): r["n"] for r in rows}
     goal = leaf_budgets(held, weights or {}, share * sum(held.values()), epochs)
     plan = [("\x1f".join(p), *(divmod(goal[p], n) if n else (0, 0)), goal[p]) for p, n in sorted(held.items())]
-    plan = spark.createDataFrame(plan, "_leaf string, whole long, rest long, budget long")
+    plan = spark.createDataFrame(plan, "_leaf string, _whole long, _rest long, _budget long")
 
     def ordered(df: DataFrame, plans: DataFrame) -> DataFrame:
-        place = F.xxhash64(F.lit(seed), "whole", "hash")
+        place = F.xxhash64(F.lit(seed), "_whole", "hash")
         return df.join(F.broadcast(plans), "_leaf").withColumn("_at", place).withColumn("_bucket", F.shiftrightunsigned("_at", 52))
 
-    sums = cut_lineage(ordered(narrow, plan).groupBy("_leaf", "_bucket", "rest").agg(F.sum("tokens").alias("n")))
+    sums = cut_lineage(ordered(narrow, plan).groupBy("_leaf", "_bucket", "_rest").agg(F.sum("tokens").alias("n")))
     upto = F.sum("n").over(Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy("_leaf").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    ends = sums.withColumn("upto", upto).where("upto > _rest").groupBy("_leaf").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
     cuts = cut_lineage(plan.join(ends, "_leaf", "left").select(
-        "_leaf", "whole", "rest", F.coalesce("e._bucket", F.lit(BUCKETS)).alias("_end"), F.coalesce("e.before", F.lit(0)).alias("_before")
+        "_leaf", "_whole", "_rest", F.coalesce("e._bucket", F.lit(BUCKETS)).alias("_end"), F.coalesce("e.before", F.lit(0)).alias("_before")
     ).coalesce(1))
     placed = ordered(keyed, cuts)
     inside = placed.where("_bucket <> _end").withColumn("tokens", tokens_in(F.col("note"))).withColumn(
-        "copies", F.col("whole") + ((F.col("_bucket") < F.col("_end")) & (F.col("rest") > 0)).cast("long")
+        "copies", F.col("_whole") + ((F.col("_bucket") < F.col("_end")) & (F.col("_rest") > 0)).cast("long")
     )
     run = Window.partitionBy("_leaf").orderBy("_at", "hash", F.xxhash64("note")).rowsBetween(Window.unboundedPreceding, 0)
     last = placed.where("_bucket = _end").withColumn("tokens", tokens_in(F.col("note"))).withColumn(
-        "copies", F.col("whole") + ((F.col("_before") + F.sum("tokens").over(run) <= F.col("rest")) & (F.col("rest") > 0)).cast("long")
+        "copies", F.col("_whole") + ((F.col("_before") + F.sum("tokens").over(run) <= F.col("_rest")) & (F.col("_rest") > 0)).cast("long")
     )
-    return inside.unionByName(last).drop("_leaf", "whole", "rest", "_end", "_before", "_at", "_bucket")
+    return inside.unionByName(last).drop("_leaf", "_whole", "_rest", "_end", "_before", "_at", "_bucket")
 
 
 def taken(mixture: DataFrame) -> DataFrame:

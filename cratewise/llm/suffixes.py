@@ -193,11 +193,11 @@ def repeated_spans(notes: DataFrame, length: int = 100, gram: int = GRAM) -> Dat
     long = texts.where(F.octet_length("note") >= length)
     digest = F.md5("note")
     twins = cut_lineage(
-        long.groupBy(digest.alias("digest")).agg(F.min("hash").alias("first"), F.max("hash").alias("last"), F.count("*").alias("n"))
-        .where((F.col("n") > 1) & ~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
+        long.groupBy(digest.alias("digest")).agg(F.min(F.struct("hash")).alias("first"), F.max(F.struct("hash")).alias("last"))
+        .where("first <> last").select("digest", F.col("first.hash").alias("first"), F.lit(True).alias("known"))
     )
     flagged = long.withColumn("digest", digest).join(bounded_side(twins), "digest", "left")
-    twin = F.col("first").isNotNull() & ~F.col("hash").eqNullSafe(F.col("first"))
+    twin = F.col("known").isNotNull() & ~F.col("hash").eqNullSafe(F.col("first"))
     whole = flagged.where(twin).select("hash", "checksum", F.lit(0).cast("long").alias("s"), F.octet_length("note").cast("long").alias("e"))
     own = flagged.where(~twin).select("hash", "checksum", "note")
 
@@ -244,8 +244,8 @@ def _merged(found: Column) -> Column:
 def without_repeats(notes: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """``notes`` with ``spans`` and ``kept``: the bytes left once repeated passages are cut out.
 
-    ``notes`` is (hash, note) and any further columns but ``spans``, ``kept`` and
-    ``checksum``, all returned. ``kept`` is binary, since a cut can fall inside a
+    ``notes`` is (hash, note) and any further columns, all returned, but those named
+    ``spans``, ``kept``, ``checksum``, ``_h`` and ``_c`` are replaced or left out. ``kept`` is binary, since a cut can fall inside a
     character. Each row is returned once.
 
     * A null or empty note has no bytes and no spans; so has one shorter than ``length``.
@@ -254,6 +254,7 @@ def without_repeats(notes: DataFrame, length: int = 100, gram: int = GRAM) -> Da
     * A null hash comes before all others.
     * An empty table gives no rows; notes of any length are read whole.
     """
+    notes = notes.drop("spans", "kept", "checksum", "_h", "_c")
     spans = cut_lineage(repeated_spans(notes, length, gram))
     text = F.coalesce(F.col("note"), F.lit(""))
     keyed = notes.withColumn("checksum", _checksum(F.col("note")))
