@@ -13,7 +13,7 @@ def _talk(spark, d):
     return table(spark, d, "conversations")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) // 40 - 1 END AS stars, CASE WHEN role = 'assistant' THEN substr(upper(trim(substr(text, 1, 6))), 1, 4) END AS grade,
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN length(text) // 40 - 1 END AS stars, CASE WHEN role = 'assistant' THEN substr(upper(trim(text)), 1, 4) END AS grade,
  CASE WHEN role = 'system' THEN trim(text) WHEN turn = 3 THEN text END AS note FROM conversations)
 SELECT conv_id, coalesce(greatest(0, least(5, arg_max(stars, turn) FILTER (stars IS NOT NULL))), 0)::INT AS stars, coalesce(arg_max(grade, turn) FILTER (grade IS NOT NULL), '') AS grade,
  coalesce(substr(trim(arg_max(note, turn) FILTER (note IS NOT NULL)), 1, 1000), '') AS note FROM r GROUP BY 1""")
@@ -22,7 +22,7 @@ def partial_ratings(spark, d):
     t = _talk(spark, d)
     events = t.select(
         "conv_id", "turn", F.when(F.col("role") == "user", (F.floor(F.length("text") / 40) - 1).cast("string")).alias("stars"),
-        F.when(F.col("role") == "assistant", F.substring("text", 1, 6)).alias("grade"), F.when((F.col("role") == "system") | (F.col("turn") == 3), F.col("text")).alias("note"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("grade"), F.when((F.col("role") == "system") | (F.col("turn") == 3), F.col("text")).alias("note"),
     )
     return E.rating_state(events, "conv_id", "turn")
 

@@ -42,7 +42,7 @@ def label_priority(spark, d):
 def unlabelled_queue(spark, d):
     """How many tracks the labelling queue still holds."""
     docs = table(spark, d, "documents")
-    out = L.next_unlabelled(docs, table(spark, d, "labels"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "source", limit=2**31 - 1)
+    out = L.unlabelled(docs, table(spark, d, "labels"), table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "source")
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -19,7 +19,7 @@ def json_extract_cols(spark, d):
     """Typed columns parsed out of JSON; rows that do not parse are left out."""
     k = F.get_json_object("props", "$.k").cast("int")
     broken = table(spark, d, "events").withColumn("props", F.when(k % 10 == 0, F.concat("props", F.lit("}{"))).otherwise(F.col("props")))
-    broken = broken.withColumn("props", F.when(k % 10 == 0, F.substring("props", 2, 100)).otherwise(F.col("props")))
+    broken = broken.withColumn("props", F.when(k % 10 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")))
     return tracks.parse_json(broken, "props", "k int", "p").select("event_id", "p.k")
 
 
@@ -132,11 +132,11 @@ def repair_report(spark, d):
     return files.repair_report(files.repair_paths(lib, scanned, disk), scanned)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(substr(text, 1, 20)) WHEN length(trim(text)) <= 300 THEN trim(text) END AS genre, role AS artist FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(text)) <= 300 THEN trim(text) END AS genre, role AS artist FROM conversations""")
 def tag_fields(spark, d):
     """Container tags onto known fields: aliases, any case, at most 300 characters."""
     c = table(spark, d, "conversations")
-    raw = F.map_from_arrays(F.array(F.lit("GENRE"), F.lit("Artist"), F.lit("junk")), F.array(F.when(F.col("role") == "user", F.substring("text", 1, 20)).otherwise(F.col("text")), F.concat(F.lit(" "), F.col("role")), F.lit("x")))
+    raw = F.map_from_arrays(F.array(F.lit("GENRE"), F.lit("Artist"), F.lit("junk")), F.array(F.col("text"), F.concat(F.lit(" "), F.col("role")), F.lit("x")))
     tags = tracks.normalise_tags(raw)
     out = c.select("conv_id", "turn", tags.alias("t"))
     return out.select("conv_id", "turn", F.try_element_at("t", F.lit("genre")).alias("genre"), F.try_element_at("t", F.lit("artist")).alias("artist"))
@@ -295,12 +295,12 @@ def key_annotations(spark, d):
 GRAPH = "ed AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey + 7 FROM part WHERE p_size > 30)"
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT child, depth + 1 FROM r JOIN ed ON parent = node WHERE depth < 12) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {GRAPH}, r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT child, depth + 1 FROM r JOIN ed ON parent = node WHERE depth < 64) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
 def graph_depth(spark, d):
     """Shortest distance from the root down a graph with cycles."""
     part = table(spark, d, "part")
     edges = part.where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent")).union(part.where("p_size > 30").select("p_partkey", F.col("p_partkey") + 7))
-    return R.graph_depth(edges, 0, max_depth=12)
+    return R.graph_depth(edges, 0)
 
 
 @query("SELECT 'lang' AS field, count(*) FILTER (lang <> '') AS n FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'quality', count(quality) FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'words', count(*) FILTER (contains(text, ' ')) FROM documents")

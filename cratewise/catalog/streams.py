@@ -18,8 +18,11 @@ held AS (SELECT user_id, i, frame_idx, style FROM r WHERE i = 0 UNION ALL
 
 
 def _stream(spark, d, name):
-    """One table of the folder as a file stream."""
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """One table as a file stream, be it a lone file or a folder of part files."""
+    reader, path = spark.readStream.schema(table(spark, d, name).schema), f"{d}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return reader.parquet(path) if status.isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 @query(f"WITH RECURSIVE {STREAMED} SELECT user_id, frame_idx, style FROM held")
@@ -34,13 +37,25 @@ def frame_stream(spark, d):
     return spark.read.schema("user_id long, frame_idx long, style string").parquet(f"{out}/rows")
 
 
-@query("SELECT sha1(text) AS hash, min('d/' || lpad(doc_id::VARCHAR, 9, '0') || '.mp3') AS path, strlen(text) / 4.0 AS duration FROM documents WHERE strlen(text) / 4.0 >= 50 GROUP BY sha1(text), strlen(text)")
-def ingest_documents(spark, d):
-    """Documents as a stream of files: hashed, deduplicated, analysed, gated by length and appended; run twice."""
+def _ingested(spark, d):
+    """The store after documents were streamed in as files, twice over."""
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".mp3"))
     out = f"{scratch_folder(spark)}/ingest-{uuid.uuid4().hex}"
     for attempt in ("a", "b"):  # the second run starts over from nothing and must add nothing
         stream = _stream(spark, d, "documents")
         files = stream.select(path.alias("path"), F.encode("text", "utf-8").alias("content"))
         ingest.run_ingest(files, f"{out}/store", f"{out}/log-{attempt}", stub_engines(sorted(STYLES.values())), minimum=50.0).awaitTermination()
-    return ingest.read_store(spark, f"{out}/store").select("hash", "path", "duration")
+    return f"{out}/store"
+
+
+@query("SELECT sha1(text) AS hash, min('d/' || lpad(doc_id::VARCHAR, 9, '0') || '.mp3') AS path, strlen(text) / 4.0 AS duration FROM documents WHERE strlen(text) / 4.0 >= 50 GROUP BY sha1(text), strlen(text)")
+def ingest_documents(spark, d):
+    """Documents as a stream of files: hashed, deduplicated, analysed, gated by length and appended; run twice."""
+    return ingest.read_store(spark, _ingested(spark, d)).select("hash", "path", "duration")
+
+
+@query("""WITH f AS (SELECT DISTINCT sha1(text) AS hash, strlen(text) / 4.0 AS duration FROM documents)
+SELECT CASE WHEN duration < 50 THEN 'short' ELSE 'ok' END AS status, count(*) AS files, round(sum(duration), 2)::DOUBLE AS seconds FROM f GROUP BY 1""")
+def ingest_report(spark, d):
+    """Totals of that ingest: files stored and files left out as short."""
+    return ingest.ingest_report(spark, _ingested(spark, d))

@@ -51,7 +51,7 @@ def keys_compatible(a: Column, b: Column) -> Column:
 
 def bpms_compatible(a: Column, b: Column) -> Column:
     """Within 6 % directly or at half or double time; an unknown tempo never excludes."""
-    ratio = F.greatest(a, b) / F.least(a, b)
+    ratio = F.try_divide(F.greatest(a, b), F.least(a, b))
     near = lambda x: F.abs(x - 1) <= BPM_TOLERANCE
     return a.isNull() | b.isNull() | F.coalesce(near(ratio) | near(ratio / 2) | near(ratio * 2), F.lit(False))
 

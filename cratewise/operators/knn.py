@@ -261,7 +261,7 @@ def misread_audit(
     enough = tracks.where(F.col(vec).isNotNull()).limit(4).agg((F.count(F.lit(1)) >= 4).alias("ok")).select("ok").scalar()
     near = knn_join(tracks, key, vec, k, eps=1e-9, **options)
     verdict = neighbour_verdict(near, tracks.drop(vec), tracks.select(key, "style", "family"), key, bounds)
-    return verdict.where("flag").where(enough)
+    return verdict.where("flag").where(enough).orderBy("confidence", key)
 
 
 def check_one(vector: list[float], style: str, family: str, confidence: float, tracks: DataFrame, key: str, vec: str, k: int = NEIGHBOURS) -> DataFrame:

@@ -110,10 +110,15 @@ def contested_order(rows: DataFrame, key: str, a: str = "tag_keystone", b: str =
     return turns.join(placed.drop("size"), "boundary").select(key, "boundary", "tier", "turn", "place")
 
 
+def unlabelled(tracks: DataFrame, labels: DataFrame, skip: DataFrame, key: str, path: str | None = None) -> DataFrame:
+    """Tracks with a path that are neither labelled nor in ``skip``: the pool of the queue."""
+    pool = tracks if path is None else tracks.where(F.coalesce(path, F.lit("")) != "")
+    return pool.join(labels.select(key), key, "left_anti").join(skip.select(key), key, "left_anti")
+
+
 def next_unlabelled(tracks: DataFrame, labels: DataFrame, skip: DataFrame, key: str, path: str | None = None, seed: int = 0, limit: int = 1) -> DataFrame:
     """Unlabelled tracks with a path and not in ``skip``, in seeded random order."""
-    pool = tracks if path is None else tracks.where(F.coalesce(path, F.lit("")) != "")
-    left = pool.join(labels.select(key), key, "left_anti").join(skip.select(key), key, "left_anti")
+    left = unlabelled(tracks, labels, skip, key, path)
     return left.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(limit)
 
 

@@ -135,7 +135,7 @@ def summary_card(groups: DataFrame, name: str) -> DataFrame:
         F.max("count").alias("largest_count"),
         F.count_if(F.trim(F.coalesce("description", F.lit(""))) != "").alias("described"),
         F.min_by(name, F.struct((-F.col("count")).alias("c"), F.col(name))).alias("largest"),
-    ).withColumn("largest_share", F.round(F.col("largest_count") / F.col("members"), 4))
+    ).withColumn("largest_share", F.round(F.coalesce(F.try_divide("largest_count", "members"), F.lit(0.0)), 4))
 
 
 def affinity(edges: DataFrame, nodes: DataFrame, key: str, group: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ DEPTH_LIMIT = 64
 def pretty_value(value: Column) -> Column:
     """A resource address as its article title, anything else as plain text."""
     v = F.trim(F.coalesce(value, F.lit("")))
-    title = F.translate(F.try_url_decode(F.substring(v, len(RESOURCE) + 1, 10_000)), "_", " ")
+    title = F.translate(F.try_url_decode(F.regexp_replace(v, "^" + re.escape(RESOURCE), "")), "_", " ")
     return T.strip_html(F.when(v.startswith(RESOURCE), title).otherwise(v))
 
 
@@ -62,10 +64,11 @@ def build_records(items: DataFrame, aliases: DataFrame, relations: DataFrame, in
     rel = ordered_distinct(named, ["id", "field"], "value", "pos").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("relations"))
     boxed = infobox.join(base.select("id", "name", "title"), "title")
     origin = boxed.where(F.col("field") == "cultural_origins").groupBy("id").agg(F.min(T.year_of(F.col("value"))).alias("box_year"))
-    others = boxed.where(F.col("field") == "other_names").select("id", (F.col("pos") + 1_000_000).alias("pos"), F.explode(split_names(F.col("value"))).alias("alias"))
+    placed = lambda source: F.struct(F.lit(source).alias("source"), F.col("pos").alias("at"))
+    others = boxed.where(F.col("field") == "other_names").select("id", placed(1).alias("pos"), F.explode(split_names(F.col("value"))).alias("alias"))
     known = aliases.select("id", T.name_key(F.col("alias")).alias("k")).unionByName(base.select("id", F.col("key").alias("k"))).distinct()
     fresh = others.withColumn("k", T.name_key(F.col("alias"))).join(known, ["id", "k"], "left_anti").drop("k")
-    names = ordered_distinct(aliases.select("id", "pos", "alias").unionByName(fresh.select("id", "pos", "alias")), ["id"], "alias", "pos")
+    names = ordered_distinct(aliases.select("id", placed(0).alias("pos"), "alias").unionByName(fresh.select("id", "pos", "alias")), ["id"], "alias", "pos")
     fields = boxed.where(~F.col("field").isin("cultural_origins", "other_names")).withColumn("value", pretty_value(F.col("value")))
     box = ordered_distinct(clean_relations(fields, "value", "name"), ["id", "field"], "value", "pos").groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("infobox")

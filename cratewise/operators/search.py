@@ -175,10 +175,10 @@ def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     is one row. Those cells meet on an equi-join of compatible key and neighbouring
     tempo bucket on the octave circle; the exact tempo rule is the residual.
     """
-    keyed = tracks.where(music.wheel_number(F.col("camelot")).isNotNull() & (F.col("bpm").isNull() | (F.col("bpm") > 0)))
+    keyed = tracks.where(music.wheel_number(F.col("camelot")).isNotNull() & (F.col("bpm").isNull() | (F.col("bpm") >= 0)))
     cells = keyed.groupBy("camelot", "bpm").agg(F.count(F.lit(1)).alias("c"))
     octave = F.log2("bpm") - F.floor(F.log2("bpm"))
-    timed = cells.where(F.col("bpm").isNotNull()).withColumn(
+    timed = cells.where("bpm > 0").withColumn(
         "bucket", F.least(F.lit(OCTAVE_BUCKETS - 1).cast("long"), F.floor(octave * OCTAVE_BUCKETS))
     )
     near = F.array(*[F.pmod(F.col("bucket") + d, F.lit(OCTAVE_BUCKETS)) for d in (-1, 0, 1)])
@@ -194,7 +194,8 @@ def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     timed_hits = timed_hits.select(F.col("camelot").alias("_c"), F.col("bpm").alias("_b"), "hits")
     scored = cells.join(wide, "camelot").join(timed_hits, (F.col("camelot") == F.col("_c")) & (F.col("bpm") == F.col("_b")), "left").select(
         "camelot", "bpm",
-        (F.when(F.col("bpm").isNull(), F.col("any_bpm")).otherwise(F.coalesce("hits", F.lit(0)) + F.col("unknown")) - 1).alias("partners"),
+        F.when(F.col("bpm").isNull(), F.col("any_bpm") - 1).when(F.col("bpm") == 0, F.col("unknown"))
+        .otherwise(F.coalesce("hits", F.lit(0)) + F.col("unknown") - 1).alias("partners"),
     )
     per_cell = scored.select(F.col("camelot").alias("_k"), F.col("bpm").alias("_b"), "partners")
     return tracks.join(per_cell, (F.col("camelot") == F.col("_k")) & F.col("bpm").eqNullSafe(F.col("_b")), "left").select(

@@ -12,7 +12,7 @@ AUDIO_SUFFIXES = [
 ]
 SKIP_FOLDERS = [
     "$recycle.bin", "system volume information", "windows", "program files", "program files (x86)",
-    "programdata",
+    "programdata", "users", "appdata", ".git", "node_modules", "__pycache__", "temp",
 ]
 EXAMPLES = 25
 
@@ -21,7 +21,7 @@ def is_audio_path(path: Column) -> Column:
     """Audio suffix, not a ``._`` sidecar, not under a system folder."""
     name = F.substring_index(path, "/", -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    folders = F.split(F.lower(path), "/")
+    folders = F.slice(F.split(F.lower(path), "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     system = F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_FOLDERS))) | F.exists(folders, lambda f: f.startswith("pytest-of-"))
     return suffix.isin(AUDIO_SUFFIXES) & ~name.startswith("._") & ~system
 
@@ -35,7 +35,8 @@ def below(path: Column, root: str | None) -> Column:
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content, length) of the audio files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    suffixes = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in AUDIO_SUFFIXES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{suffixes}}}").load(folder)
     return files.where(is_audio_path(below(F.col("path"), folder))).select("path", "content", "length")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import music, reads
 from ..operators.learn import Engines, analyse
+from ..plans.guards import cut_lineage
 from ..sources.files import below, is_audio_path
 
 STORE = (
@@ -30,8 +31,8 @@ def new_tracks(
     """Analysed rows for content not stored yet; failures and short files are rows with a status."""
     hashed = files.where(is_audio_path(below(F.col("path"), root))).select(F.sha1("content").alias("hash"), "path", "content")
     fresh = hashed.join(known.where(F.col("status") == "ok").select("hash"), "hash", "left_anti")
-    once = fresh.groupBy("hash").agg(F.min("path").alias("path"), F.min("content").alias("content"))
-    out = analyse(once, engines)
+    once = fresh.groupBy("hash").agg(F.min("path").alias("path"))
+    out = analyse(fresh.join(once, ["hash", "path"]).dropDuplicates(["hash"]), engines)
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("duration") < minimum, "short").otherwise("ok")
     return out.select(
         "hash", "path", reads.trim_flat(F.col("styles")).alias("styles"), "bpm", "key", "scale",
@@ -42,10 +43,26 @@ def new_tracks(
 def ingest_batch(
     files: DataFrame, store: str, engines: Engines, minimum: float = 0.0, root: str | None = None
 ) -> None:
-    """One idempotent append: only tracks that analysed well and are long enough are stored."""
+    """One idempotent append: tracks that analysed well and are long enough go to ``store``.
+
+    Failures and short files go to a table beside it (:func:`read_skipped`), one row per attempt.
+    """
     spark = files.sparkSession
-    rows = new_tracks(files, read_store(spark, store), engines, minimum, root)
+    rows = cut_lineage(new_tracks(files, read_store(spark, store), engines, minimum, root))
     rows.where(F.col("status") == "ok").write.mode("append").parquet(store)
+    rows.where(F.col("status") != "ok").write.mode("append").parquet(f"{store}-skipped")
+
+
+def read_skipped(spark: SparkSession, store: str) -> DataFrame:
+    """Files that failed or were short, latest known state per content; empty before the first."""
+    return read_store(spark, f"{store}-skipped").dropDuplicates(["hash"])
+
+
+def ingest_report(spark: SparkSession, store: str) -> DataFrame:
+    """(status, files, seconds): totals of an ingest: stored, short and failed."""
+    kept = read_store(spark, store)
+    skipped = read_skipped(spark, store).join(kept.select("hash"), "hash", "left_anti")
+    return kept.unionByName(skipped).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("duration"), 2).alias("seconds"))
 
 
 def run_ingest(files: DataFrame, store: str, checkpoint: str, engines: Engines, minimum: float = 0.0, root: str | None = None):
