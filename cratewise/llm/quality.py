@@ -75,7 +75,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         echo = np.bincount(row[1:][near & (names[1:] == names[:-1])], minlength=rows) if len(row) else np.zeros(rows)
         ls, le = runs(raw != 10, off)
         lrow = np.searchsorted(off, ls, side="right") - 1
-        lines = np.maximum(np.bincount(lrow, minlength=rows), 1)
+        lines = np.bincount(lrow, minlength=rows)
         line_kinds, _ = _distinct(lrow, prints.of(ls, le), rows)
 
         def by_word(mask: np.ndarray, row=row, rows=rows, w=w) -> np.ndarray:
@@ -87,7 +87,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
             share(_UPPER[raw]) / np.maximum(letters, 1e-9), share(_DIGIT[raw]), share(_MARK[raw]), share(_SYMBOL[raw]), share(raw == 33),
             share(raw >= 128), share(raw == 10), share(_BLANK[raw]), share((raw == 46) | (raw == 63), w), share(raw == 44, w),
             kinds / w, pair_kinds / np.maximum(count - 1, 1), echo / w, top / w, by_word(size == 1), by_word(size > 20),
-            1 - np.minimum(line_kinds / lines, 1), by_word(_UPPER[raw][starts]), share(raw == 124, w),
+            (lines - line_kinds) / np.maximum(lines, 1), by_word(_UPPER[raw][starts]), share(raw == 124, w),
         ]))
     return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
 
