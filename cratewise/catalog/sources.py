@@ -369,13 +369,23 @@ def genre_records(spark, d):
     return out.select("id", "key", "description", "origin_year", "electronic_depth", F.array_join("sources", ",").alias("sources"), F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("""SELECT lower(p_brand) AS name, 'House' AS keystone FROM part UNION SELECT lower(p_name), 'House' FROM part UNION SELECT lower(p_type), 'House' FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_brand) FROM part)""")
+@query("""WITH hubs AS (SELECT 'hub' || r_regionkey AS name, CASE r_regionkey WHEN 0 THEN 'House' WHEN 1 THEN 'Drum n Bass' WHEN 2 THEN 'Ambient' WHEN 3 THEN 'Techno' END AS keystone FROM region),
+rec AS (SELECT p_partkey AS pos, lower(trim(p_brand)) AS brand, lower(trim(p_name)) AS alias, CASE p_size % 4 WHEN 0 THEN 'House' WHEN 1 THEN 'Techno' WHEN 2 THEN 'Dubstep' ELSE h.keystone END AS keystone
+  FROM part LEFT JOIN hubs h ON h.name = 'hub' || p_partkey % 5),
+spelled AS (SELECT brand AS name, pos, keystone FROM rec UNION ALL SELECT alias, pos, keystone FROM rec)
+SELECT name, arg_min(coalesce(keystone, ''), pos) AS keystone FROM spelled GROUP BY name HAVING arg_min(coalesce(keystone, ''), pos) <> '' UNION ALL SELECT name, keystone FROM hubs WHERE keystone IS NOT NULL""")
 def graph_keystones(spark, d):
-    """Names placed by walking a genre graph from alias to canonical name to ancestors."""
-    part = table(spark, d, "part")
-    brands = part.groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_name").alias("aliases")).withColumn("parents", F.array(F.lit("Brand Type")))
-    middle = part.agg(F.lit("Brand Type").alias("name"), F.collect_set("p_type").alias("aliases")).withColumn("parents", F.array(F.lit("Brand Type"), F.lit("deep house")))
-    return taxonomy.graph_keystones(brands.unionByName(middle)).where("name <> 'brand type'")
+    """Names placed by walking a genre graph: the first record of a spelling, its parents, their hubs."""
+    part, e = table(spark, d, "part"), F.lit
+    parent = F.when(F.col("p_size") % 4 == 0, "Deep House").when(F.col("p_size") % 4 == 1, "Techno").when(F.col("p_size") % 4 == 2, "Dubstep").otherwise(
+        F.concat(e("Hub"), (F.col("p_partkey") % 5).cast("string"))
+    )
+    records = part.select(F.col("p_partkey").cast("long").alias("pos"), F.col("p_brand").alias("name"), F.array("p_name").alias("aliases"), F.array(parent).alias("parents"))
+    up = F.element_at(F.array(e("Deep House"), e("Drum n Bass"), e("Dark Ambient"), e("Techno"), e("nowhere")), F.col("r_regionkey").cast("int") + 1)
+    hubs = table(spark, d, "region").select(
+        (-1 - F.col("r_regionkey")).cast("long").alias("pos"), F.concat(e("hub"), F.col("r_regionkey").cast("string")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.array(up).alias("parents")
+    )
+    return taxonomy.graph_keystones(records.unionByName(hubs))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_name WHEN s_nationkey < 10 THEN NULL ELSE 'd' || s_nationkey END AS prose, 'a n b n c' AS folded, 's ' || s_suppkey AS artist, 'AC_DC #_' AS safe, '1,b' AS listed,

@@ -79,11 +79,14 @@ def normalise_tags(tags: DataFrame, tag: str, styles: DataFrame, parents: DataFr
     )
 
 
-def tag_keystones(tags: DataFrame, tag: str, overlay: taxonomy.Overlay = taxonomy.Overlay()) -> DataFrame:
-    """(tag, keystone) per distinct tag: the one keystone its specific parts agree on, else null (F16)."""
+def tag_keystones(tags: DataFrame, tag: str, overlay: taxonomy.Overlay = taxonomy.Overlay(), graph: DataFrame | None = None) -> DataFrame:
+    """(tag, keystone) per distinct tag: the one keystone its specific parts agree on, else null (F16).
+
+    ``graph`` is the genre graph's (name, keystone), asked after the tables.
+    """
     distinct = tags.select(tag).where(F.col(tag).isNotNull()).distinct()
     parts = distinct.select(tag, F.explode(T.tag_parts(F.col(tag))).alias("part"))
-    names = parts.select("part").distinct().withColumn("k", taxonomy.name_keystone(F.col("part"), overlay))
+    names = taxonomy.placed_names(parts, "part", overlay, graph).withColumnRenamed("keystone", "k")
     found = parts.join(names, "part").groupBy(tag).agg(F.count_distinct("k").alias("n"), F.max("k").alias("k"))
     return distinct.join(found, tag, "left").select(tag, F.when(F.col("n") == 1, F.col("k")).alias("keystone"))
 

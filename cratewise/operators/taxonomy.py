@@ -116,36 +116,33 @@ def style_dim(names: DataFrame, name: str, overlay: Overlay = Overlay(), graph:
 def graph_keystones(genres: DataFrame, overlay: Overlay = Overlay(), depth: int = GRAPH_DEPTH) -> DataFrame:
     """(name, keystone) for every name and alias the genre graph can place.
 
-    ``genres`` is (name, aliases array, parents array). A name first takes the answer
-    of its canonical genre, then the nearest ancestor with one, five levels at most;
-    among equally near ancestors the earlier listed parent wins. Names already
-    visited are not walked again, so cycles end.
+    ``genres`` is (pos, name, aliases array, parents array), ``pos`` the place of the
+    record. A spelling belongs to the first record that has it as name or alias. It takes
+    the answer of that record's own name, then the nearest ancestor with one, five levels
+    at most; among equally near ancestors the earlier listed parent wins; last comes the
+    own name with ``&`` / ``and`` folded. Names already visited are not walked again, so
+    cycles end.
     """
     low = lambda c: F.lower(F.trim(c))
-    base = genres.select(low("name").alias("canon"), "aliases", "parents").where(F.col("canon") != "")
-    first = base.groupBy("canon").agg(F.min_by("parents", F.xxhash64("parents")).alias("parents"))
-    own = first.select(F.col("canon").alias("name"), "canon")
-    aliases = (
-        base.select(F.explode("aliases").alias("name"), "canon").select(low("name").alias("name"), "canon")
-        .where(F.col("name") != "").join(own.select("name"), "name", "left_anti")
-        .groupBy("name").agg(F.min("canon").alias("canon"))
+    base = genres.select("pos", F.trim("name").alias("own"), "aliases", "parents").where(F.coalesce("own", F.lit("")) != "")
+    spelled = F.concat(F.array("own"), F.coalesce("aliases", F.array().cast("array<string>")))
+    index = (
+        base.select(F.col("pos").alias("node"), F.posexplode(spelled).alias("slot", "raw")).withColumn("name", low("raw"))
+        .where(F.coalesce("name", F.lit("")) != "").groupBy("name").agg(F.min(F.struct("node", "slot")).alias("m")).select("name", "m.node")
     )
-    names = own.unionByName(aliases)
-    edges = first.select(F.col("canon").alias("node"), F.posexplode("parents").alias("pos", "p")).select(
+    edges = base.select(F.col("pos").alias("node"), F.posexplode("parents").alias("pos", "p")).select(
         "node", "pos", F.trim("p").alias("p"), low("p").alias("pn")
     )
-    # Parents and canonical names are resolved once each, not once per path that meets them.
-    wanted = edges.select("p").union(own.select("canon")).distinct()
+    # Parents and own names are resolved once each, not once per path that meets them.
+    wanted = edges.select("p").union(base.select("own")).union(base.select(fold_and(F.col("own")))).distinct()
     answers = cut_lineage(wanted.withColumn("keystone", keystone(F.col("p"), overlay)))
     edges = cut_lineage(edges.join(answers, "p").select("node", "pos", "pn", "keystone"))
-    names = cut_lineage(names)
-    canon = names.where(F.col("name") != F.col("canon")).join(answers.withColumnRenamed("p", "canon"), "canon").where("keystone is not null")
-    done = canon.select("name", "keystone")
-    frontier = names.join(done.select("name"), "name", "left_anti").select(
-        "name", F.col("canon").alias("node"), F.array().cast("array<int>").alias("path")
-    )
-    seen = frontier.select("name", F.col("name").alias("pn")).union(frontier.select("name", "node")).distinct()
-    links = names.select(F.col("name").alias("pn"), F.col("canon").alias("next"))
+    names = cut_lineage(index.join(base.select(F.col("pos").alias("node"), "own"), "node").withColumn("canon", F.lower("own")))
+    of = answers.where("keystone is not null").select(F.col("p").alias("own"), "keystone")
+    done = names.where(F.col("name") != F.col("canon")).join(of, "own").select("name", "keystone")
+    frontier = names.join(done.select("name"), "name", "left_anti").select("name", "node", F.array().cast("array<int>").alias("path"))
+    seen = names.select("name", F.col("name").alias("pn")).union(names.select("name", "canon")).distinct()
+    links = names.select(F.col("name").alias("pn"), F.col("node").alias("next"))
     for _ in range(depth):
         steps = frontier.join(edges, "node").join(seen, ["name", "pn"], "left_anti")
         steps = cut_lineage(
@@ -158,7 +155,23 @@ def graph_keystones(genres: DataFrame, overlay: Overlay = Overlay(), depth: int
         done = done.unionByName(hits)
         seen = seen.unionByName(steps.select("name", "pn"))
         frontier = steps.join(hits.select("name"), "name", "left_anti").join(links, "pn").select("name", F.col("next").alias("node"), "path")
-    return done
+    left = names.join(done.select("name"), "name", "left_anti").withColumn("own", fold_and(F.col("own")))
+    return done.unionByName(left.join(of, "own").select("name", "keystone"))
+
+
+def placed_names(names: DataFrame, name: str, overlay: Overlay = Overlay(), graph: DataFrame | None = None) -> DataFrame:
+    """(name, keystone) of typed or tagged names: the tables, then the genre graph, as written and folded (F16).
+
+    ``graph`` is the table of :func:`graph_keystones`; without it only the tables answer.
+    """
+    tidy = names.select(name).distinct().withColumn("_t", squeeze(F.col(name))).withColumn("_f", fold_and(F.col("_t")))
+    if graph is None:
+        return tidy.select(name, name_keystone(F.col(name), overlay).alias("keystone"))
+    for spelling, out in (("_t", "_gt"), ("_f", "_gf")):
+        hits = graph.select(F.col("name").alias("_n"), F.col("keystone").alias(out))
+        tidy = tidy.join(hits, F.lower(spelling) == F.col("_n"), "left").drop("_n")
+    answer = F.coalesce(keystone(F.col("_t"), overlay), F.col("_gt"), keystone(F.col("_f"), overlay), F.col("_gf"))
+    return tidy.select(name, answer.alias("keystone"))
 
 
 def name_keystone(name: Column, overlay: Overlay = Overlay()) -> Column:

@@ -118,8 +118,14 @@ def test_overlay_patch_and_clean(spark):
 def test_genre_graph_walk(spark):
     rows = [("hardwave", ["hard wave"], ["wave", "bass music"]), ("zap", ["zapp"], ["loop"]), ("loop", [], ["zap", "deep house"]), ("lost", [], ["lost"]),
             ("far1", [], ["far2"]), ("far2", [], ["far3"]), ("far3", [], ["far4"]), ("far4", [], ["far5"]), ("far5", [], ["far6"]), ("far6", [], ["techno"])]
-    g = spark.createDataFrame(rows, "name string, aliases array<string>, parents array<string>")
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    rows += [(20, "Foo", ["f"], ["House"]), (21, "Foo", ["f", "g"], ["Techno"]), (22, "g", [], ["Techno"])]
+    g = spark.createDataFrame(rows, "pos long, name string, aliases array<string>, parents array<string>")
     got = {r["name"]: r["keystone"] for r in X.graph_keystones(g).collect()}
     assert got["hard wave"] == "Hard Dance"  # the canonical name's own answer beats its parents
     assert got["hardwave"] == "Downtempo" and got["zap"] == "House" and got["zapp"] == "House"
     assert "lost" not in got and "far1" not in got and got["far2"] == "Techno"
+    assert (got["foo"], got["f"], got["g"]) == ("House", "House", "Techno")  # the first record with a spelling owns it
+    names = spark.createDataFrame([("Zapp",), ("Hard  Wave",), ("Drum & Bass",), ("nothing",)], "tag string")
+    placed = {r["tag"]: r["keystone"] for r in X.placed_names(names, "tag", graph=X.graph_keystones(g)).collect()}
+    assert placed == {"Zapp": "House", "Hard  Wave": "Downtempo", "Drum & Bass": "Drum n Bass", "nothing": None}
