@@ -164,23 +164,28 @@ def class_weights(spark, d):
     return M.class_weights(table(spark, d, "embeddings"), "label").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT label, f::INT AS fold, (n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END)::BIGINT AS scored, true AS known FROM n, range(5) t(f)""")
 def cross_validation(spark, d):
-    """Out-of-fold predictions of a class-balanced logistic head (M7)."""
-    return M.cross_validate(table(spark, d, "embeddings"), "vec_id", "embedding", "label", folds=3, max_iter=20)
+    """How many rows of each class every fold of a class-balanced logistic head scored, unseen (M7)."""
+    out = M.cross_validate(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return out.groupBy("label", "fold").agg(F.count("prediction").alias("scored"), F.bool_and(F.col("prediction").cast("int").between(0, 9)).alias("known"))
 
 
-@query()
+@query("SELECT label, greatest(1, round_even(count(*) * 0.2, 0))::BIGINT AS scored, true AS known FROM embeddings GROUP BY 1 HAVING count(*) > 1")
 def head_training(spark, d):
-    """Held-out predictions of a trained one-layer head (M6)."""
-    return M.train_head(table(spark, d, "embeddings"), "vec_id", "embedding", "label", hidden=16, max_iter=20)[2]
+    """How many held-out rows of each class a trained one-layer head scored (M6)."""
+    out = M.train_head(table(spark, d, "embeddings"), "vec_id", "embedding", "label")[2]
+    return out.groupBy("label").agg(F.count("prediction").alias("scored"), F.bool_and(F.col("prediction").cast("int").between(0, 9)).alias("known"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id, label, CASE WHEN embedding[13] > 0 THEN 'major' ELSE 'minor' END AS scale FROM embeddings)
+SELECT vec_id, scale, true AS named FROM x""")
 def key_template_training(spark, d):
-    """Held-out key predictions of trained templates."""
-    rows = M.assign_folds(_pcps(spark, d), "vec_id", "scale", 2)
-    return K.cross_validate_templates(rows, "pcp", "fold", 2, steps=5).select("vec_id", "key", "scale", "pred_key", "pred_scale")
+    """Every row scored by templates that were trained to convergence without its fold."""
+    rows = M.assign_folds(_pcps(spark, d), "vec_id", "scale", 5)
+    out = K.cross_validate_templates(rows, "pcp", "fold", 5)
+    return out.select("vec_id", "scale", (F.col("pred_key").isin(*music.KEY_NAMES) & F.col("pred_scale").isin("minor", "major")).alias("named"))
 
 
 DIM, CLASSES = 64, 10

@@ -46,7 +46,8 @@ def unlabelled_queue(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT item_id FROM benchmark) AND source <> ''
+ORDER BY md5('0:' || doc_id), doc_id LIMIT 1""")
 def next_unlabelled(spark, d):
     """The next track to label: unlabelled, not skipped, in seeded hash order."""
     skip = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))

@@ -138,11 +138,12 @@ def key_number(key: str = "key", scale: str = "scale"):
     return music.tonic(F.col(key)) + F.when(F.col(scale) == "minor", 12).otherwise(0)
 
 
-def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 200, lr: float = 1.0, subclasses: int = 1, seed: int = 0):
+def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 4000, lr: float = 1.0, subclasses: int = 1, seed: int = 0, tol: float = 1e-2):
     """Templates (2, K, D) and biases (2, K) by full-batch descent on the 24-way softmax.
 
     Each step sends the parameters out and sums per-partition gradients; only
-    2 * K * (D + 1) numbers per partition come back.
+    2 * K * (D + 1) numbers per partition come back. It ends when the largest slope of
+    the penalised loss is below ``tol``, after ``steps`` steps at the latest.
     """
     rows = tracks.where(F.col(vec).isNotNull()).select(F.col(vec).alias("x"), F.col(label).cast("int").alias("y")).persist()
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
@@ -172,8 +173,10 @@ def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, s
     for _ in range(steps):
         sums = rows.mapInPandas(gradient(w, b), "pos int, g double").groupBy("pos").agg(F.sum("g").alias("g")).orderBy("pos").collect()
         g = np.array([r["g"] for r in sums]) / n
-        w = w - lr * (g[: w.size].reshape(w.shape) + l2 * w)
-        b = b - lr * g[w.size :].reshape(b.shape)
+        slope_w, slope_b = g[: w.size].reshape(w.shape) + l2 * w, g[w.size :].reshape(b.shape)
+        if max(np.abs(slope_w).max(), np.abs(slope_b).max()) < tol:
+            break
+        w, b = w - lr * slope_w, b - lr * slope_b
     rows.unpersist()
     return w, b
 

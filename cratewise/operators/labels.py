@@ -122,7 +122,7 @@ def unlabelled(tracks: DataFrame, labels: DataFrame, skip: DataFrame, key: str,
 def next_unlabelled(tracks: DataFrame, labels: DataFrame, skip: DataFrame, key: str, path: str | None = None, seed: int = 0, limit: int = 1) -> DataFrame:
     """Unlabelled tracks with a path and not in ``skip``, in seeded random order."""
     left = unlabelled(tracks, labels, skip, key, path)
-    return left.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(limit)
+    return left.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(limit)
 
 
 def label_union(sources: dict[str, DataFrame], tracks: DataFrame, key: str) -> DataFrame:
