@@ -34,7 +34,8 @@ def frame_stream(spark, d):
     out = f"{scratch_folder(spark)}/frames-{uuid.uuid4().hex}"
     run = labelled.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("user_id long, frame_idx long, style string").parquet(f"{out}/rows")
+    rows = spark.read.schema("user_id long, frame_idx long, style string, late boolean").parquet(f"{out}/rows")
+    return rows.where("not late").drop("late")
 
 
 def _ingested(spark, d):

@@ -11,29 +11,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.sequences import HOLD, MARGIN, hysteresis_step
 
 
-def label_stream(frames: DataFrame, key: str, margin: float = MARGIN, hold: int = HOLD) -> DataFrame:
-    """(key, frame_idx, style) for a stream of (key, frame_idx, top); frames of a track arrive in order.
-
-    State is three values per track, whatever its length. Within a micro-batch rows
-    are ordered by index; a frame at or before the last one seen is ignored, so a
-    replay does not move the state.
+def label_stream(frames: DataFrame, key: str, margin: float = MARGIN, hold: int = HOLD, contiguous: bool = False) -> DataFrame:
+    """(key, frame_idx, style, late) for a stream of (key, frame_idx, top).
+
+    Within a micro-batch rows are ordered by index. With ``contiguous`` the frames of a
+    track count 0, 1, 2, ...: one that comes early waits in the state until those before
+    it are there, so batches may come in any order. Otherwise a later batch has later
+    frames. A frame at or before the last one labelled, a replay or one that came too
+    late, does not move the state; it is given back with ``late`` true and no style.
     """
     kind = frames.schema[key].dataType.simpleString()
+    top_kind = frames.schema["top"].dataType.simpleString()
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, rival, count, last = state.get if state.exists else (None, None, 0, -1)
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
+        held, rival, count, last, waiting = state.get if state.exists else (None, None, 0, -1, [])
+        rows = pd.concat(list(batches))
+        early = {int(w[0]): w[1] for w in waiting}
         out = []
-        for idx, top in zip(rows["frame_idx"], rows["top"]):
-            if idx <= last:
-                continue
-            held, rival, count = hysteresis_step((held, rival, count), [(e["style"], e["score"]) for e in top], margin, hold)
-            last = int(idx)
-            out.append((keys[0], last, held))
-        state.update((held, rival, count, last))
-        yield pd.DataFrame(out, columns=[key, "frame_idx", "style"])
+        for idx, top in sorted(zip(rows["frame_idx"].tolist(), rows["top"], strict=True), key=lambda r: r[0]):
+            if idx <= last or idx in early:
+                out.append((keys[0], int(idx), None, True))
+            else:
+                early[int(idx)] = [(e["style"], e["score"]) for e in top]
+        for idx in sorted(early):
+            if contiguous and idx != last + 1:
+                break
+            held, rival, count = hysteresis_step((held, rival, count), [tuple(e) for e in early.pop(idx)], margin, hold)
+            last = idx
+            out.append((keys[0], last, held, False))
+        state.update((held, rival, count, last, sorted(early.items())))
+        yield pd.DataFrame(out, columns=[key, "frame_idx", "style", "late"])
 
     return frames.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, frame_idx long, style string",
-        "held string, rival string, count long, last long", "append", GroupStateTimeout.NoTimeout,
+        step, f"{key} {kind}, frame_idx long, style string, late boolean",
+        f"held string, rival string, count long, last long, waiting array<struct<frame_idx:bigint,top:{top_kind}>>", "append", GroupStateTimeout.NoTimeout,
     )

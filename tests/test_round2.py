@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cratewise.catalog import QUERIES
 from cratewise.operators import profiles, search
 from cratewise.sources import files
+from cratewise.streaming import frames
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,27 @@ def test_zero_tempo_does_not_stop_a_job(spark):
 def test_card_of_empty_groups(spark):
     row = profiles.summary_card(spark.createDataFrame([("a", 0, "")], "name string, count long, description string"), "name").first()
     assert row["members"] == 0 and row["largest_share"] == 0
+
+
+def test_frames_may_come_out_of_order(spark, tmp_path):
+    rows = [("t", i, [("Techno" if i < 3 else "House", 0.9)]) for i in range(8)]
+    schema = "hash string, frame_idx long, top array<struct<style:string,score:double>>"
+    for part, chosen in enumerate([rows[:2], rows[5:8], rows[2:4], rows[4:5] + rows[1:2]]):
+        spark.createDataFrame(chosen, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{part}"))
+
+    def labels(order, contiguous):
+        out = tmp_path / f"out-{contiguous}-{len(order)}-{order[0]}"
+        for part in order:  # each part is a batch of its own, the state goes on
+            target = tmp_path / f"feed-{out.name}"
+            spark.read.parquet(str(tmp_path / f"in{part}")).coalesce(1).write.mode("append").parquet(str(target))
+            stream = frames.label_stream(spark.readStream.schema(schema).parquet(str(target)), "hash", contiguous=contiguous)
+            stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{out}/rows").collect()
+
+    mixed = labels([0, 1, 2, 3], True)
+    assert [(r["frame_idx"], r["style"]) for r in sorted(mixed, key=lambda r: r["frame_idx"]) if not r["late"]] == [
+        (0, "Techno"), (1, "Techno"), (2, "Techno"), (3, "Techno"), (4, "House"), (5, "House"), (6, "House"), (7, "House")
+    ]
+    assert [r["frame_idx"] for r in mixed if r["late"]] == [1]
+    late = [r["frame_idx"] for r in labels([1, 0], False) if r["late"]]
+    assert sorted(late) == [0, 1]
