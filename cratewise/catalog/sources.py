@@ -189,9 +189,9 @@ def _entries(spark, d):
     from ..operators.sequences import with_frame_index
 
     parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
     placed = with_frame_index(lines, "l_orderkey", [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate"), F.col("l_extendedprice")], "pos")
-    return placed.select(
+    return placed.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("id"), "pos", F.col("l_partkey").cast("string").alias("hash"), F.concat(F.col("p_name"), F.lit(" & Co")).alias("title"),
         F.when(F.col("p_size") > 25, F.col("p_brand")).alias("artist"), F.when(F.col("p_size") > 5, F.concat(F.lit("C:\\m x\\"), F.col("p_brand"), F.lit("é.mp3"))).alias("filepath"),
         F.when(F.col("p_size") > 10, F.col("p_retailprice") / 10).alias("bpm"), F.when(F.col("p_size") > 15, "Am").alias("key"), F.col("p_retailprice").alias("duration"),
@@ -213,7 +213,7 @@ tx AS (SELECT id, track_id, '<TRACK TrackID="' || track_id || '" Name="' || p_na
 @query(f"WITH {XML} SELECT id, track_id, line FROM tx")
 def collection_tracks(spark, d):
     """TRACK elements: contiguous ids, star steps, comment, encoded location, optional attributes."""
-    return sinks.collection_tracks(_entries(spark, d), _stars(spark, d))
+    return sinks.collection_tracks(_entries(spark, d), _stars(spark, d), sizes_from=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")))
 
 
 def _stars(spark, d):

@@ -62,16 +62,23 @@ def group_rank(
     size_out: str | None = None,
     ranges: int = RANGES,
     large: int = LARGE_GROUP,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus the exact 1-based rank of each row within its group.
 
     ``order`` sorts ascending and should end in a unique column. ``size_out``
-    names an optional column for the group size. No keys means one group.
+    names an optional column for the group size. No keys means one group. ``sizes_from``
+    is a cheap table with the key columns and at least as many rows of every group, such
+    as the raw table under a join: when its groups are all small, ``df`` is not counted.
     """
     by = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     rows = rows.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    cut = _cut_large(rows, by, F.lit(1), ranges, large)
+    if sizes_from is not None and keys and (sizes_from.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= large:
+        none = F.lit(None).cast("long")
+        cut = rows.withColumns({"_range": F.lit(0), "_off": none, "_total": none})
+    else:
+        cut = _cut_large(rows, by, F.lit(1), ranges, large)
     part = Window.partitionBy(*by, "_range")
     ranked = cut.withColumn(
         out, (F.coalesce("_off", F.lit(0)) + F.row_number().over(part.orderBy("_ord"))).cast("long")

@@ -79,10 +79,13 @@ def _attr(name: str, value: Column) -> Column:
     return F.concat(F.lit(f'{name}="'), v, F.lit('"'))
 
 
-def collection_tracks(entries: DataFrame, ratings: DataFrame, key: str = "hash") -> DataFrame:
-    """(id, track_id, line): one TRACK element per entry with a path, numbered in list order."""
+def collection_tracks(entries: DataFrame, ratings: DataFrame, key: str = "hash", sizes_from: DataFrame | None = None) -> DataFrame:
+    """(id, track_id, line): one TRACK element per entry with a path, numbered in list order.
+
+    ``sizes_from`` is a table of (id) with a row for every entry, see :func:`group_rank`.
+    """
     rated = entries.where(F.trim(F.coalesce("filepath", F.lit(""))) != "").join(ratings.select(key, "stars", "grade", "note"), key, "left")
-    numbered = group_rank(rated, ["id"], [F.col("pos")], out="track_id")
+    numbered = group_rank(rated, ["id"], [F.col("pos")], out="track_id", sizes_from=sizes_from)
     comment = T.comment_text(F.coalesce("grade", F.lit("")), F.coalesce("note", F.lit("")))
     when = lambda ok, c: F.when(ok, c)
     line = F.concat(F.lit("<TRACK "), F.concat_ws(
