@@ -19,6 +19,21 @@ def knn_topk(spark, d):
     return knn.knn_join(table(spark, d, "embeddings"), "vec_id", "embedding", 8).select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
 
 
+@query(f"WITH {PAIRS} SELECT vec_id, rank::INT AS rank, neighbour, round(sim, 6) AS sim FROM near WHERE rank <= 8")
+def knn_pruned(spark, d):
+    """The same by the way of large tables: many cells of small blocks, two rounds."""
+    near = knn.knn_join(table(spark, d, "embeddings"), "vec_id", "embedding", 8, cells=16, block_rows=64)
+    return near.select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
+
+
+@query("SELECT count(*) * 8 AS asked, true AS enough FROM embeddings")
+def knn_recall(spark, d):
+    """How much of the exact answer the approximate join finds, seven of eight cells searched: 0.8 at least."""
+    rows = table(spark, d, "embeddings")
+    exact, near = (knn.knn_join(rows, "vec_id", "embedding", 8, mode=m, cells=8, probes=7) for m in ("exact", "ivf"))
+    return knn.recall(exact, near, "vec_id").select("asked", (F.col("recall") >= 0.8).alias("enough"))
+
+
 EDGES = f"""{PAIRS}, edges AS (SELECT least(vec_id, neighbour) AS a, greatest(vec_id, neighbour) AS b, round(max(sim), 3) AS sim
 FROM near WHERE rank <= 2 AND sim > 0 GROUP BY 1, 2)"""
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.guards import cut_lineage
 
 MAX_CELLS = 4096
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -78,12 +79,12 @@ def _score_pairs(k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qv, qm, keys, cm in zip(pdf["qvids"], pdf["qunits"], pdf["ckeys"], pdf["cunits"]):
-                q, c = np.stack(qm), np.stack(cm)
+            for qv, qm, flat, copies, cm in zip(pdf["qvids"], pdf["qunits"], pdf["ckeys"], pdf["copies"], pdf["cunits"], strict=True):
+                q, c = np.asarray(qm).reshape(len(qv), -1), np.asarray(cm).reshape(len(copies), -1)
                 qi, ci = _top(q @ c.T, k)
                 sims = np.einsum("ij,ij->i", q[qi], c[ci])
-                copies = np.array([len(x) for x in keys])
-                flat, ends = np.concatenate(list(keys)), np.cumsum(copies)
+                flat, copies = np.asarray(flat), np.asarray(copies)
+                ends = np.cumsum(copies)
                 times = copies[ci]
                 step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 at = np.repeat(ends[ci] - times, times) + step
@@ -102,10 +103,10 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def _compare(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Hits of every (query block, candidate block) pair."""
     q = blocks.select(F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), F.col("vids").alias("qvids"), F.col("units").alias("qunits"))
-    c = blocks.select(F.col("cell").alias("ccell"), F.col("sub").alias("csub"), F.col("keys").alias("ckeys"), F.col("units").alias("cunits"))
+    c = blocks.select(F.col("cell").alias("ccell"), F.col("sub").alias("csub"), F.col("keys").alias("ckeys"), "copies", F.col("units").alias("cunits"))
     joined = pairs.join(q, ["qcell", "qsub"]).join(c, ["ccell", "csub"])
-    kind = blocks.schema["keys"].dataType.elementType.elementType.simpleString()
-    return joined.select("qvids", "qunits", "ckeys", "cunits").mapInPandas(
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
+    return joined.select("qvids", "qunits", "ckeys", "copies", "cunits").mapInPandas(
         _score_pairs(k), f"vid string, neighbour {kind}, sim double"
     )
 
@@ -126,6 +127,7 @@ def knn_vectors(
         subs = np.array([max(1, math.ceil(n / block_rows))], dtype=np.int64)
         filed = reps.select("vid", "keys", "unit").withColumn("cell", F.lit(0))
     else:
+        reps = cut_lineage(reps)  # read for the pivots, their statistics and the blocks
         # At most MAX_CELLS rows reach the driver, by a choice that depends on the data alone.
         seed = reps.orderBy(F.xxhash64("vid"), "vid").limit(cells).select("unit").collect()
         pivots = np.array([r["unit"] for r in seed], dtype=np.float64)
@@ -146,8 +148,9 @@ def knn_vectors(
     # Candidates in key order, so that ties inside a block go to the smaller key.
     packed = F.sort_array(F.collect_list(F.struct("keys", "vid", "unit")))
     blocks = filed.groupBy("cell", "sub").agg(packed.alias("b")).select(
-        "cell", "sub", F.col("b.vid").alias("vids"), F.col("b.keys").alias("keys"), F.col("b.unit").alias("units")
-    )
+        "cell", "sub", F.col("b.vid").alias("vids"), F.flatten("b.keys").alias("keys"),
+        F.transform("b.keys", lambda x: F.size(x)).alias("copies"), F.flatten("b.unit").alias("units"),
+    )  # a block's vectors are one flat array, which Arrow hands over as one piece of memory
     near = np.argsort(-(pivots @ pivots.T), axis=1)[:, : max(1, probes)]
     near[:, 0] = np.arange(len(pivots))
 
@@ -167,6 +170,7 @@ def knn_vectors(
     if mode == "ivf" or len(pivots) <= probes:
         return _best(first, k)
 
+    first = cut_lineage(first)  # both the floors and the final choice read it
     floor = _best(first, k).groupBy("vid").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-1.0).alias("floor")
     )
@@ -207,6 +211,14 @@ def knn_join(
     )
 
 
+def recall(exact: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(asked, recall): the share of the exact neighbours that an approximate join found."""
+    hits = found.select(key, "neighbour", F.lit(1).alias("_hit"))
+    return exact.join(hits, [key, "neighbour"], "left").agg(
+        F.count(F.lit(1)).alias("asked"), F.round(F.coalesce(F.try_divide(F.count("_hit"), F.count(F.lit(1))), F.lit(1.0)), 4).alias("recall")
+    )
+
+
 def similarity_graph(neighbours: DataFrame, key: str) -> DataFrame:
     """Undirected edges (a, b, sim) from a kNN table: positive sims, each pair once."""
     edges = neighbours.where(F.col("sim") > 0).select(
