@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.guards import cut_lineage
@@ -21,6 +21,9 @@ from .components import components
 
 CHUNKS = 64
 
+# Rounds of comparing with the most central class before pairs that are still apart are all compared.
+STAR_ROUNDS = 2
+
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram fingerprints) of every row.
@@ -207,14 +210,33 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    found = overlaps(pairs, segments).join(pairs, ["a", "b"])
-    return cut_lineage(
-        found.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
-    )
+# Fragments that are counted first, to rule pairs out before the rest is read.
+HEAD = 1
 
 
-def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 8, buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, na, nb) that link.
+
+    The first fragments are counted for all pairs. A pair goes on only if it could still
+    link with everything beyond them shared; then the other fragments are added.
+    """
+    def reached(overlap, na="na", nb="nb"):
+        return 100 * overlap >= percent * (F.col(na) + F.col(nb) - overlap)
+
+    front = segments.where(F.col("fragment") < HEAD)
+    fronts = cut_lineage(front.groupBy("sig", "fragment").agg(F.max(F.size("grams")).alias("k")).groupBy("sig").agg(F.sum("k").alias("k")))
+    counted = pairs.join(overlaps(pairs, front), ["a", "b"], "left")
+    for side in ("a", "b"):
+        counted = counted.join(fronts.select(F.col("sig").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+    some = F.coalesce("overlap", F.lit(0))
+    most = some + F.least(F.col("na") - F.coalesce("ka", F.lit(0)), F.col("nb") - F.coalesce("kb", F.lit(0)))
+    open_ = cut_lineage(counted.where(reached(most)).select("a", "b", "na", "nb", some.alias("some")))
+    ends = overlaps(open_, segments.where(F.col("fragment") >= HEAD))
+    total = F.col("some") + F.coalesce("overlap", F.lit(0))
+    return cut_lineage(open_.join(ends, ["a", "b"], "left").where(reached(total)).select("a", "b"))
+
+
+def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """The sets of all ``notes`` and links between distinct ones that join their components.
 
     ``notes`` is (hash, note): the free text kept with a track. Returns
@@ -226,10 +248,13 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
     * The order comes from counts over all notes, kept in ``buckets`` hashed counters
       (a bounded table; raise it with the corpus). It decides cost, never the result.
     * Candidates share an n-gram of their order's first ``n - ceil(percent n) + 1``,
-      which linked sets must; position and size bounds rule most out.
-    * Pairs are checked in two rounds: each class against the smallest class of each
-      shared n-gram, then only classes that are still in different components. A group
-      of near copies is so joined through stars, not through all its pairs.
+      which linked sets must. Its place, the number of n-grams before it that any other
+      set shares, and the sizes bound the overlap and rule most out.
+    * In the first rounds each class meets, for each n-gram it shares, only the class
+      that has this n-gram earliest in its order, the one with least of its own. Classes
+      already in one component are not compared again. What is still apart after
+      STAR_ROUNDS rounds is compared pair by pair. So a group of near copies is joined
+      through stars, not through all its pairs.
 
     Fingerprints are 64 bits wide.
     """
@@ -256,15 +281,15 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
     prefixes = kept.select("note").mapInArrow(_prefixes(order, width, percent), "gram long, sig long, n long, pos long")
     shared = cut_lineage(
         prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared_only, "gram long, sig long, n long, pos long")
-        .distinct()
+        .distinct().withColumn("seen", F.row_number().over(Window.partitionBy("sig").orderBy("pos", "gram")) - 1)
     )
-    wanted = cut_lineage(shared.select("sig").distinct().join(classes, "sig").select(F.col("least").alias("hash"), "sig"))
-    holders = texts.join(bounded_side(wanted.select("hash").distinct()).alias("w"), texts["hash"].eqNullSafe(F.col("w.hash")), "left_semi")
-    segments = cut_lineage(holders.select("note").mapInArrow(_segments(order, width), "sig long, fragment int, grams array<long>"))
 
     def bounds(x: str, y: str):
-        """Whether sets sharing an n-gram at these places can still link."""
-        before = F.least(f"{x}.pos", f"{y}.pos")
+        """Whether sets sharing an n-gram at these places can still link.
+
+        Earlier ones can be common only if they are shared at all; later ones all can.
+        """
+        before = F.least(f"{x}.seen", f"{y}.seen")
         after = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
         most = before + after
         total = F.col(f"{x}.n") + F.col(f"{y}.n")
@@ -276,28 +301,51 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
         return [pick(f"{x}.sig", f"{y}.sig").alias("a"), pick(f"{y}.sig", f"{x}.sig").alias("b"),
                 pick(f"{x}.n", f"{y}.n").alias("na"), pick(f"{y}.n", f"{x}.n").alias("nb")]
 
-    pivots = shared.groupBy("gram").agg(F.min(F.struct("sig", "n", "pos")).alias("p")).select("gram", "p.*")
-    stars = cut_lineage(
-        shared.alias("x").join(pivots.alias("y"), F.col("x.gram") == F.col("y.gram"))
-        .where((F.col("x.sig") != F.col("y.sig")) & bounds("x", "y")).select(*pairs_of("x", "y")).distinct()
-    )
-    first = _linked(stars, segments, percent)
-    joined = components(first)
-    placed = cut_lineage(
-        shared.join(joined.select(F.col("node").alias("sig"), "root"), "sig", "left")
-        .select("gram", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
-    )
+    links = tested = segments = None
+
+    def check(pairs: DataFrame) -> None:
+        """Test ``pairs`` by the segments of the notes they name, read where they are new."""
+        nonlocal links, tested, segments
+        named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        if segments is not None:
+            named = named.join(segments.select("sig").distinct(), "sig", "left_anti")
+        wanted = cut_lineage(named.join(classes, "sig").select(F.col("least").alias("w")).distinct())
+        holders = texts.join(bounded_side(wanted), texts["hash"].eqNullSafe(F.col("w")), "left_semi")
+        more = cut_lineage(holders.select("note").mapInArrow(_segments(order, width), "sig long, fragment int, grams array<long>"))
+        segments = more if segments is None else segments.unionByName(more)
+        found = _linked(pairs, segments, percent)
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        return cut_lineage(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+    placed = shared.withColumn("root", F.col("sig"))
+    central = F.min(F.struct("pos", "sig", "n", "seen", "root"))
+    for _ in range(STAR_ROUNDS):
+        first = placed.groupBy("gram").agg(central.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "p")
+        near = placed.join(first, "gram")
+        other = near.where(F.col("root") != F.col("p.root")).groupBy("gram").agg(central.alias("q"))
+        met = near.join(other, "gram").withColumn("y", F.when(F.col("root") == F.col("p.root"), F.col("q")).otherwise(F.col("p")))
+        pairs = untested(
+            met.select(F.struct("sig", "n", "pos", "seen").alias("x"), "y").where(bounds("x", "y")).select(*pairs_of("x", "y"))
+        )
+        if pairs.isEmpty():
+            break
+        check(pairs)
+        roots = components(links).select(F.col("node").alias("sig"), F.col("root").alias("r"))
+        placed = cut_lineage(shared.join(roots, "sig", "left").select("gram", "sig", "n", "pos", "seen", F.coalesce("r", "sig").alias("root")))
     mixed = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     open_ = placed.join(mixed, "gram")
-    rest = cut_lineage(
+    check(untested(
         open_.alias("x").join(open_.alias("y"), F.col("x.gram") == F.col("y.gram"))
-        .where((F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & bounds("x", "y"))
-        .select(*pairs_of("x", "y")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    return sets, first.unionByName(_linked(rest, segments, percent))
+        .where((F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & bounds("x", "y")).select(*pairs_of("x", "y"))
+    ))
+    return sets, links
 
 
-def note_classes(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 8, buckets: int = 1 << 20) -> DataFrame:
+def note_classes(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> DataFrame:
     """(hash, n_shingles, component_id) of every note: the component of near-equal notes.
 
     ``notes`` is (hash, note), any further columns are ignored; ``hash`` is an integer
