@@ -20,6 +20,7 @@ from .blocks import SOLID, LOWER, Fingerprints, bounded_side, mix, pieces, runs,
 from .components import components
 
 CHUNKS = 64
+FLUSH = 1 << 18  # n-grams that a task gathers before it passes them on
 
 # Rounds of comparing with the most central class before pairs that are still apart are all compared.
 STAR_ROUNDS = 2
@@ -134,17 +135,24 @@ def _prefixes(order, width: int, percent: int):
     """The first n-grams of each set in the global order; linked sets share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["gram", "sig", "n", "pos"])
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out, held = [], 0
             for _, grams in shingle_sets(batch.column(0), width):
                 n = len(grams)
                 if n:
                     first = np.sort(order.value.keys(grams))[: n - _share_of(n, percent) + 1]
                     k = len(first)
-                    for col, x in zip(out, (first.view(np.int64), np.full(k, set_signature(grams)), np.full(k, n), np.arange(k)), strict=True):
-                        col.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["gram", "sig", "n", "pos"])
+                    out.append((first.view(np.int64), np.full(k, set_signature(grams)), np.full(k, n), np.arange(k)))
+                    held += k
+                if held > FLUSH:
+                    yield flushed(out)
+                    out, held = [], 0
+            if out:
+                yield flushed(out)
 
     return run
 
@@ -178,9 +186,14 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(order, width: int):
     """A set cut by the fragments of the global order: (sig, fragment, n-grams)."""
 
+    def flushed(sigs: list[int], frags: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, parts)])
+        grams = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+        return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(frags, pa.int32()), grams], names=["sig", "fragment", "grams"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, frags, parts = [], [], []
+            sigs, frags, parts, held = [], [], [], 0
             for _, grams in shingle_sets(batch.column(0), width):
                 which = np.searchsorted(order.value.cuts, order.value.keys(grams), side="right")
                 by = np.argsort(which, kind="stable")
@@ -189,12 +202,12 @@ def _segments(order, width: int):
                     sigs.append(set_signature(grams))
                     frags.append(int(which[part[0]]))
                     parts.append(grams[part].view(np.int64))
-            offsets = np.cumsum([0, *map(len, parts)])
-            flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["sig", "fragment", "grams"],
-            )
+                held += len(grams)
+                if held > FLUSH:
+                    yield flushed(sigs, frags, parts)
+                    sigs, frags, parts, held = [], [], [], 0
+            if parts:
+                yield flushed(sigs, frags, parts)
 
     return run
 
