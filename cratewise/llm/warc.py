@@ -24,6 +24,8 @@ from ..plans.guards import cut_lineage, scratch_folder
 from .blocks import bounded_side
 
 CHUNK = 1 << 20
+READ_BYTES = 16 << 20  # of an archive that one task reads
+MOST_TASKS = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = "archive string, record string, offset long, length long, kind string, digest string, refers string, payload_bytes long"
@@ -210,7 +212,9 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     be entered in its middle. Returns the sidecar index, a written table: (archive,
     record, offset, length, kind, digest, refers, payload_bytes), one row per record.
     """
-    paths = archives.select("path").repartition(F.col("path"))
+    paths = archives.select("path")
+    # as many tasks as files: their rows are too small for Spark to keep them apart by itself
+    paths = paths.repartition(min(max(paths.count(), 1), MOST_TASKS))
     return cut_lineage(paths.mapInArrow(_normalise(folder), INDEX))
 
 
@@ -244,7 +248,9 @@ def read_archives(index: DataFrame) -> DataFrame:
     Responses are digested from their payload. A revisit has no payload of its own: its
     digest is its header's and its size that of the response it refers to.
     """
-    wanted = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / (16 << 20)))
+    part = F.floor(F.col("offset") / READ_BYTES)
+    parts = index.select("archive", part.alias("p")).distinct().count()
+    wanted = index.select("archive", "offset", "length").repartition(min(max(parts, 1), MOST_TASKS), "archive", part)
     read = cut_lineage(
         wanted.sortWithinPartitions("archive", "offset")
         .mapInArrow(_read_members, "record string, kind string, digest string, n long, refers string")
