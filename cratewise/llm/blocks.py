@@ -126,9 +126,14 @@ def tsum(column: Column | str) -> Column:
 BROADCAST_ROWS = 500_000
 
 
-def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
     """``df`` marked for broadcasting if it has at most ``limit`` rows, else as it is.
 
-    Give it narrow tables only (keys, flags), read from a written table.
+    Give it narrow tables only (keys, flags), read from a written table. With an array
+    column, ``items`` is its size, and rows and items together are held to the limit.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    if items is None:
+        small = df.limit(limit + 1).count() <= limit
+    else:
+        small = df.agg(F.count("*") + tsum(items)).first()[0] <= limit
+    return F.broadcast(df) if small else df

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.guards import cut_lineage, fetch_bounded
-from .blocks import bounded_side
+from .blocks import BROADCAST_ROWS, bounded_side
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Item windows that are shipped whole to every executor; more are joined by a shuffle.
+# Item windows, with the items of each, that are shipped whole to every executor; more are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 500_000
 
 
@@ -80,7 +80,7 @@ def contamination(notes: DataFrame, items: DataFrame, size: int = 10) -> DataFra
     each = notes.select(
         "hash", F.xxhash64(F.coalesce("note", F.lit(""))).alias("print"), F.explode(_let(words_of(F.col("note")), looked_at)).alias("x")
     ).select("hash", "print", "x.*")
-    found = each.join(bounded_side(grams.drop("size"), MAX_BROADCAST_WINDOWS), "window", "left").where("size = 0 OR items IS NOT NULL")
+    found = each.join(bounded_side(grams.drop("size"), MAX_BROADCAST_WINDOWS, F.size("items")), "window", "left").where("size = 0 OR items IS NOT NULL")
     mark = F.col("size") == 0
     return found.groupBy("hash", "print").agg(
         F.count(F.when(mark, 1)).alias("copies"), F.max(F.when(mark, F.col("pos"))).alias("n_words"),
@@ -125,7 +125,7 @@ def clean_notes(notes: DataFrame, items: DataFrame, size: int = 10, action: str
         return notes.join(bounded_side(dirty.drop("_item_hits")), same, "left_anti")
     if action != "span":
         raise ValueError("action must be document or span")
-    joined = notes.join(bounded_side(dirty, 100_000), same, "left")
+    joined = notes.join(bounded_side(dirty, BROADCAST_ROWS, F.size("_item_hits")), same, "left")
     cut = F.when(F.col("_item_hits").isNull(), F.col("note")).otherwise(_cut(F.col("note"), F.col("_item_hits")))
     return joined.withColumn("note", cut).drop("_item_hash", "_item_print", "_item_hits")
 

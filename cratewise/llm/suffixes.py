@@ -34,6 +34,9 @@ from .blocks import Fingerprints, bounded_side, fold, pieces, signed
 
 GRAM = 36
 
+# Places or ends of spans (8 bytes each) that are shipped whole to every executor at most.
+MOST_PLACES = 4_000_000
+
 # A place packs (checksum of the text: 24 bits, start: 32 bits, windows of the run: 7 bits);
 # places of one note sort by start.
 _START, _SUM = 7, 39
@@ -210,7 +213,7 @@ def repeated_spans(notes: DataFrame, length: int = 100, gram: int = GRAM) -> Dat
     )
     refine = cut_lineage(refine)
     texts_of = own.join(
-        bounded_side(refine).alias("r"), own["hash"].eqNullSafe(F.col("r.hash")) & (own["checksum"] == F.col("r.checksum"))
+        bounded_side(refine, MOST_PLACES, F.size("places")).alias("r"), own["hash"].eqNullSafe(F.col("r.hash")) & (own["checksum"] == F.col("r.checksum"))
     ).select(own["hash"], own["note"], "places")
     windows = _sorted_heads(texts_of.mapInArrow(_windows_of(length), _MEMBERS))
 
@@ -259,7 +262,7 @@ def without_repeats(notes: DataFrame, length: int = 100, gram: int = GRAM) -> Da
     text = F.coalesce(F.col("note"), F.lit(""))
     keyed = notes.withColumn("checksum", _checksum(F.col("note")))
     found = keyed.join(
-        bounded_side(spans, 200_000).withColumnRenamed("hash", "_h").withColumnRenamed("checksum", "_c"),
+        bounded_side(spans, MOST_PLACES, 2 * F.size("spans")).withColumnRenamed("hash", "_h").withColumnRenamed("checksum", "_c"),
         F.col("hash").eqNullSafe(F.col("_h")) & (F.col("checksum") == F.col("_c")), "left",
     )
     raw = F.encode(text, "UTF-8")
