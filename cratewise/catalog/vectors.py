@@ -183,3 +183,11 @@ def vector_functions(spark, d):
         "vec_id", F.round(F.sqrt(V.array_sum(F.transform(v, lambda x: x * x))), 6).alias("norm"),
         F.round(V.cosine(v, F.reverse(v)), 6).alias("mirror"), F.round(V.unit(F.col("embedding"))[0], 6).alias("first"),
     )
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding[1:32]::DOUBLE[]) AS a, unnest(embedding[33:64]::DOUBLE[]) AS b FROM embeddings)
+SELECT vec_id, round(corr(a, b), 6) AS r FROM x GROUP BY 1""")
+def vector_halves(spark, d):
+    """Correlation of the two halves of every vector."""
+    halves = (F.transform(F.slice("embedding", at, 32), lambda v: v.cast("double")) for at in (1, 33))
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.pearson(*halves, 32), 6).alias("r"))

@@ -150,11 +150,6 @@ def archgenre_order(extra: list[str] | None = None, leading: list[str] | None =
     return list(dict.fromkeys([*(a for a in leading or [] if a != OTHER), *built_in]))
 
 
-def pairs_dim(spark: SparkSession, table: dict[str, str], key: str, value: str) -> DataFrame:
-    """A fixed table as a two-column DataFrame."""
-    return spark.createDataFrame(sorted(table.items()), f"{key} string, {value} string")
-
-
 def canonical_bpm_dim(
     spark: SparkSession, table: dict[str, tuple[float, float]] = CANONICAL_BPM
 ) -> DataFrame:

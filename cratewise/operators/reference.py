@@ -21,11 +21,6 @@ def pretty_value(value: Column) -> Column:
     return T.strip_html(F.when(v.startswith(RESOURCE), title).otherwise(v))
 
 
-def wiki_title(url: Column) -> Column:
-    """Article title of an English article address, else blank."""
-    return F.coalesce(F.try_url_decode(F.regexp_extract(url, r"^https?://en\.wikipedia\.org/wiki/(.+)$", 1)), F.lit(""))
-
-
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """(keys, values): values of each subject in first-seen order, blanks out.
 
