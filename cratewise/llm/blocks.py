@@ -83,11 +83,15 @@ def fold(ids: np.ndarray, offset: int) -> np.ndarray:
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and the offsets of its rows; null is empty."""
+    """The bytes of a text column and the offsets of its rows; null is empty. Without nulls no byte is copied."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    arr = arr.cast(pa.large_binary()).fill_null(b"")
+    if not len(arr):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    if arr.null_count:
+        arr = arr.fill_null("")
     _, offsets, data = arr.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64, count=len(arr) + 1 + arr.offset)[arr.offset :]
+    width = np.int64 if pa.types.is_large_string(arr.type) else np.int32
+    off = np.frombuffer(offsets, dtype=width, count=len(arr) + 1 + arr.offset)[arr.offset :].astype(np.int64)
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     return buf, off
 
