@@ -249,13 +249,15 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(open_.join(ends, ["a", "b"], "left").where(reached(total)).select("a", "b"))
 
 
-def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """The sets of all ``notes`` and links between distinct ones that join their components.
+def note_links(
+    notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20, every: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The sets of all ``notes`` and the links between distinct ones.
 
     ``notes`` is (hash, note): the free text kept with a track. Returns
     ``sets`` (hash, n, sig), one row per note, equal sets under one signature, and
-    ``links`` (a, b), pairs of signatures with ``100 * |A and B| >= percent * |A or B|``.
-    Links that stay inside one component already joined are not all listed.
+    ``links`` (a, b), all pairs of signatures with ``100 * |A and B| >= percent * |A or B|``,
+    each once. Without ``every``, enough of them to join the same components.
 
     * Equal sets are one class, so copies of any number cost one member.
     * The order comes from counts over all notes, kept in ``buckets`` hashed counters
@@ -263,11 +265,12 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
     * Candidates share an n-gram of their order's first ``n - ceil(percent n) + 1``,
       which linked sets must. Its place, the number of n-grams before it that any other
       set shares, and the sizes bound the overlap and rule most out.
-    * In the first rounds each class meets, for each n-gram it shares, only the class
-      that has this n-gram earliest in its order, the one with least of its own. Classes
-      already in one component are not compared again. What is still apart after
-      STAR_ROUNDS rounds is compared pair by pair. So a group of near copies is joined
-      through stars, not through all its pairs.
+    * Every candidate pair that the bounds leave is compared.
+    * Without ``every``, each class meets in the first rounds, for each n-gram it shares,
+      only the class that has this n-gram earliest in its order, the one with least of its
+      own. Classes already in one component are not compared again. What is still apart
+      after STAR_ROUNDS rounds is compared pair by pair. So a group of near copies is
+      joined through stars, not through all its pairs.
 
     Fingerprints are 64 bits wide.
     """
@@ -336,7 +339,7 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
 
     placed = shared.withColumn("root", F.col("sig"))
     central = F.min(F.struct("pos", "sig", "n", "seen", "root"))
-    for _ in range(STAR_ROUNDS):
+    for _ in range(0 if every else STAR_ROUNDS):
         first = placed.groupBy("gram").agg(central.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "p")
         near = placed.join(first, "gram")
         other = near.where(F.col("root") != F.col("p.root")).groupBy("gram").agg(central.alias("q"))
@@ -358,27 +361,50 @@ def note_links(notes: DataFrame, width: int = 5, percent: int = 80, fragments: i
     return sets, links
 
 
+def _components_of(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, n, component) of every class: the smallest hash reachable over ``links``."""
+    classes = sets.where("n > 0").groupBy("sig", "n").agg(F.min("hash").alias("least"))
+    placed = classes.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").select(
+        "sig", "n", "least", F.coalesce("root", "sig").alias("root")
+    )
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
+    return placed.join(smallest, "root").select("sig", "n", "component")
+
+
+def note_components(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> DataFrame:
+    """(hash, n_shingles, component_id) of every note, as :func:`note_classes` has them.
+
+    Pairs inside a component that is already joined are not compared, so links are not counted.
+    """
+    sets, links = note_links(notes, width, percent, fragments, buckets, every=False)
+    return sets.join(_components_of(sets, links), ["sig", "n"], "left").select(
+        "hash", F.col("n").alias("n_shingles"), F.coalesce("component", "hash").alias("component_id")
+    )
+
+
 def note_classes(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> DataFrame:
-    """(hash, n_shingles, component_id) of every note: the component of near-equal notes.
+    """(hash, n_shingles, component_id, n_links) of every note: its component and links to near-equal notes.
 
     ``notes`` is (hash, note), any further columns are ignored; ``hash`` is an integer
     key. ``component_id`` is the smallest hash reachable over links (see
-    :func:`note_links`), the note's own included.
+    :func:`note_links`), the note's own included. ``n_links`` counts the other notes that
+    link with it directly, copies of the same set among them.
 
-    * A null or blank note has an empty set and its own hash as component.
-    * Rows that repeat a hash are notes of their own; each is returned.
+    * A null or blank note has an empty set, its own hash as component and no links.
+    * Rows that repeat a hash are notes of their own; each is returned and counted.
     * A null hash is returned with the smallest hash of its component, or null.
     * An empty table gives no rows. Long notes are read whole.
     """
     sets, links = note_links(notes, width, percent, fragments, buckets)
-    classes = sets.where("n > 0").groupBy("sig", "n").agg(F.min("hash").alias("least"))
-    placed = classes.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").select(
-        "sig", "n", "least", F.coalesce("root", "sig").alias("root")
+    members = sets.where("n > 0").groupBy("sig").agg(F.count("*").alias("members"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(members.withColumnRenamed("sig", "b"), "b").groupBy("a").agg(F.sum("members").alias("others"))
+    counted = members.join(others.withColumnRenamed("a", "sig"), "sig", "left").select(
+        "sig", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
     )
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(smallest, "root").select("sig", "n", "component")
-    return sets.join(named, ["sig", "n"], "left").select(
-        "hash", F.col("n").alias("n_shingles"), F.coalesce("component", "hash").alias("component_id")
+    return sets.join(_components_of(sets, links).join(counted, "sig"), ["sig", "n"], "left").select(
+        "hash", F.col("n").alias("n_shingles"), F.coalesce("component", "hash").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -388,6 +414,6 @@ def distinct_notes(notes: DataFrame, **options) -> DataFrame:
     Rows whose hash is null stay. The texts are read once more and, where the rows that
     go are few enough to be broadcast, never shuffled.
     """
-    classes = note_classes(notes, **options)
+    classes = note_components(notes, **options)
     gone = cut_lineage(classes.where("hash <> component_id").select("hash").distinct())
     return notes.join(bounded_side(gone), "hash", "left_anti")

@@ -56,10 +56,26 @@ SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.y) AS
 FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 )
 def op7_note_classes(spark, folder):
-    found = jaccard.note_classes(notes(table(spark, folder, "documents")), width=5, percent=80)
+    found = jaccard.note_components(notes(table(spark, folder, "documents")), width=5, percent=80)
     return found.withColumnRenamed("hash", "doc_id")
 
 
+@query(
+    rf"""WITH w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+linked AS (SELECT x, count(*) AS k FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 80 * (s.n + t.n - o) GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(k, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN linked ON x = d.doc_id"""
+)
+def op7_note_links(spark, folder):
+    found = jaccard.note_classes(notes(table(spark, folder, "documents")), width=5, percent=80)
+    return found.select(F.col("hash").alias("doc_id"), "n_shingles", "n_links")
+
+
 @query()
 def op10_passages(spark, folder):
     cut = suffixes.without_repeats(notes(table(spark, folder, "documents")), length=100)
