@@ -81,6 +81,11 @@ class Order:
         return (self.levels[(grams >> self.shift).astype(np.int64)] << np.uint64(56)) | (mix(grams) >> np.uint64(8))
 
 
+def checksum(note: str = "note"):
+    """A 64-bit checksum of the text as it stands."""
+    return F.xxhash64(note)
+
+
 def _sets_and_counts(width: int, buckets: int):
     """Per note its set size and signature; per task the n-gram counts of hashed buckets."""
     shift = np.uint64(64 - int(np.log2(buckets)))
@@ -100,14 +105,14 @@ def _sets_and_counts(width: int, buckets: int):
                 counts += np.bincount(np.concatenate(held), minlength=buckets)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["hash", "n", "sig", "chunk", "counts"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["hash", "sum", "n", "sig", "chunk", "counts"],
             )
         if counts.any():
             parts = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in np.split(counts, CHUNKS)]
             k = len(parts)
             yield pa.RecordBatch.from_pydict(
-                {"hash": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "sig": pa.nulls(k, pa.int64()),
+                {"hash": pa.nulls(k, pa.int64()), "sum": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "sig": pa.nulls(k, pa.int64()),
                  "chunk": pa.array(range(k), pa.int32()), "counts": pa.array(parts, pa.binary())}
             )
 
@@ -255,7 +260,7 @@ def note_links(
     """The sets of all ``notes`` and the links between distinct ones.
 
     ``notes`` is (hash, note): the free text kept with a track. Returns
-    ``sets`` (hash, n, sig), one row per note, equal sets under one signature, and
+    ``sets`` (hash, sum, n, sig), one row per note, its text's checksum, equal sets under one signature, and
     ``links`` (a, b), all pairs of signatures with ``100 * |A and B| >= percent * |A or B|``,
     each once. Without ``every``, enough of them to join the same components.
 
@@ -277,9 +282,11 @@ def note_links(
     spark = notes.sparkSession
     texts = notes.select("hash", "note")
     scanned = cut_lineage(
-        texts.mapInArrow(_sets_and_counts(width, buckets), "hash long, n long, sig long, chunk int, counts binary")
+        texts.withColumn("sum", checksum()).mapInArrow(
+            _sets_and_counts(width, buckets), "hash long, sum long, n long, sig long, chunk int, counts binary"
+        )
     )
-    sets = scanned.where("chunk IS NULL").select("hash", "n", "sig")
+    sets = scanned.where("chunk IS NULL").select("hash", "sum", "n", "sig")
     chunks = (
         scanned.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
         .mapInArrow(_sum_chunks, "chunk int, counts binary").collect()
@@ -362,13 +369,13 @@ def note_links(
 
 
 def _components_of(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(sig, n, component) of every class: the smallest hash reachable over ``links``."""
+    """(sig, n, root, component) of every class: one signature and the smallest hash reachable over ``links``."""
     classes = sets.where("n > 0").groupBy("sig", "n").agg(F.min("hash").alias("least"))
     placed = classes.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "n", "least", F.coalesce("root", "sig").alias("root")
     )
     smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    return placed.join(smallest, "root").select("sig", "n", "component")
+    return placed.join(smallest, "root").select("sig", "n", "root", "component")
 
 
 def note_components(notes: DataFrame, width: int = 5, percent: int = 80, fragments: int = 3, buckets: int = 1 << 20) -> DataFrame:
@@ -409,11 +416,33 @@ def note_classes(notes: DataFrame, width: int = 5, percent: int = 80, fragments:
 
 
 def distinct_notes(notes: DataFrame, **options) -> DataFrame:
-    """The rows of ``notes`` that stand for their component: those with its smallest hash.
+    """One row of ``notes`` for each component.
 
-    Rows whose hash is null stay. The texts are read once more and, where the rows that
-    go are few enough to be broadcast, never shuffled.
+    It is the one with the smallest hash; a null hash comes last. Among texts with that
+    hash the one of least checksum stays, among rows that repeat both the first by the
+    other columns. Blank and null notes of one hash, or of none, are a component.
+
+    The texts are read once more and, where the rows that go are few enough to be
+    broadcast, never shuffled; only rows with a repeated hash and text are.
     """
-    classes = note_components(notes, **options)
-    gone = cut_lineage(classes.where("hash <> component_id").select("hash").distinct())
-    return notes.join(bounded_side(gone), "hash", "left_anti")
+    sets, links = note_links(notes, **options, every=False)
+    rows = cut_lineage(
+        sets.join(_components_of(sets, links).drop("component"), ["sig", "n"], "left").select(
+            "hash", "sum", F.coalesce("root", "hash", F.lit(0)).alias("group"),
+            F.when(F.col("n") > 0, 0).when(F.col("hash").isNotNull(), 1).otherwise(2).alias("kind"),
+        ).groupBy("hash", "sum", "group", "kind").agg(F.count("*").alias("times"))
+    )
+    first = rows.groupBy("group", "kind").agg(F.min(F.struct(F.col("hash").isNull().alias("none"), "hash", "sum")).alias("first"))
+    named = rows.join(first, ["group", "kind"])
+    stands = F.col("hash").eqNullSafe(F.col("first.hash")) & (F.col("sum") == F.col("first.sum"))
+    key = lambda t: t.select(F.col("hash").alias("_h"), F.col("sum").alias("_s"))
+    gone, repeated = cut_lineage(key(named.where(~stands))), cut_lineage(key(named.where(stands & (F.col("times") > 1))))
+    same = F.col("hash").eqNullSafe(F.col("_h")) & (checksum() == F.col("_s"))
+    kept = notes.join(bounded_side(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    others = [c for c in notes.columns if c not in ("hash", "note")]
+    place = F.row_number().over(Window.partitionBy("hash", "note").orderBy(*(others or [F.lit(0)])))
+    repeated = bounded_side(repeated)
+    one = kept.join(repeated, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return kept.join(repeated, same, "left_anti").unionByName(one)

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import brute
-from test_texts import ROWS, prose
+from test_texts import BASE, LONG, ROWS, odd, prose  # noqa: F401
 
 from cratewise.llm import jaccard
 
@@ -30,3 +30,13 @@ def test_components_are_those_of_all_links(spark):
     notes = spark.createDataFrame(ROWS, "hash long, note string")
     every = jaccard.note_classes(notes, buckets=1 << 10).drop("n_links")
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, jaccard.note_components(notes, buckets=1 << 10).collect()))
+
+
+def test_one_row_of_each_component_stays(spark, odd):  # noqa: F811
+    def kept(notes):
+        return sorted(((r["hash"], r["note"]) for r in jaccard.distinct_notes(notes, buckets=1 << 10).collect()), key=str)
+
+    a, b = prose(11, 60), prose(12, 60)
+    four = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "hash long, note string")
+    assert kept(four) == [(1, a), (2, b)]
+    assert kept(odd) == sorted([(5, BASE), (5, LONG), (7, None)], key=str)
