@@ -138,7 +138,7 @@ def key_number(key: str = "key", scale: str = "scale"):
     return music.tonic(F.col(key)) + F.when(F.col(scale) == "minor", 12).otherwise(0)
 
 
-def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 4000, lr: float = 1.0, subclasses: int = 1, seed: int = 0, tol: float = 1e-2):
+def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 4000, lr: float = 1.0, subclasses: int = 1, seed: int = 0, tol: float = 1e-5):
     """Templates (2, K, D) and biases (2, K) by full-batch descent on the 24-way softmax.
 
     Each step sends the parameters out and sums per-partition gradients; only
