@@ -13,7 +13,9 @@ what is left evenly:
 * a block pair is one matrix product that keeps k per row; pairs of rows never
   leave the task.
 
-``mode="ivf"`` stops after round one: approximate, linear in the library.
+``mode="ivf"`` stops after round one: approximate. Without a given number of ``probes``
+it compares a sample with everything and searches as many cells as hold SAMPLE_RECALL of
+the sample's neighbours: few where there are clusters, nearly all where there are none.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from ..plans.guards import cut_lineage
 
 MAX_CELLS = 4096
 BLOCK_BYTES = 4 * 1024 * 1024
+# Cells of round one in exact mode, and how ivf chooses its own: rows sampled, share to find (0.9 and a margin).
+PROBES = 4
+SAMPLE = 256
+SAMPLE_RECALL = 0.95
 # Fixed values of the misread rule.
 CONF_MAX = 0.55
 AGREE_MIN = 0.60
@@ -111,8 +117,30 @@ def _compare(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _enough_probes(filed: DataFrame, order: np.ndarray, k: int) -> int:
+    """The least number of cells, by ``order``, that hold SAMPLE_RECALL of a sample's k nearest vectors."""
+    rows = filed.orderBy(F.xxhash64(F.lit(11), "vid"), "vid").limit(SAMPLE).select("cell", "unit").collect()
+    if not rows:
+        return 1
+    asked = np.array([r["unit"] for r in rows], dtype=np.float64)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sims = asked @ np.stack(pdf["unit"].to_numpy()).T
+                qi, ci = _top(sims, k)
+                yield pd.DataFrame({"q": qi.astype(np.int32), "sim": sims[qi, ci], "cell": pdf["cell"].to_numpy()[ci]})
+
+    hits = filed.select("unit", "cell").mapInPandas(nearest, "q int, sim double, cell int")
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "cell")
+    found = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "cell").collect()
+    place = np.argsort(order, axis=1)
+    at = np.sort([place[rows[h["q"]]["cell"], h["cell"]] for h in found])
+    return int(at[math.ceil(SAMPLE_RECALL * len(at)) - 1]) + 1
+
+
 def knn_vectors(
-    reps: DataFrame, n: int, dim: int, k: int, mode: str = "exact", probes: int = 4,
+    reps: DataFrame, n: int, dim: int, k: int, mode: str = "exact", probes: int | None = None,
     cells: int | None = None, block_rows: int | None = None,
 ) -> DataFrame:
     """(vid, neighbour, sim, n): the k nearest keys of every distinct vector, its own included.
@@ -151,8 +179,12 @@ def knn_vectors(
         "cell", "sub", F.col("b.vid").alias("vids"), F.flatten("b.keys").alias("keys"),
         F.transform("b.keys", lambda x: F.size(x)).alias("copies"), F.flatten("b.unit").alias("units"),
     )  # a block's vectors are one flat array, which Arrow hands over as one piece of memory
-    near = np.argsort(-(pivots @ pivots.T), axis=1)[:, : max(1, probes)]
-    near[:, 0] = np.arange(len(pivots))
+    alike = pivots @ pivots.T
+    np.fill_diagonal(alike, np.inf)  # a cell is its own nearest
+    order = np.argsort(-alike, axis=1)
+    if probes is None:
+        probes = _enough_probes(filed, order, k) if mode == "ivf" and len(pivots) > 1 else PROBES
+    near = order[:, : max(1, probes)]
 
     def spread(ids: DataFrame, targets) -> DataFrame:
         """Expand (qcell, qsub) with its candidate cells and their blocks."""

@@ -1,8 +1,8 @@
-"""Templates trained to convergence."""
+"""Templates trained to convergence, and the recall of the approximate join."""
 
 import numpy as np
 
-from cratewise.operators import keys as K
+from cratewise.operators import keys as K, knn
 
 
 def converged(x, y, l2=1e-2, lr=1.0):
@@ -31,3 +31,10 @@ def test_templates_predict_as_converged_ones(spark):
     picks = [K._logits(r, *t)[0].reshape(240, 24).argmax(axis=1) for t in ((w, b), (best_w, best_b))]
     assert (picks[0] == picks[1]).mean() >= 0.99
     assert np.abs(w - best_w).max() < 5e-3
+
+
+def test_ivf_finds_nine_of_ten_without_clusters(spark):
+    x = np.random.default_rng(5).normal(0, 1, (400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "hash int, e array<double>")
+    exact, near = (knn.knn_join(df, "hash", "e", 4, mode=m, cells=16) for m in ("exact", "ivf"))
+    assert knn.recall(exact, near, "hash").first()["recall"] >= 0.9
