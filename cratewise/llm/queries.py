@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, jaccard, licenses, mixture, quality, secrets, shards, suffixes, warc
+from ..plans.guards import cut_lineage
+from . import covertree, decontam, dialogue, jaccard, licenses, minhash, mixture, negatives, quality, secrets, shards, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,3 +220,101 @@ def op6_mixture(spark, folder):
     return mixture.mixed(tracks, LEVELS, WEIGHTS, share=0.8, epochs=2, seed=17).select(
         F.col("hash").alias("doc_id"), *LEVELS, "tokens", "copies"
     )
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 5"""
+)
+def op11_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    tracks = table(spark, folder, "embeddings").select(F.col("vec_id").alias("hash"), label.alias("genre"), "embedding")
+    found = negatives.hard_negatives(tracks, tracks.where("hash % 100 = 0"), positives=5, negatives=5, low=80, scale=256)
+    return found.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"),
+        F.col("negative").alias("negative_id"), "positive_score", "negative_score",
+    )
+
+
+@query(
+    SQL["op7_note_classes"].replace("len(ws) < 5", "len(ws) < 4").replace("len(ws) - 3", "len(ws) - 2").replace("ws[i:i + 4]", "ws[i:i + 3]")
+    .replace("min(r.y) AS component_id", "min(r.y) AS component_id, d.doc_id = min(r.y) AS kept")
+)
+def op12_near_copies(spark, folder):
+    return minhash.near_copies(notes(table(spark, folder, "documents")), width=4, percent=80).withColumnRenamed("hash", "doc_id")
+
+
+# The damage that the contract of op13 does to a turn, by the remainder of its checksum.
+DROPPED, EMPTIED, CUT, REPEATED, REROLED = range(5)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with the faults of the contract; a null is one blank."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fate = F.crc32(name.cast("binary")) % 20
+    times = F.when(fate == DROPPED, 0).when(fate == REPEATED, 2).otherwise(1)
+    text = F.when(fate == EMPTIED, "").when(fate == CUT, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    hurt = rows.select("conv_id", "turn", F.when(fate == REROLED, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("times"))
+    return hurt.where("times > 0").withColumn("copy", F.explode(F.expr("sequence(1, times)"))).drop("times", "copy")
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ord(ch)::BIGINT)),
+    lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, (c & 1) * 3988292384)))"""
+
+
+@query(
+    rf"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC}, 4294967295) % 20 AS fate FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM raw),
+nr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+fl AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, regexp_replace(text, '[ 	-]', '', 'g') AS solid,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM nr),
+ft AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM fl),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM ft GROUP BY conv_id),
+steps(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins(p, q, w, x) AS (SELECT p, p, 0, '' FROM range(4) t(p) UNION ALL SELECT ins.p, s.q, w + 2, x || 'I' FROM ins JOIN steps s ON s.p = ins.q AND s.c IN ('u', 'a') WHERE w < 4),
+ops(c, fault, p, q, w, x) AS (
+  SELECT '', f, p, p, 3, 'D' FROM range(4) t(p), (VALUES ('blank'), ('duplicate'), ('truncated'), ('')) g(f)
+  UNION ALL SELECT c, f, p, q, e, 'K' FROM steps, (VALUES ('truncated', 1), ('', 0)) g(f, e)
+  UNION ALL SELECT '', f, p, q, 2 + e, 'R' FROM steps, (VALUES ('truncated', 1), ('', 0)) g(f, e) WHERE c IN ('u', 'a')),
+moves AS (SELECT o.c, o.fault, ins.p, o.q, ins.w + o.w AS w, ins.x || o.x AS x FROM ins JOIN ops o ON o.p = ins.q),
+dp(conv_id, i, p, w, x) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '' FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, w, x FROM (
+    SELECT d.conv_id, d.i + 1 AS i, m.q, d.w + m.w AS w, d.x || m.x AS x, row_number() OVER (PARTITION BY d.conv_id, m.q ORDER BY d.w + m.w, d.x || m.x) AS k
+    FROM dp d JOIN ft ON ft.conv_id IS NOT DISTINCT FROM d.conv_id AND ft.i = d.i + 1 JOIN moves m ON m.fault = ft.fault AND m.p = d.p AND m.c IN ('', ft.c))
+  WHERE k = 1),
+best AS (SELECT d.conv_id, d.w + ins.w AS cost, d.x || ins.x AS audit FROM dp d JOIN counts ON counts.conv_id IS NOT DISTINCT FROM d.conv_id AND counts.n = d.i JOIN ins ON ins.p = d.p AND ins.q IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY d.w + ins.w, d.x || ins.x) = 1),
+edits AS (SELECT conv_id, j, audit[j] AS e, len(replace(audit[:j], 'I', '')) AS i FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM best)),
+kept AS (SELECT e.conv_id, e.j, e.e, ft.role, ft.text, row_number() OVER w AS place, coalesce(first_value(e.e = 'K' AND ft.c = 's') OVER w, FALSE) AS s
+  FROM edits e LEFT JOIN ft ON ft.conv_id IS NOT DISTINCT FROM e.conv_id AND ft.i = e.i AND e.e <> 'I' WHERE e.e <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY e.j)),
+said AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place + s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS t FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM o.conv_id"""
+)
+def op13_repairs(spark, folder):
+    rows = table(spark, folder, "conversations")
+    hurt = damaged(rows)
+    plans = cut_lineage(dialogue.repair_plans(hurt))
+    digests = dialogue.repaired_digests(hurt, plans).withColumnRenamed("conv_id", "_conv")
+    both = plans.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv").withColumnRenamed("conv_id", "_conv")
+    out = rows.select("conv_id").distinct().join(both, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
