@@ -45,16 +45,28 @@ def mirex(spark, d):
     return K.mirex_report(rows, "o_orderpriority")
 
 
+def _folded(n: int):
+    """All dimensions of a vector folded into ``n``, as octaves fold into pitch classes."""
+    def one(i: int):
+        return F.aggregate(F.filter("embedding", lambda v, k: k % n == i), F.lit(0.0), lambda s, v: s + v.cast("double"))
+
+    return F.array(*[one(i) for i in range(n)])
+
+
+def _fold_sql(n: int) -> str:
+    return f"list_transform(range({n}), lambda i: list_sum(list_filter(embedding::DOUBLE[], lambda v, k: (k - 1) % {n} = i)))"
+
+
 def _pcps(spark, d):
-    """First 12 dimensions as a pitch profile, the key read off the label and the next dimension's sign."""
-    e = table(spark, d, "embeddings")
+    """The whole vector folded into a pitch profile, the key read off the label and the first class's sign."""
+    e = table(spark, d, "embeddings").withColumn("pcp", _folded(12))
     return e.select(
-        "vec_id", _pick(music.KEY_NAMES, F.col("label")).alias("key"), F.when(F.col("embedding")[12] > 0, "major").otherwise("minor").alias("scale"),
-        F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double")).alias("pcp"),
+        "vec_id", _pick(music.KEY_NAMES, F.col("label")).alias("key"), F.when(F.col("pcp")[0] > 0, "major").otherwise("minor").alias("scale"), "pcp",
     )
 
 
-ROLLED = """x AS (SELECT vec_id, label, CASE WHEN embedding[13] > 0 THEN 'major' ELSE 'minor' END AS scale, unnest(embedding[1:12]::DOUBLE[]) AS v, generate_subscripts(embedding[1:12], 1) - 1 AS i FROM embeddings),
+FOLDED = f"fd AS (SELECT vec_id, label, {_fold_sql(12)} AS pcp FROM embeddings)"
+ROLLED = f"""{FOLDED}, x AS (SELECT vec_id, label, CASE WHEN pcp[1] > 0 THEN 'major' ELSE 'minor' END AS scale, unnest(pcp) AS v, generate_subscripts(pcp, 1) - 1 AS i FROM fd),
 r AS (SELECT vec_id, scale, (i - label + 12) % 12 AS pos, v FROM x)"""
 
 
@@ -77,8 +89,8 @@ def _profile_sql(name: str) -> str:
         for t in range(12):
             p = K.PROFILES[name][mode]
             rows.append(f"({mi * 12 + t}, '{music.KEY_NAMES[t]}', '{mode}', {[p[(i - t) % 12] for i in range(12)]}::DOUBLE[])")
-    return f"""tpl AS (SELECT * FROM (VALUES {', '.join(rows)}) v(o, key, scale, w)),
-e AS (SELECT vec_id, list_transform(embedding[1:12]::DOUBLE[], lambda q: CASE WHEN q < 0.05 THEN 0 ELSE q END) AS p FROM embeddings),
+    return f"""{FOLDED}, tpl AS (SELECT * FROM (VALUES {', '.join(rows)}) v(o, key, scale, w)),
+e AS (SELECT vec_id, list_transform(pcp, lambda q: CASE WHEN q < 0.05 THEN 0 ELSE q END) AS p FROM fd),
 ec AS (SELECT vec_id, list_transform(p, lambda q: q - list_avg(p)) AS c FROM e), tc AS (SELECT o, key, scale, list_transform(w, lambda q: q - list_avg(w)) AS c FROM tpl),
 s AS (SELECT vec_id, o, key, scale, coalesce(round(CASE WHEN list_dot_product(ec.c, ec.c) > 0 THEN list_dot_product(ec.c, tc.c) / sqrt(list_dot_product(ec.c, ec.c) * list_dot_product(tc.c, tc.c)) ELSE 0 END, 12), 0) AS r FROM ec, tc)"""
 
@@ -179,8 +191,7 @@ def head_training(spark, d):
     return out.groupBy("label").agg(F.count("prediction").alias("scored"), F.bool_and(F.col("prediction").cast("int").between(0, 9)).alias("known"))
 
 
-@query("""WITH x AS (SELECT vec_id, label, CASE WHEN embedding[13] > 0 THEN 'major' ELSE 'minor' END AS scale FROM embeddings)
-SELECT vec_id, scale, true AS named FROM x""")
+@query(f"""WITH {FOLDED} SELECT vec_id, CASE WHEN pcp[1] > 0 THEN 'major' ELSE 'minor' END AS scale, true AS named FROM fd""")
 def key_template_training(spark, d):
     """Every row scored by templates that were trained to convergence without its fold."""
     rows = M.assign_folds(_pcps(spark, d), "vec_id", "scale", 5)
@@ -192,13 +203,13 @@ DIM, CLASSES = 64, 10
 
 
 def _head() -> M.Head:
-    """A fixed linear head: two opposite rectified units per class that read one dimension each."""
-    w1 = [[(1.0 if j // 2 == i else 0.0) * (1 if j % 2 == 0 else -1) for j in range(2 * CLASSES)] for i in range(DIM)]
+    """A fixed linear head: two opposite rectified units per class that read every tenth dimension."""
+    w1 = [[(1.0 if j // 2 == i % CLASSES else 0.0) * (1 if j % 2 == 0 else -1) for j in range(2 * CLASSES)] for i in range(DIM)]
     w2 = [[(4.0 if j // 2 == c else 0.0) * (1 if j % 2 == 0 else -1) for c in range(CLASSES)] for j in range(2 * CLASSES)]
     return M.Head([0.0] * DIM, [0.5] * DIM, w1, [0.0] * (2 * CLASSES), w2, [0.0] * CLASSES, [f"s{c}" for c in range(CLASSES)])
 
 
-HEADED = """x AS (SELECT vec_id, label, unnest(embedding[1:10]::DOUBLE[]) * 8 AS l, generate_subscripts(embedding[1:10], 1) - 1 AS c FROM embeddings),
+HEADED = f"""fh AS (SELECT vec_id, label, {_fold_sql(10)} AS e FROM embeddings), x AS (SELECT vec_id, label, unnest(e) * 8 AS l, generate_subscripts(e, 1) - 1 AS c FROM fh),
 pr AS (SELECT vec_id, label, c, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS p FROM x)"""
 
 
@@ -245,16 +256,16 @@ def missing_extractions(spark, d):
     return M.missing_extractions(e.select("vec_id"), cache, ["a", "b"], "vec_id")
 
 
-@query("SELECT vec_id, candidate, CASE WHEN candidate = 'b' AND label = 9 THEN NULL ELSE round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 6) END AS total, candidate = 'b' AND label = 9 AS failed FROM embeddings, (VALUES ('a'), ('b')) c(candidate)")
+@query("SELECT vec_id, candidate, CASE WHEN candidate = 'b' AND label = 9 THEN NULL ELSE round(list_sum(embedding::DOUBLE[]), 6) END AS total, candidate = 'b' AND label = 9 AS failed FROM embeddings, (VALUES ('a'), ('b')) c(candidate)")
 def extraction_failures(spark, d):
     """User extractors per candidate; a failing input becomes a row."""
 
     def strict(v):
-        if v[2] > 8.5:
+        if v[-1] > 8.5:
             raise ValueError("unreadable")
-        return v[:2]
+        return v[:-1]
 
-    e = table(spark, d, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"), F.col("label").cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.col("label").cast("double"))).alias("v"))
     todo = e.withColumn("candidate", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    out = M.extract(todo, "vec_id", "v", {"a": lambda v: v[:2], "b": strict})
-    return out.select("vec_id", "candidate", F.round(F.col("embedding")[0] + F.col("embedding")[1], 6).alias("total"), F.col("error").isNotNull().alias("failed"))
+    out = M.extract(todo, "vec_id", "v", {"a": lambda v: v[:-1], "b": strict})
+    return out.select("vec_id", "candidate", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.col("error").isNotNull().alias("failed"))

@@ -159,17 +159,20 @@ def tag_normaliser(spark, d):
 
 
 @query("""WITH e AS (SELECT event_id, event_type, value FROM events)
-SELECT event_id, CASE event_type WHEN 'view' THEN 'House' WHEN 'click' THEN NULL WHEN 'purchase' THEN 'Drum n Bass' WHEN 'signup' THEN NULL ELSE 'Trance' END AS tag_keystone,
- CASE event_type WHEN 'view' THEN true WHEN 'purchase' THEN true WHEN 'error' THEN false END AS agrees FROM e""")
+SELECT event_id, CASE event_type WHEN 'view' THEN 'House' WHEN 'click' THEN NULL WHEN 'purchase' THEN 'Drum n Bass' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Hard Dance' END
+  ELSE CASE WHEN event_id % 2 = 0 THEN 'Ambient' ELSE 'Trance' END END AS tag_keystone,
+ CASE event_type WHEN 'view' THEN true WHEN 'purchase' THEN true WHEN 'error' THEN event_id % 2 = 0 WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN false END END AS agrees FROM e""")
 def tag_agreement(spark, d):
-    """The file tag's keystone against the shown style's."""
+    """The file tag's keystone against the shown style's; the genre graph is asked before the head noun."""
+    graph = spark.createDataFrame([("hard wave", "Hard Dance"), ("sad house", "Ambient"), ("techno", "Ambient")], "name string, keystone string")
+    odd = F.col("event_id") % 2 != 0
     e = F.col("event_type")
     tag = (
         F.when(e == "view", "Tech House; Electro").when(e == "click", "Techno / House").when(e == "purchase", "drum & bass")
-        .when(e == "signup", "Electronic").otherwise("Trance|Dance")
+        .when(e == "signup", F.when(odd, "Electronic").otherwise("Electronic; Hard  Wave")).otherwise(F.when(odd, "Trance|Dance").otherwise("Sad House"))
     )
     rows = table(spark, d, "events").select("event_id", style_of().alias("style"), tag.alias("tag"))
-    tags = L.tag_keystones(rows, "tag").withColumnRenamed("keystone", "tag_keystone")
+    tags = L.tag_keystones(rows, "tag", graph=graph).withColumnRenamed("keystone", "tag_keystone")
     shown = taxonomy.style_dim(rows, "style").withColumnRenamed("keystone", "shown")
     out = rows.join(tags, "tag").join(shown, "style")
     return out.select("event_id", "tag_keystone", L.agreement(F.col("tag_keystone"), F.col("shown")).alias("agrees"))

@@ -52,6 +52,29 @@ def track_classes(spark, d):
     return _classes(spark, d).drop("keystones")
 
 
+ARCH = "CASE WHEN {k} IN ('House', 'Techno', 'Trance') THEN {k} WHEN {k} IN ('Drum n Bass', 'Dubstep') THEN 'Bass' ELSE 'Chill' END"
+
+
+@query(f"""WITH {CLASSES}, sh AS (SELECT user_id, string_agg(keystone || ' ' || printf('%.4f', round_even(share, 4)), ', ' ORDER BY weight DESC) AS shares FROM w GROUP BY 1),
+sb AS (SELECT r.user_id, string_agg(style || ' ' || printf('%.2f', score) || ' ' || keystone, ', ' ORDER BY weight DESC, score DESC) AS subgenres
+ FROM (SELECT *, {KEYSTONE_SQL} AS keystone FROM reads WHERE score > 0) r JOIN w USING (user_id, keystone) GROUP BY 1)
+SELECT user_id, CASE WHEN o.user_id IS NULL THEN shares ELSE 'Trance 1.0000' END AS shares, CASE WHEN o.user_id IS NULL THEN subgenres ELSE 'Uplifting Trance 1.00 Trance' END AS subgenres,
+ CASE WHEN k2 IS NULL OR {FAMILY.format(k='k1')} = {FAMILY.format(k='k2')} THEN {FAMILY.format(k='k1')} ELSE {FAMILY.format(k='k1')} || ', ' || {FAMILY.format(k='k2')} END AS families,
+ CASE WHEN k2 IS NULL OR {ARCH.format(k='k1')} = {ARCH.format(k='k2')} THEN {ARCH.format(k='k1')} ELSE {ARCH.format(k='k1')} || ', ' || {ARCH.format(k='k2')} END AS archgenres,
+ o.user_id IS NOT NULL AS override FROM cls LEFT JOIN sh USING (user_id) LEFT JOIN sb USING (user_id) LEFT JOIN ov o USING (user_id)""")
+def track_records(spark, d):
+    """The whole classification record: shares, ordered subgenres, families, archgenres, the override's entry."""
+    tall = _tall(spark, d)
+    overrides = table(spark, d, "events").where("value > 200").select("user_id").distinct().withColumn("override", F.lit("Uplifting Trance"))
+    found = taxonomy.classification_records(tall, "user_id", _dim(tall), overrides)
+    share = F.transform(F.map_keys("shares"), lambda k: F.concat(k, F.lit(" "), F.format_string("%.4f", F.element_at("shares", k))))
+    sub = F.transform("subgenres", lambda s: F.concat(s["style"], F.lit(" "), F.format_string("%.2f", s["score"]), F.lit(" "), s["keystone"]))
+    return found.select(
+        "user_id", F.array_join(share, ", ").alias("shares"), F.array_join(sub, ", ").alias("subgenres"),
+        F.array_join("families", ", ").alias("families"), F.array_join("archgenres", ", ").alias("archgenres"), "override",
+    )
+
+
 @query(f"""WITH {CLASSES}, u AS (SELECT k1 AS keystone FROM cls UNION ALL SELECT k2 FROM cls WHERE k2 IS NOT NULL) SELECT keystone, count(*) AS count FROM u GROUP BY 1""")
 def keystone_membership(spark, d):
     """Tracks per keystone, a fusion under each of its two."""

@@ -183,10 +183,10 @@ def vibe_listing(spark, d):
     return search.vibe_listing(table(spark, d, "labels").select(F.col("doc_id").alias("hash"), F.col("quality").alias("weight")), tracks)
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, s_suppkey AS hash FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON s_nationkey = n_nationkey")
+@query("SELECT n_nationkey AS id, n_name AS name, s_suppkey AS hash FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
 def vibe_membership(spark, d):
     """Every group with its members, an empty one once."""
-    members = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("vibe_id"), F.col("s_suppkey").alias("hash"))
+    members = table(spark, d, "supplier").select(F.col("s_nationkey").alias("vibe_id"), F.col("s_suppkey").alias("hash"))
     return search.membership(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), members)
 
 
@@ -224,11 +224,11 @@ def recent_labels(spark, d):
     return search.recent_labels(orders.select(F.col("o_orderkey").alias("hash"), F.col("o_totalprice").alias("created")), tracks)
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN 'C' ELSE 'Am' END AS key_text, floor(floor(s_acctbal + 0.5) / 60)::BIGINT || ':' || lpad((floor(s_acctbal + 0.5)::BIGINT % 60)::VARCHAR, 2, '0') AS length,
-strftime(make_timestamp((s_suppkey * 86400 * 1000000 + 86400000000)::BIGINT), '%Y-%m-%d') AS day FROM supplier WHERE s_acctbal >= 0""")
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN 'C' ELSE 'Am' END AS key_text, floor(floor(s_acctbal + 0.5) / 60)::BIGINT || ':' || lpad((((floor(s_acctbal + 0.5)::BIGINT % 60) + 60) % 60)::VARCHAR, 2, '0') AS length,
+strftime(make_timestamp((s_suppkey * 86400 * 1000000 + 86400000000)::BIGINT), '%Y-%m-%d') AS day FROM supplier""")
 def display_fields(spark, d):
     """Key, length and date as display text."""
-    s = table(spark, d, "supplier").where("s_acctbal >= 0")
+    s = table(spark, d, "supplier")
     minor = F.col("s_nationkey") >= 12
     return s.select(
         "s_suppkey", music.key_text(F.when(minor, "A").otherwise("C"), F.when(minor, "minor").otherwise("major")).alias("key_text"),

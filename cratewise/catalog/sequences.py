@@ -210,10 +210,10 @@ def histogram_mode(spark, d):
     return S.histogram_mode(rows, "user_id", 0.0, 100.0, 10)
 
 
-@query("""WITH x AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda q: greatest(q::DOUBLE, 0)) AS v FROM embeddings),
+@query("""WITH x AS (SELECT label, vec_id, list_transform(embedding, lambda q: greatest(q::DOUBLE, 0)) AS v FROM embeddings),
 t AS (SELECT label, unnest(list_transform(v, lambda e: CASE WHEN list_max(v) > 0 THEN e / list_max(v) ELSE e END)) AS val, generate_subscripts(v, 1) - 1 AS pos FROM x),
 m AS (SELECT label, pos, avg(val) AS m FROM t GROUP BY ALL) SELECT label, pos::INT AS pos, round(CASE WHEN m / max(m) OVER (PARTITION BY label) < 0.93 THEN 0 ELSE m / max(m) OVER (PARTITION BY label) END, 6) AS value FROM m""")
 def mean_profile(spark, d):
     """Mean of max-normalised profiles per group, gated."""
-    rows = table(spark, d, "embeddings").select("label", F.transform(F.slice("embedding", 1, 12), lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("v"))
+    rows = table(spark, d, "embeddings").select("label", F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("v"))
     return S.mean_profile(rows, "label", "v", gate=0.93).withColumn("value", F.round("value", 6))

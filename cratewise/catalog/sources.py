@@ -229,10 +229,10 @@ def collection_document(spark, d):
         F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").startswith("<TRACK TrackID")).alias("tracks"), F.bool_or(F.col("line").startswith("<!--")).alias("noted"))
 
 
-@query("SELECT n_name AS name, s_suppkey AS hash, CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_acctbal < 6000 THEN 1.0 ELSE s_acctbal / 10000 END AS weight FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON s_nationkey = n_nationkey")
+@query("SELECT n_name AS name, s_suppkey AS hash, CASE WHEN s_suppkey IS NULL THEN NULL WHEN s_acctbal < 6000 THEN 1.0 ELSE s_acctbal / 10000 END AS weight FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
 def vibe_export(spark, d):
     """Member lines of every vibe, null weights as one."""
-    s = table(spark, d, "supplier").where("s_acctbal > 5000")
+    s = table(spark, d, "supplier")
     members = s.select(F.col("s_nationkey").alias("vibe_id"), F.col("s_suppkey").alias("hash"), F.when(F.col("s_acctbal") >= 6000, F.col("s_acctbal") / 10000).alias("weight"))
     return sinks.vibe_rows(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), members)
 

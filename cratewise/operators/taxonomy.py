@@ -160,7 +160,7 @@ def graph_keystones(genres: DataFrame, overlay: Overlay = Overlay(), depth: int
 
 
 def placed_names(names: DataFrame, name: str, overlay: Overlay = Overlay(), graph: DataFrame | None = None) -> DataFrame:
-    """(name, keystone) of typed or tagged names: the tables, then the genre graph, as written and folded (F16).
+    """(name, keystone) of typed or tagged names: the tables, the genre graph, then the head noun, as written and folded (F16).
 
     ``graph`` is the table of :func:`graph_keystones`; without it only the tables answer.
     """
@@ -170,7 +170,7 @@ def placed_names(names: DataFrame, name: str, overlay: Overlay = Overlay(), grap
     for spelling, out in (("_t", "_gt"), ("_f", "_gf")):
         hits = graph.select(F.col("name").alias("_n"), F.col("keystone").alias(out))
         tidy = tidy.join(hits, F.lower(spelling) == F.col("_n"), "left").drop("_n")
-    answer = F.coalesce(keystone(F.col("_t"), overlay), F.col("_gt"), keystone(F.col("_f"), overlay), F.col("_gf"))
+    answer = F.coalesce(keystone(F.col("_t"), overlay, F.col("_gt")), keystone(F.col("_f"), overlay, F.col("_gf")))
     return tidy.select(name, answer.alias("keystone"))
 
 
@@ -258,6 +258,54 @@ def classify(reads: DataFrame, key: str, styles: DataFrame, overrides: DataFrame
     )
 
 
+def classification_records(
+    reads: DataFrame, key: str, styles: DataFrame, overrides: DataFrame | None = None, overlay: Overlay = Overlay()
+) -> DataFrame:
+    """The whole identity of a track from tall reads (key, tier, pos, style, score).
+
+    Rows: key, keystones, shares (keystone -> share of the covered weight), label, group,
+    family, families, archgenre, archgenres, cross_family, subgenres (style, score,
+    keystone; keystones by weight, styles by score), fusion, override. The lowest tier
+    with any keystone weight decides. ``overrides`` (key, override) stand alone with
+    their own name as subgenre, covered or not. Tracks without a keystone have no row.
+    """
+    covered = reads.where(F.col("score") > 0).join(styles.where(F.col("keystone").isNotNull()), "style")
+    per_keystone = covered.groupBy(key, "tier", "keystone").agg(
+        (-F.sum("score")).alias("w"), F.min("pos").alias("pos"),
+        # a track's styles of one keystone
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "style"))).alias("subs"),
+    )
+    ranked = per_keystone.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tier", "w", "pos", "keystone", "subs"))).alias("ks"))
+    ranked = ranked.withColumn("ks", F.filter("ks", lambda k: k["tier"] == F.col("ks")[0]["tier"]))
+    total = F.aggregate("ks", F.lit(0.0), lambda t, k: t + k["w"])
+    read = ranked.withColumn("total", total).select(
+        key,
+        F.transform(
+            F.filter("ks", lambda k, i: (i == 0) | ((i == 1) & (k["w"] / F.col("total") >= dims.FUSION_THRESHOLD))), lambda k: k["keystone"]
+        ).alias("keystones"),
+        F.map_from_arrays(F.transform("ks", lambda k: k["keystone"]), F.transform("ks", lambda k: F.bround(k["w"] / F.col("total"), 4))).alias("shares"),
+        F.flatten(F.transform("ks", lambda k: F.transform(
+            k["subs"], lambda s: F.struct(s["style"].alias("style"), (-s["s"]).cast("double").alias("score"), k["keystone"].alias("keystone"))
+        ))).alias("subgenres"),
+        F.lit(False).alias("override"),
+    )
+    if overrides is not None:
+        typed = overrides.where(F.coalesce("override", F.lit("")) != "").withColumn("_k", F.coalesce(keystone(F.col("override"), overlay), "override"))
+        forced = typed.select(
+            key, F.array("_k").alias("keystones"), F.create_map("_k", F.lit(1.0)).alias("shares"),
+            F.array(F.struct(F.col("override").alias("style"), F.lit(1.0).alias("score"), F.col("_k").alias("keystone"))).alias("subgenres"),
+            F.lit(True).alias("override"),
+        )
+        read = read.join(forced.select(key), key, "left_anti").unionByName(forced)
+    families = F.array_distinct(F.transform("keystones", lambda k: family(k, overlay)))
+    arches = F.array_distinct(F.transform("keystones", lambda k: archgenre(k, overlay)))
+    return read.withColumns({"families": families, "archgenres": arches}).select(
+        key, "keystones", "shares", blend_label(F.col("keystones")).alias("label"), group_key(F.col("keystones")).alias("group"),
+        F.col("families")[0].alias("family"), "families", F.col("archgenres")[0].alias("archgenre"), "archgenres",
+        (F.size("families") > 1).alias("cross_family"), "subgenres", (F.size("keystones") > 1).alias("fusion"), "override",
+    )
+
+
 def dominant_subgenre(reads: DataFrame, key: str, styles: DataFrame) -> DataFrame:
     """The strongest style within each keystone of a track (T4); tall reads (key, pos, style, score)."""
     covered = reads.where(F.col("score") > 0).join(styles.where(F.col("keystone").isNotNull()), "style")
