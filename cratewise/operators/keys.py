@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music, vectors as V
 from ..plans.ranks import median_picks, order_stats
+from .descent import minimise
 
 # Published key profiles (index 0 is the tonic, ascending semitones) and score weights.
 PROFILES = {
@@ -138,63 +139,88 @@ def key_number(key: str = "key", scale: str = "scale"):
     return music.tonic(F.col(key)) + F.when(F.col(scale) == "minor", 12).otherwise(0)
 
 
-def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 4000, lr: float = 1.0, subclasses: int = 1, seed: int = 0, tol: float = 1e-5):
-    """Templates (2, K, D) and biases (2, K) by full-batch descent on the 24-way softmax.
-
-    Each step sends the parameters out and sums per-partition gradients; only
-    2 * K * (D + 1) numbers per partition come back. It ends when the largest slope of
-    the penalised loss is below ``tol``, after ``steps`` steps at the latest.
-    """
-    rows = tracks.where(F.col(vec).isNotNull()).select(F.col(vec).alias("x"), F.col(label).cast("int").alias("y")).persist()
-    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0, 1e-2, (2, subclasses, dim)) if subclasses > 1 else np.zeros((2, subclasses, dim))
-    b = np.zeros((2, subclasses))
-    size = w.size + b.size
-
-    def gradient(w: np.ndarray, b: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(size)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                r = rotations(standardise(np.stack(pdf["x"].to_numpy()).astype(np.float64)))
-                logit, share = _logits(r, w, b)
+def _fold_sums(points: np.ndarray, shape: tuple[int, int, int]):
+    """Per task the loss, its slopes and the number of rows of every fold's model; a row is left out of its own fold's."""
+    size = int(np.prod(shape))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(points), points.shape[1] + 2))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            r = rotations(standardise(np.stack(pdf["x"].to_numpy()).astype(np.float64)))
+            y, fold, rows = pdf["y"].to_numpy(), pdf["fold"].to_numpy(), np.arange(len(pdf))
+            for f, point in enumerate(points):
+                mine = (fold != f).astype(np.float64)
+                logit, share = _logits(r, point[:size].reshape(shape), point[size:].reshape(shape[:2]))
                 flat = logit.transpose(0, 2, 1).reshape(len(pdf), 24)
-                p = np.exp(flat - flat.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(pdf)), pdf["y"].to_numpy()] -= 1.0
-                g = p.reshape(len(pdf), 2, 12).transpose(0, 2, 1)[..., None] * share
-                total += np.concatenate([np.einsum("ntmk,ntd->mkd", g, r).ravel(), g.sum(axis=(0, 1)).ravel()])
-            yield pd.DataFrame({"pos": np.arange(size), "g": total})
-
-        return run
-
-    for _ in range(steps):
-        sums = rows.mapInPandas(gradient(w, b), "pos int, g double").groupBy("pos").agg(F.sum("g").alias("g")).orderBy("pos").collect()
-        g = np.array([r["g"] for r in sums]) / n
-        slope_w, slope_b = g[: w.size].reshape(w.shape) + l2 * w, g[w.size :].reshape(b.shape)
-        if max(np.abs(slope_w).max(), np.abs(slope_b).max()) < tol:
-            break
-        w, b = w - lr * slope_w, b - lr * slope_b
+                flat = flat - flat.max(axis=1, keepdims=True)
+                p = np.exp(flat)
+                whole = p.sum(axis=1)
+                loss = (np.log(whole) - flat[rows, y]) @ mine
+                p /= whole[:, None]
+                p[rows, y] -= 1.0
+                g = (p * mine[:, None]).reshape(len(pdf), 2, 12).transpose(0, 2, 1)[..., None] * share
+                total[f] += np.concatenate([[loss, mine.sum()], np.einsum("ntmk,ntd->mkd", g, r).ravel(), g.sum(axis=(0, 1)).ravel()])
+        yield pd.DataFrame({"pos": np.arange(total.size), "g": total.ravel()})
+
+    return run
+
+
+def _fit_folds(rows: DataFrame, folds: int, l2: float, steps: int, subclasses: int, seed: int, tol: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weights, biases) of every fold's model over rows (x, y, fold), all in the same passes."""
+    rows = rows.persist()
+    dim = rows.agg(F.max(F.size("x"))).first()[0] or 12
+    shape = (2, subclasses, dim)
+    size = int(np.prod(shape))
+    rng = np.random.default_rng(seed)
+    start = np.zeros(size + 2 * subclasses)
+    if subclasses > 1:
+        start[:size] = rng.normal(0, 1e-2, size)
+
+    def evaluate(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = rows.mapInPandas(_fold_sums(points, shape), "pos int, g double").groupBy("pos").agg(F.sum("g").alias("g")).orderBy("pos").collect()
+        whole = np.array([r["g"] for r in sums]).reshape(folds, -1) if sums else np.zeros((folds, points.shape[1] + 2))
+        n = np.maximum(whole[:, 1:2], 1)
+        pull = points.copy()
+        pull[:, size:] = 0  # biases are not penalised
+        return (whole[:, :1] / n)[:, 0] + l2 / 2 * (pull**2).sum(axis=1), whole[:, 2:] / n + l2 * pull
+
+    found = minimise(evaluate, np.tile(start, (folds, 1)), tol, steps)
     rows.unpersist()
-    return w, b
+    return [(x[:size].reshape(shape), x[size:].reshape(shape[:2])) for x in found]
+
+
+def train_templates(tracks: DataFrame, vec: str, label: str, l2: float = 1e-2, steps: int = 200, subclasses: int = 1, seed: int = 0, tol: float = 1e-5):
+    """Templates (2, K, D) and biases (2, K) of the 24-way softmax by full-batch descent.
+
+    Each pass sends the parameters out and sums per-partition slopes; only
+    2 * K * (D + 1) + 2 numbers per partition come back. It ends when the largest slope of
+    the penalised loss is below ``tol``, after ``steps`` passes at the latest.
+    """
+    rows = tracks.where(F.col(vec).isNotNull()).select(F.col(vec).alias("x"), F.col(label).cast("int").alias("y"), F.lit(-1).alias("fold"))
+    return _fit_folds(rows, 1, l2, steps, subclasses, seed, tol)[0]
 
 
-def cross_validate_templates(tracks: DataFrame, vec: str, fold: str, folds: int, min_confidence: int | None = None, augment: DataFrame | None = None, **train) -> DataFrame:
+def cross_validate_templates(
+    tracks: DataFrame, vec: str, fold: str, folds: int, min_confidence: int | None = None, augment: DataFrame | None = None,
+    l2: float = 1e-2, steps: int = 200, subclasses: int = 1, seed: int = 0, tol: float = 1e-5,
+) -> DataFrame:
     """Predictions of templates trained without each row's fold.
 
-    ``augment`` rows join every training set and are never scored.
+    The folds' models are fitted together: a pass sums the slopes of all of them, each row
+    masked out of its own fold's. ``augment`` rows join every training set and are never scored.
     """
     rows = tracks
     if min_confidence is not None:
         rows = rows.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
-    rows = rows.withColumn("_y", key_number())
-    extra = None if augment is None else augment.withColumn("_y", key_number()).select(vec, "_y")
+    rows = rows.withColumn("_y", key_number().cast("int"))
+    fit = rows.where(F.col(vec).isNotNull()).select(F.col(vec).alias("x"), F.col("_y").alias("y"), F.col(fold).cast("int").alias("fold"))
+    if augment is not None:
+        extra = augment.where(F.col(vec).isNotNull()).select(F.col(vec).alias("x"), key_number().cast("int").alias("y"), F.lit(-1).alias("fold"))
+        fit = fit.unionByName(extra)
     out = None
-    for f in range(folds):
-        fit = rows.where(F.col(fold) != f).select(vec, "_y")
-        w, b = train_templates(fit if extra is None else fit.unionByName(extra), vec, "_y", **train)
+    for f, (w, b) in enumerate(_fit_folds(fit, folds, l2, steps, subclasses, seed, tol)):
         scored = rows.where(F.col(fold) == f).withColumn("_k", score_keys(vec, w.tolist(), b.tolist())).select(
             *tracks.columns, F.col("_k.key").alias("pred_key"), F.col("_k.scale").alias("pred_scale")
         )
