@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
@@ -34,7 +38,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/cratewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut_lineage` wrote and nothing will read again.
+
+    Call it when what was worked out from them is itself written; other frames are left alone.
+    """
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fetch_bounded(df: DataFrame, limit: int) -> list | None:
