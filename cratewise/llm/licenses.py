@@ -4,13 +4,13 @@ A template is the wording of a licence notice with marked regions: optional ones
 ``<<beginOptional>>`` and ``<<endOptional>>``, replaceable ones as
 ``<<var;name="...";match="...">>``. It compiles to an automaton over word tokens: words
 outside the regions must stand exactly as written, an optional region may be skipped, a
-replaceable one takes up to MOST_VARIABLE words that match its expression.
+replaceable one takes one or more words that match its expression, as many as there are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,6 @@ from .blocks import ALNUM, LOWER, Fingerprints, pieces, runs
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MARK = re.compile(r'<<(beginOptional|endOptional|var;name="[^"]*";match="(?P<match>[^"]*)")>>')
-MOST_VARIABLE = 12
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -59,21 +58,27 @@ class Automaton:
     must: frozenset[bytes]
     opens: frozenset[bytes] | None
 
-    def longest(self, words: list[bytes]) -> int:
-        """How many of the leading ``words`` the longest accepted reading takes; 0 if none."""
-        final, now, best = len(self.steps) - 1, self.jumps[0], 0
-        for i, w in enumerate(words, 1):
-            nxt: set[int] = set()
-            for s in now:
-                for test, to in self.steps[s]:
-                    if (test == w) if isinstance(test, bytes) else test.fullmatch(w):
-                        nxt |= self.jumps[to]
-            if not nxt:
-                break
-            now = frozenset(nxt)
-            if final in now:
-                best = i
-        return best
+    def longest(self, word: Callable[[int], bytes], start: int, end: int, reach: dict[tuple[int, int], int]) -> int:
+        """Where the longest accepted reading of the words from ``start`` to ``end`` stops; -1 if there is none.
+
+        ``reach`` keeps, for all starts in one text, how far a state at a word gets, so
+        that no pair of state and word is read twice however long a region runs.
+        """
+        final, trail = len(self.steps) - 1, []
+        at, now = start, set(self.jumps[0])
+        while now := [s for s in now if (s, at) not in reach]:
+            w = word(at) if at < end else None
+            onward = {s: [t for test, to in self.steps[s] if w is not None and _accepts(test, w) for t in self.jumps[to]] for s in now}
+            trail.append((at, onward))
+            at, now = at + 1, {t for ts in onward.values() for t in ts}
+        for at, onward in reversed(trail):
+            for s, ts in onward.items():
+                reach[s, at] = max([at if s == final else -1, *(reach[t, at + 1] for t in ts)])
+        return max(reach[s, start] for s in self.jumps[0])
+
+
+def _accepts(test: bytes | re.Pattern, word: bytes) -> bool:
+    return test == word if isinstance(test, bytes) else test.fullmatch(word) is not None
 
 
 def compile_template(label: str, markup: str) -> Automaton:
@@ -101,13 +106,8 @@ def compile_template(label: str, markup: str) -> Automaton:
             skips.append((opened.pop(), len(steps) - 1))
         else:
             test = re.compile(mark["match"].encode())
-            begin = len(steps) - 1
-            ends = []
-            for _ in range(MOST_VARIABLE):
-                add(test)
-                ends.append(len(steps) - 1)
-            skips += [(e, ends[-1]) for e in ends[:-1]]
-            assert begin < ends[-1]
+            add(test)
+            steps[-1].append((test, len(steps) - 1))  # and any number more
     if opened or not must:
         raise ValueError(f"template {label}: an optional region is left open, or no wording is mandatory")
     jumps = [{s} for s in range(len(steps))]
@@ -167,13 +167,13 @@ class Scanner:
             for r in rows.tolist():
                 a, b = at[r], at[r + 1]
                 tries = np.arange(a, b) if opens is None else a + np.flatnonzero(np.isin(names[a:b], opens))
-                done = a
+                done, reach = a, {}
                 for i in tries.tolist():
                     if i >= done:
-                        took = automaton.longest([word(j) for j in range(i, min(b, i + len(automaton.steps)))])
-                        if took:
-                            out[r]["matches"].append((i - a, i - a + took, automaton.label))
-                            done = i + took
+                        stop = automaton.longest(word, i, b, reach)
+                        if stop > i:
+                            out[r]["matches"].append((i - a, stop - a, automaton.label))
+                            done = stop
         return out
 
 
@@ -204,7 +204,7 @@ def licensed_notices(notices: DataFrame, phrases: dict[str, str] | None = None,
     """``notices`` with ``found``: its words, the base phrases and the template wordings in it.
 
     ``notices`` is (name, notice), the texts that credit third parties, with any further
-    columns, all returned. ``found`` is (n_words, base, matches); ``base`` holds every
+    columns, all returned but an earlier ``found``. ``found`` is (n_words, base, matches); ``base`` holds every
     place where a base phrase's words stand one after another, ``matches`` the longest
     wording a template accepts from each place on, leftmost first and without overlap.
     Both are (start, end, label) in words from 0, sorted.
