@@ -8,6 +8,9 @@ what a whole family cannot use goes to the families beside it.
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +23,13 @@ BUCKETS = 4096
 def shares(budget: float, weights: dict[str, float], room: dict[str, float]) -> dict[str, float]:
     """``budget`` parted by ``weights``, no child above its ``room``; shortages go to siblings."""
     given = dict.fromkeys(room, 0.0)
-    open_ = {c for c in room if room[c] > 0 and weights.get(c, 0) > 0}
-    left = min(budget, sum(room[c] for c in open_))
-    while open_ and left > 1e-9:
-        total = sum(weights[c] for c in sorted(open_))
-        full = {c for c in open_ if given[c] + left * weights[c] / total >= room[c] - 1e-9}
-        if not full:
-            for c in open_:
-                given[c] += left * weights[c] / total
-            break
-        for c in full:
-            left -= room[c] - given[c]
-            given[c] = room[c]
-        open_ -= full
+    # those that fill first come first; what they leave is for the ones after them
+    order = sorted((c for c in room if room[c] > 0 and weights.get(c, 0) > 0), key=lambda c: (room[c] / weights[c], c))
+    left = min(budget, sum(room[c] for c in order))
+    rest = list(accumulate((weights[c] for c in reversed(order)), initial=0.0))[:0:-1]
+    for c, total in zip(order, rest, strict=True):
+        given[c] = min(room[c], left * weights[c] / total)
+        left = max(left - given[c], 0.0)
     return given
 
 
@@ -42,25 +39,21 @@ def leaf_budgets(tokens: dict[tuple, int], weights: dict[tuple, float], budget:
     ``weights`` maps a path, or the beginning of one, to its weight among its siblings;
     one that is missing weighs 1, and 0 leaves the whole branch out.
     """
-    def usable(prefix: tuple) -> bool:
-        return all(weights.get(prefix[: k + 1], 1.0) > 0 for k in range(len(prefix)))
-
-    out: dict[tuple, int] = dict.fromkeys(tokens, 0)
-
-    def part(prefix: tuple, amount: float) -> None:
-        depth = len(prefix)
-        if prefix in out:
+    room: dict[tuple, dict[str, float]] = {}  # of every node, what each child can give
+    for path, held in tokens.items():
+        usable = all(weights.get(path[: k + 1], 1.0) > 0 for k in range(len(path)))
+        for k, child in enumerate(path):
+            kids = room.setdefault(path[:k], {})
+            kids[child] = kids.get(child, 0.0) + (held * epochs if usable else 0.0)
+    out: dict[tuple, int] = {}
+    open_ = [((), budget)] if tokens else []
+    while open_:
+        prefix, amount = open_.pop()
+        if prefix in tokens:
             out[prefix] = int(amount + 1e-6)
-            return
-        room: dict[str, float] = {}
-        for path, held in tokens.items():
-            if path[:depth] == prefix:
-                room[path[depth]] = room.get(path[depth], 0.0) + (held * epochs if usable(path) else 0.0)
-        for child, given in shares(amount, {c: weights.get((*prefix, c), 1.0) for c in room}, room).items():
-            part((*prefix, child), given)
-
-    if tokens:
-        part((), budget)
+            continue
+        kids = room[prefix]
+        open_ += [((*prefix, c), given) for c, given in shares(amount, {c: weights.get((*prefix, c), 1.0) for c in kids}, kids).items()]
     return out
 
 
@@ -94,16 +87,17 @@ def mixed(
     """
     spark = tracks.sparkSession
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels]
-    leaf = F.concat_ws("\x1f", *text)
-    keyed = tracks.drop("tokens", "copies", "_whole", "_rest", "_budget", "_end", "_before", "_at", "_bucket").withColumn("_leaf", leaf)
+    leaf = F.to_json(F.array(*text))  # one text per path, whatever its levels hold
+    keyed = tracks.drop("tokens", "copies", "_whole", "_rest", "_end", "_before", "_at", "_bucket").withColumn("_leaf", leaf)
     narrow = cut_lineage(keyed.select("hash", "_leaf", tokens_in(F.col("note")).alias("tokens")))
     rows = fetch_bounded(narrow.groupBy("_leaf").agg(F.sum("tokens").alias("n")), MAX_LEAVES)
     if rows is None:
         raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
-    held = {tuple(r["_leaf"].split("\x1f")): r["n"] for r in rows}
+    names = {tuple(json.loads(r["_leaf"])): r["_leaf"] for r in rows}
+    held = {tuple(json.loads(r["_leaf"])): r["n"] for r in rows}
     goal = leaf_budgets(held, weights or {}, share * sum(held.values()), epochs)
-    plan = [("\x1f".join(p), *(divmod(goal[p], n) if n else (0, 0)), goal[p]) for p, n in sorted(held.items())]
-    plan = spark.createDataFrame(plan, "_leaf string, _whole long, _rest long, _budget long")
+    plan = [(names[p], *(divmod(goal[p], n) if n else (0, 0))) for p, n in sorted(held.items())]
+    plan = spark.createDataFrame(plan, "_leaf string, _whole long, _rest long")
 
     def ordered(df: DataFrame, plans: DataFrame) -> DataFrame:
         place = F.xxhash64(F.lit(seed), "_whole", "hash")

@@ -176,15 +176,17 @@ def train_quality(notes: DataFrame, grades: DataFrame, most: int = 20_000) -> Fo
 
     Only grades whose key is not :func:`held_out` are seen. At most ``most`` of them are
     used, those least by a hash of the key: a documented bound, so the fit costs the same
-    for any library. Null keys, null grades and grades without a note are left out.
+    for any library. Of several notes with one key the one least by a hash is learnt from.
+    Null keys, null grades and grades without a note are left out.
     """
     picked = cut_lineage(
         grades.where(F.col("keep").isin(0, 1) & F.col("hash").isNotNull() & ~held_out(F.col("hash")))
         .groupBy("hash").agg(F.max("keep").alias("keep")).orderBy(F.xxhash64("hash"), "hash").limit(most)
     )
     texts = notes.select("hash", "note").join(F.broadcast(picked), "hash")  # at most `most` rows
-    rows = texts.select(F.col("keep").cast("int").alias("keep"), _stats_udf()(F.coalesce("note", F.lit(""))).alias("x"), F.xxhash64("hash", "note").alias("k"))
-    rows = sorted(rows.limit(2 * most).collect(), key=lambda r: r["k"])
+    rows = texts.select("hash", F.col("keep").cast("int").alias("keep"), _stats_udf()(F.coalesce("note", F.lit(""))).alias("x"), F.xxhash64("hash", "note").alias("k"))
+    one = F.min(F.struct("k", "keep", "x")).alias("r")
+    rows = sorted((r["r"] for r in rows.groupBy("hash").agg(one).collect()), key=lambda r: r["k"])  # at most `most`
     return boost(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["keep"] for r in rows], dtype=float))
 
 
@@ -192,7 +194,7 @@ def graded_notes(notes: DataFrame, forest: Forest) -> DataFrame:
     """``notes`` with ``score``, from 0 to 1, and ``predicted``, 1 if the score is 0.5 or more.
 
     ``notes`` is (hash, note), the free text kept with a track, and any further columns,
-    all returned; only the note decides.
+    all returned but ``score`` and ``predicted``, which are replaced; only the note decides.
 
     * A null note scores as an empty one. Rows that repeat score alike.
     * An empty table gives no rows. Statistics are those of the whole text.
