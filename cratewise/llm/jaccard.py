@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.guards import cut_lineage
+from ..plans.guards import cut_lineage, release
 from .blocks import SOLID, LOWER, Fingerprints, bounded_side, mix, pieces, runs, signed
 from .components import components
 
@@ -77,6 +77,17 @@ class Order:
         inside = (marks - (ends[level] - mass[level])) / np.maximum(mass[level], 1)
         self.cuts = (level.astype(np.uint64) << np.uint64(56)) + (inside * float(1 << 56)).astype(np.uint64)
 
+    @classmethod
+    def from_parts(cls, levels: np.ndarray, shift: np.uint64, cuts: np.ndarray) -> Order:
+        order = object.__new__(cls)
+        order.levels, order.shift, order.cuts = levels, shift, cuts
+        return order
+
+    @property
+    def parts(self) -> tuple:
+        """Plain arrays, which reach a worker without this package; see :meth:`from_parts`."""
+        return self.levels, self.shift, self.cuts
+
     def keys(self, grams: np.ndarray) -> np.ndarray:
         return (self.levels[(grams >> self.shift).astype(np.int64)] << np.uint64(56)) | (mix(grams) >> np.uint64(8))
 
@@ -144,12 +155,13 @@ def _prefixes(order, width: int, percent: int):
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["gram", "sig", "n", "pos"])
 
+        ranked = Order.from_parts(*order.value)
         for batch in batches:
             out, held = [], 0
             for _, grams in shingle_sets(batch.column(0), width):
                 n = len(grams)
                 if n:
-                    first = np.sort(order.value.keys(grams))[: n - _share_of(n, percent) + 1]
+                    first = np.sort(ranked.keys(grams))[: n - _share_of(n, percent) + 1]
                     k = len(first)
                     out.append((first.view(np.int64), np.full(k, set_signature(grams)), np.full(k, n), np.arange(k)))
                     held += k
@@ -197,10 +209,11 @@ def _segments(order, width: int):
         return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(frags, pa.int32()), grams], names=["sig", "fragment", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked = Order.from_parts(*order.value)
         for batch in batches:
             sigs, frags, parts, held = [], [], [], 0
             for _, grams in shingle_sets(batch.column(0), width):
-                which = np.searchsorted(order.value.cuts, order.value.keys(grams), side="right")
+                which = np.searchsorted(ranked.cuts, ranked.keys(grams), side="right")
                 by = np.argsort(which, kind="stable")
                 bounds = np.flatnonzero(np.diff(which[by])) + 1
                 for part in np.split(by, bounds) if len(by) else []:
@@ -294,7 +307,7 @@ def note_links(
     counts = np.zeros((CHUNKS, buckets // CHUNKS), dtype=np.int64)
     for row in chunks:
         counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-    order = spark.sparkContext.broadcast(Order(counts.reshape(-1), fragments))
+    order = spark.sparkContext.broadcast(Order(counts.reshape(-1), fragments).parts)
 
     classes = cut_lineage(sets.where("n > 0").groupBy("sig", "n").agg(F.min("hash").alias("least"), F.count("*").alias("members")))
     many = sets.join(bounded_side(cut_lineage(classes.where("members > 1").select("sig", "least"))), "sig")
@@ -358,7 +371,11 @@ def note_links(
             break
         check(pairs)
         roots = components(links).select(F.col("node").alias("sig"), F.col("root").alias("r"))
-        placed = cut_lineage(shared.join(roots, "sig", "left").select("gram", "sig", "n", "pos", "seen", F.coalesce("r", "sig").alias("root")))
+        # n-grams whose notes are all in one component have nothing left to say
+        known = placed.drop("root").join(roots, "sig", "left").withColumn("root", F.coalesce("r", "sig")).drop("r")
+        apart = known.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+        old, placed = (shared, placed), cut_lineage(known.join(apart, "gram"))
+        release(*old)
     mixed = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     open_ = placed.join(mixed, "gram")
     check(untested(
@@ -420,7 +437,8 @@ def distinct_notes(notes: DataFrame, **options) -> DataFrame:
 
     It is the one with the smallest hash; a null hash comes last. Among texts with that
     hash the one of least checksum stays, among rows that repeat both the first by the
-    other columns. Blank and null notes of one hash, or of none, are a component.
+    other columns. Blank and null notes of one hash are a component; without a hash each
+    of them stays, as nothing links them. Columns of any name are kept.
 
     The texts are read once more and, where the rows that go are few enough to be
     broadcast, never shuffled; only rows with a repeated hash and text are.
@@ -433,16 +451,18 @@ def distinct_notes(notes: DataFrame, **options) -> DataFrame:
         ).groupBy("hash", "sum", "group", "kind").agg(F.count("*").alias("times"))
     )
     first = rows.groupBy("group", "kind").agg(F.min(F.struct(F.col("hash").isNull().alias("none"), "hash", "sum")).alias("first"))
-    named = rows.join(first, ["group", "kind"])
+    named = rows.where("kind <> 2").join(first, ["group", "kind"])
     stands = F.col("hash").eqNullSafe(F.col("first.hash")) & (F.col("sum") == F.col("first.sum"))
-    key = lambda t: t.select(F.col("hash").alias("_h"), F.col("sum").alias("_s"))
+    free = "_" * (1 + max(map(len, notes.columns)))  # longer than any name of the notes
+    h, s, at = free + "h", free + "s", free + "p"
+    key = lambda t: t.select(F.col("hash").alias(h), F.col("sum").alias(s))
     gone, repeated = cut_lineage(key(named.where(~stands))), cut_lineage(key(named.where(stands & (F.col("times") > 1))))
-    same = F.col("hash").eqNullSafe(F.col("_h")) & (checksum() == F.col("_s"))
+    same = F.col("hash").eqNullSafe(F.col(h)) & (checksum() == F.col(s))
     kept = notes.join(bounded_side(gone), same, "left_anti")
     if repeated.isEmpty():
         return kept
     others = [c for c in notes.columns if c not in ("hash", "note")]
     place = F.row_number().over(Window.partitionBy("hash", "note").orderBy(*(others or [F.lit(0)])))
     repeated = bounded_side(repeated)
-    one = kept.join(repeated, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    one = kept.join(repeated, same, "left_semi").withColumn(at, place).where(F.col(at) == 1).drop(at)
     return kept.join(repeated, same, "left_anti").unionByName(one)

@@ -62,19 +62,18 @@ def op7_note_classes(spark, folder):
 
 
 @query(
-    rf"""WITH w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    f"SELECT c.*, n_links FROM ({SQL['op7_note_classes']}) c JOIN (" + rf"""WITH w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 linked AS (SELECT x, count(*) AS k FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 80 * (s.n + t.n - o) GROUP BY x)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(k, 0)::BIGINT AS n_links
-FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN linked ON x = d.doc_id"""
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_links FROM documents d LEFT JOIN linked ON x = d.doc_id) USING (doc_id)"""
 )
 def op7_note_links(spark, folder):
     found = jaccard.note_classes(notes(table(spark, folder, "documents")), width=5, percent=80)
-    return found.select(F.col("hash").alias("doc_id"), "n_shingles", "n_links")
+    return found.withColumnRenamed("hash", "doc_id")
 
 
 @query()
@@ -276,7 +275,8 @@ _CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_spl
 hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy,
   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM raw),
 nr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
-fl AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, regexp_replace(text, '[ 	-]', '', 'g') AS solid,
+fl AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, regexp_replace(text, '[ 	-
+]', '', 'g') AS solid,
   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM nr),
 ft AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM fl),
 counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
