@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import knn, profiles, vectors
+from ..operators import index as I, knn, lsh, profiles, vectors
+from ..plans.guards import scratch_folder
 from .registry import query, table
 
 PAIRS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -34,6 +35,26 @@ def knn_recall(spark, d):
     return knn.recall(exact, near, "vec_id").select("asked", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("SELECT count(*) * 8 AS asked, true AS enough FROM embeddings")
+def knn_lsh_recall(spark, d):
+    """How much of the exact answer signed projections find: 0.9 at least."""
+    rows = table(spark, d, "embeddings")
+    exact, near = (knn.knn_join(rows, "vec_id", "embedding", 8, mode=m) for m in ("exact", "lsh"))
+    return knn.recall(exact, near, "vec_id").select("asked", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("SELECT count(*) * 8 AS asked, true AS enough, true AS spared FROM embeddings")
+def knn_lsh_clustered(spark, d):
+    """The same where labels are clusters, a quarter of each vector around its label's unit centre: fewer than half of all pairs are compared."""
+    e = table(spark, d, "embeddings")
+    centres = vectors.weighted_centroids(e, ["label"], "embedding").select("label", V.unit("centroid").alias("c"))
+    rows = e.join(centres, "label").select("vec_id", F.zip_with("embedding", "c", lambda x, c: x / 4 + c).alias("v"))
+    exact, near = (knn.knn_join(rows, "vec_id", "v", 8, mode=m) for m in ("exact", "lsh"))
+    reps = rows.select(F.col("vec_id").alias("vid"), V.unit("v").alias("unit"))
+    share = lsh.compared_share(reps, 64, lsh._sampled(reps, 9, 8, 5))
+    return knn.recall(exact, near, "vec_id").select("asked", (F.col("recall") >= 0.9).alias("enough"), F.lit(share < 0.5).alias("spared"))
+
+
 EDGES = f"""{PAIRS}, edges AS (SELECT least(vec_id, neighbour) AS a, greatest(vec_id, neighbour) AS b, round(max(sim), 3) AS sim
 FROM near WHERE rank <= 2 AND sim > 0 GROUP BY 1, 2)"""
 
@@ -91,6 +112,37 @@ def misread_audit(spark, d):
     return knn.misread_audit(_tracks(spark, d), "vec_id", "embedding", bounds=(0.4, 0.3, 0.3))
 
 
+def _stored(spark, d) -> I.VectorIndex:
+    """The index of the vectors as they are now: built by the first query that asks, opened by the others."""
+    e = table(spark, d, "embeddings")
+    n, digest = e.agg(F.count("*"), F.sum(F.xxhash64("vec_id", "embedding").cast("decimal(38,0)"))).first()
+    path = f"{scratch_folder(spark)}/vectors-{I.FORMAT}-{n}-{digest}"
+    return I.open_index(spark, path) or I.build_index(e, "vec_id", "embedding", path)
+
+
+OUTSIDE = PAIRS.replace("FROM e a JOIN e b ON a.vec_id <> b.vec_id", "FROM (SELECT vec_id, list_reverse(v) AS v FROM e) a JOIN e b ON true")
+
+
+def _outside(spark, d):
+    """Vectors that are not in the table: its own, back to front."""
+    return _tracks(spark, d).withColumn("embedding", F.reverse("embedding"))
+
+
+@query(f"WITH {OUTSIDE} SELECT vec_id, rank::INT AS rank, neighbour, round(sim, 6) AS sim FROM near WHERE rank <= 12")
+def similar_to_outside(spark, d):
+    """The twelve stored vectors nearest to each of many outside ones."""
+    near = _stored(spark, d).nearest(_outside(spark, d), "vec_id", "embedding", 12)
+    return near.select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {VERDICT.replace(PAIRS, OUTSIDE).format(conf=0.4, agree=0.3, sim=0.3)} SELECT * FROM verdict")
+def outside_verdicts(spark, d):
+    """The neighbour check of many outside vectors against the stored index."""
+    tracks = _tracks(spark, d)
+    styles = tracks.select("vec_id", "style", "family")
+    return I.check_outside(_stored(spark, d), _outside(spark, d), styles, "vec_id", "embedding", bounds=(0.4, 0.3, 0.3))
+
+
 @query("""WITH t AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7)
 SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], t.v), 4) AS sim FROM embeddings e, t WHERE e.vec_id <> 7
 ORDER BY sim DESC, vec_id LIMIT 12""")

@@ -16,6 +16,7 @@ what is left evenly:
 ``mode="ivf"`` stops after round one: approximate. Without a given number of ``probes``
 it compares a sample with everything and searches as many cells as hold SAMPLE_RECALL of
 the sample's neighbours: few where there are clusters, nearly all where there are none.
+``mode="lsh"`` files vectors under signed random projections instead (see :mod:`lsh`).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.guards import cut_lineage
+from .lsh import lsh_vectors
 
 MAX_CELLS = 4096
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -233,7 +235,7 @@ def knn_join(
     members, reps = _distinct_vectors(df, key, vec, k, eps)
     size = df.where(F.col(vec).isNotNull()).select(F.size(vec)).head(1)
     n, dim = (df.count(), size[0][0]) if size else (0, 1)
-    hits = knn_vectors(reps, n, dim, k + 1, mode, **options)
+    hits = lsh_vectors(reps, n, dim, k + 1, **options) if mode == "lsh" else knn_vectors(reps, n, dim, k + 1, mode, **options)
     near = hits.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "sim"))).alias("near"))
     others = F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("key")), 1, k)
     return (
