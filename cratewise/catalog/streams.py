@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.learn import stub_engines
+from ..functions.music import KEY_NAMES
+from ..operators.learn import Engines
 from ..plans.guards import scratch_folder
 from ..streaming import frames, ingest
 from .registry import STYLES, query, table
@@ -38,6 +39,22 @@ def frame_stream(spark, d):
     return rows.where("not late").drop("late")
 
 
+def _byte_engines(styles: list[str]) -> Engines:
+    """Features measured on the bytes themselves: how many fall to each style, their sum, their number."""
+
+    def genre(content: bytes) -> list:
+        counts = [0] * 256
+        for b in content:
+            counts[b] += 1
+        shares = [(s, sum(counts[i :: len(styles)]) / max(len(content), 1)) for i, s in enumerate(styles)]
+        return sorted(shares, key=lambda x: -x[1])
+
+    return Engines(
+        genre=genre, tempo=lambda c: 60.0 + sum(c) % 120, key=lambda c: (KEY_NAMES[sum(c) % 12], "minor" if len(c) % 2 else "major"),
+        duration=lambda c: len(c) / 4.0,
+    )
+
+
 def _ingested(spark, d):
     """The store after documents were streamed in as files, twice over."""
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".mp3"))
@@ -45,14 +62,26 @@ def _ingested(spark, d):
     for attempt in ("a", "b"):  # the second run starts over from nothing and must add nothing
         stream = _stream(spark, d, "documents")
         files = stream.select(path.alias("path"), F.encode("text", "utf-8").alias("content"))
-        ingest.run_ingest(files, f"{out}/store", f"{out}/log-{attempt}", stub_engines(sorted(STYLES.values())), minimum=50.0).awaitTermination()
+        ingest.run_ingest(files, f"{out}/store", f"{out}/log-{attempt}", _byte_engines(sorted(STYLES.values())), minimum=50.0).awaitTermination()
     return f"{out}/store"
 
 
-@query("SELECT sha1(text) AS hash, min('d/' || lpad(doc_id::VARCHAR, 9, '0') || '.mp3') AS path, strlen(text) / 4.0 AS duration FROM documents WHERE strlen(text) / 4.0 >= 50 GROUP BY sha1(text), strlen(text)")
+_STYLES = sorted(STYLES.values())
+_NAMES = ", ".join("'" + n + "'" for n in KEY_NAMES)
+BYTES = f"""f AS (SELECT sha1(text) AS hash, min('d/' || lpad(doc_id::VARCHAR, 9, '0') || '.mp3') AS path, any_value(text) AS text FROM documents WHERE strlen(text) / 4.0 >= 50 GROUP BY 1),
+h AS (SELECT hash, path, strlen(text) AS n, hex(encode(text)) AS x FROM f),
+b AS (SELECT hash, path, n, list_transform(range(n), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::INT) AS b FROM h),
+c AS (SELECT hash, path, n, list_sum(b)::BIGINT AS total, list_transform(range({len(_STYLES)}), lambda r: len(list_filter(b, lambda v: v % {len(_STYLES)} = r))) AS k FROM b)"""
+
+
+@query(f"""WITH {BYTES} SELECT hash, path, n / 4.0 AS duration, (60 + total % 120)::DOUBLE AS bpm, [{_NAMES}][(total % 12 + 1)::INT] AS key, CASE WHEN n % 2 = 1 THEN 'minor' ELSE 'major' END AS scale,
+{_STYLES}[list_position(k, list_max(k))] AS style, round(list_max(k) / n, 6) AS score FROM c""")
 def ingest_documents(spark, d):
-    """Documents as a stream of files: hashed, deduplicated, analysed, gated by length and appended; run twice."""
-    return ingest.read_store(spark, _ingested(spark, d)).select("hash", "path", "duration")
+    """Documents as a stream of files: hashed, deduplicated, measured, gated by length and committed batch by batch; run twice."""
+    top = F.col("styles")[0]
+    return ingest.read_store(spark, _ingested(spark, d)).select(
+        "hash", "path", "duration", "bpm", "key", "scale", top["style"].alias("style"), F.round(top["score"], 6).alias("score")
+    )
 
 
 @query("""WITH f AS (SELECT DISTINCT sha1(text) AS hash, strlen(text) / 4.0 AS duration FROM documents)

@@ -233,27 +233,6 @@ class Engines:
     duration: Callable
 
 
-def stub_engines(styles: list[str]) -> Engines:
-    """Deterministic engines seeded by the content, for tests."""
-
-    def rng(content: bytes) -> np.random.Generator:
-        import zlib
-
-        return np.random.default_rng(zlib.crc32(content))
-
-    def genre(content: bytes) -> list:
-        scores = rng(content).dirichlet(np.ones(len(styles)))
-        order = np.argsort(-scores)[:READ_LENGTH]
-        return [(styles[i], float(scores[i])) for i in order]
-
-    return Engines(
-        genre=genre,
-        tempo=lambda c: float(80 + rng(c).integers(0, 100)),
-        key=lambda c: ("C", "minor" if rng(c).integers(0, 2) else "major"),
-        duration=lambda c: float(len(c)) / 4.0,
-    )
-
-
 ANALYSIS_SCHEMA = (
     "styles array<struct<style:string,score:double>>, bpm double, key string, scale string, duration double, error string"
 )

@@ -1,7 +1,9 @@
 import hashlib
 import struct
 import xml.dom.minidom
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,7 +91,48 @@ def test_sinks_round_trip(spark, tmp_path):
     assert text == ["#EXTM3U", "#EXTINF:-1,A - T", "http://x/h", "#EXTINF:-1,Track", "http://x/g"]
 
 
-ENGINES = learn.stub_engines(["House", "Techno", "Trance"])
+def stand_ins():
+    """An analyser's answers, drawn from the content."""
+    def seeded(content):
+        return np.random.default_rng(zlib.crc32(content))
+
+    return learn.Engines(
+        genre=lambda c: sorted(zip(["House", "Techno", "Trance"], seeded(c).dirichlet(np.ones(3)).tolist(), strict=True), key=lambda x: -x[1]),
+        tempo=lambda c: float(80 + seeded(c).integers(0, 100)), key=lambda c: ("C", "minor" if seeded(c).integers(0, 2) else "major"),
+        duration=lambda c: len(c) / 4.0,
+    )
+
+
+ENGINES = stand_ins()
+
+
+@pytest.mark.parametrize("where", ["before", "after"])
+def test_a_batch_that_stops_at_its_commit_is_stored_once(spark, folder, tmp_path, monkeypatch, where):
+    def totals(store):
+        return sorted(map(tuple, ingest.ingest_report(spark, store).collect()), key=str)
+
+    whole, broken, log = str(tmp_path / "whole"), str(tmp_path / "broken"), str(tmp_path / "cp")
+    options = {"minimum": 0.5}
+    ingest.ingest_stream(spark, str(folder), whole, str(tmp_path / "cp0"), ENGINES, **options).awaitTermination(120)
+    commit, calls = ingest.BatchLog.commit, []
+
+    def stops(self, run, number, rows):
+        calls.append(1)
+        if where == "after":
+            commit(self, run, number, rows)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(ingest.BatchLog, "commit", stops)
+    with pytest.raises(Exception, match="stopped"):
+        ingest.ingest_stream(spark, str(folder), broken, log, ENGINES, **options).awaitTermination(120)
+    assert calls and (totals(broken) == []) == (where == "before")
+    monkeypatch.setattr(ingest.BatchLog, "commit", commit)
+    for _ in range(2):
+        ingest.ingest_stream(spark, str(folder), broken, log, ENGINES, **options).awaitTermination(120)
+        assert totals(broken) == totals(whole) != []
+    key = lambda store: sorted((r["hash"], r["path"], r["bpm"]) for r in ingest.read_store(spark, store).collect())
+    assert key(broken) == key(whole)
+    assert ingest.BatchLog(spark, broken).commit(*[n.rsplit("-", 1) for n in [p.stem for p in (tmp_path / "broken" / "log").glob("*.json")]][0], "rows-none") is False
 
 
 def test_ingest_is_idempotent_in_batch_and_stream(spark, folder, tmp_path):
