@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..plans.guards import cut_lineage
 
-LEAF = 128
+LEAF = 32
 SHRINK = 1.4
+FANOUT = 16  # children of a node
 
 
 @dataclass
@@ -39,10 +40,12 @@ class Tree:
 
 
 def build_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
-    """A cover tree: a node's children lie within ``radius / SHRINK`` of centres that are farther apart than that.
+    """A cover tree, level by level: a node's children lie around centres that are each the farthest point left.
 
-    A node of at most LEAF points, of equal points, or whose points do not gather around
-    few centres stays a leaf.
+    Such centres are a net: after any number of them, they are farther apart than what
+    they leave uncovered. A node takes centres until they cover it within
+    ``radius / SHRINK``, FANOUT at most; where points do not gather, the level shrinks
+    less and there are more levels. A node of at most LEAF points or of equal points is a leaf.
     """
     order: list[np.ndarray] = []
     nodes: list[tuple] = []
@@ -60,13 +63,13 @@ def build_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
         kids.append([])
         if len(index) > LEAF and radius > 0:
             reach, nearest, owner, found = radius / SHRINK, gap.copy(), np.zeros(len(index), dtype=np.int64), 1
-            while nearest.max() > reach and found * 16 <= len(index):
+            while nearest.max() > reach and found < FANOUT:
                 far = at[nearest.argmax()]
                 other = np.sqrt(((at - far) ** 2).sum(1))
                 closer = other < nearest
                 owner[closer], nearest = found, np.minimum(nearest, other)
                 found += 1
-            if nearest.max() <= reach and found > 1:
+            if found > 1:
                 kids[me] = [grow(index[owner == k]) for k in range(found) if (owner == k).any()]
         if not kids[me]:
             order.append(index)
@@ -92,6 +95,7 @@ class Best:
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.floor = -np.inf
+        self.visited = self.left = 0  # pairs of nodes looked at, and left at once
         self.kth = np.full(n, -np.inf)
 
     def take(self, rows: slice, tree: Tree, cols: slice) -> None:
@@ -129,6 +133,8 @@ class Best:
         bound = tree.center[nodes] @ q.center[a] + q.norm[a] * tree.radius[nodes] + (tree.norm[nodes] + tree.radius[nodes]) * q.radius[a]
         bound = bound + 1e-6 * (1 + np.abs(bound))
         live = bound >= self.kth[q.start[a] : q.end[a]].min()
+        self.visited += len(live)
+        self.left += int((~live).sum())
         return (live, bound) if bounds else live
 
 

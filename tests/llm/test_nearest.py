@@ -1,6 +1,7 @@
 """Cover trees: exact ranks, invariants, dirty vectors."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cratewise.llm import covertree
@@ -68,3 +69,26 @@ def test_search_prunes_what_cannot_matter():
     best.take = lambda rows, t, cols: (seen.append(cols.stop - cols.start), take(rows, t, cols))
     best.walk(tree)
     assert sum(seen) < 4400 and (best.id < 400).all()
+
+
+@pytest.mark.parametrize("gathered", [False, True])
+def test_trees_of_the_given_vectors_have_levels(gathered):
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    points = np.floor(np.array(table["embedding"]) * 64)
+    if gathered:  # a tenth of each vector around its label's
+        heads = np.floor(np.random.default_rng(3).normal(size=(10, 64)) * 16)
+        points = np.floor(points / 10) + heads[np.array(table["label"])]
+    ids = np.array(table["vec_id"])
+    tree, asked = covertree.build_tree(points, ids), covertree.build_tree(points[ids % 20 == 0], ids[ids % 20 == 0])
+
+    def depth(i):
+        return 1 + max((depth(k) for k in tree.kids[i]), default=0)
+
+    assert depth(0) >= 3 and len(tree.radius) > 60
+    best = covertree.Best(asked, 20)
+    best.walk(tree)
+    print("pairs of nodes visited", best.visited, "left", best.left)
+    assert best.left > 0 if gathered else best.visited > 1000
+    for q in range(len(asked.ids)):
+        scores = sorted((-int(s), int(i)) for s, i in zip(points @ asked.points[q], ids, strict=True) if i != asked.ids[q])[:20]
+        assert [(-int(s), int(i)) for s, i in zip(best.score[q], best.id[q], strict=True)] == scores
