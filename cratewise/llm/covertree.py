@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from ..plans.guards import cut_lineage
 
-LEAF = 32
+LEAF = 64
+FEW = 16  # points that make a child of their own
 SHRINK = 1.4
 FANOUT = 16  # children of a node
+HANDFUL = 16  # leaves that a leaf of queries meets at once
 
 
 @dataclass
@@ -45,7 +47,8 @@ def build_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
     Such centres are a net: after any number of them, they are farther apart than what
     they leave uncovered. A node takes centres until they cover it within
     ``radius / SHRINK``, FANOUT at most; where points do not gather, the level shrinks
-    less and there are more levels. A node of at most LEAF points or of equal points is a leaf.
+    less and there are more levels. Centres with fewer than FEW points share one child. A
+    node of at most LEAF points, of equal points, or that does not part is a leaf.
     """
     order: list[np.ndarray] = []
     nodes: list[tuple] = []
@@ -69,8 +72,12 @@ def build_tree(points: np.ndarray, ids: np.ndarray) -> Tree:
                 closer = other < nearest
                 owner[closer], nearest = found, np.minimum(nearest, other)
                 found += 1
-            if found > 1:
-                kids[me] = [grow(index[owner == k]) for k in range(found) if (owner == k).any()]
+            sizes = np.bincount(owner, minlength=found)
+            alone = np.flatnonzero(sizes >= FEW)
+            rest = index[sizes[owner] < FEW]
+            parts = [index[owner == k] for k in alone] + ([rest] if len(rest) else [])
+            if len(parts) > 1:
+                kids[me] = [grow(part) for part in parts]
         if not kids[me]:
             order.append(index)
             placed += len(index)
@@ -98,8 +105,8 @@ class Best:
         self.visited = self.left = 0  # pairs of nodes looked at, and left at once
         self.kth = np.full(n, -np.inf)
 
-    def take(self, rows: slice, tree: Tree, cols: slice) -> None:
-        """Meet a run of queries with a run of points."""
+    def take(self, rows: slice, tree: Tree, cols: slice | np.ndarray) -> None:
+        """Meet a run of queries with some points."""
         scores = self.q.points[rows] @ tree.points[cols].T
         scores[self.q.ids[rows][:, None] == tree.ids[cols][None, :]] = -np.inf
         good = scores >= self.kth[rows][:, None]
@@ -113,15 +120,26 @@ class Best:
             self.kth[r] = max(self.floor, self.score[r, -1])
 
     def walk(self, tree: Tree) -> None:
-        """Both trees together, most promising children first."""
-        q = self.q
+        """Both trees together, most promising children first; a leaf of queries meets the leaves below a node in handfuls."""
+        q, leaves = self.q, np.flatnonzero([not len(k) for k in tree.kids])
         stack = [(0, 0)]
         while stack:
             a, b = stack.pop()
             if not self._open(a, tree, np.array([b]))[0]:
                 continue
-            if len(tree.kids[b]) and (not len(q.kids[a]) or tree.radius[b] >= q.radius[a]):
+            if len(tree.kids[b]) and not len(q.kids[a]):
+                below = leaves[(tree.start[leaves] >= tree.start[b]) & (tree.end[leaves] <= tree.end[b])]
+                bound = self._open(a, tree, below, True)[1]
+                below, bound = below[np.argsort(-bound, kind="stable")], np.sort(bound)[::-1]
+                for at in range(0, len(below), HANDFUL):
+                    some = below[at : at + HANDFUL][bound[at : at + HANDFUL] >= self.kth[q.start[a] : q.end[a]].min()]
+                    self.left += min(HANDFUL, len(below) - at) - len(some)
+                    if len(some):
+                        cols = np.concatenate([np.arange(tree.start[x], tree.end[x]) for x in some])
+                        self.take(slice(q.start[a], q.end[a]), tree, cols)
+            elif len(tree.kids[b]) and tree.radius[b] >= q.radius[a]:
                 live, bound = self._open(a, tree, tree.kids[b], True)
+                self.left += int((~live).sum())
                 stack += [(a, int(x)) for x in tree.kids[b][live][np.argsort(bound[live])]]
             elif len(q.kids[a]):
                 stack += [(int(x), b) for x in q.kids[a]]
@@ -134,7 +152,7 @@ class Best:
         bound = bound + 1e-6 * (1 + np.abs(bound))
         live = bound >= self.kth[q.start[a] : q.end[a]].min()
         self.visited += len(live)
-        self.left += int((~live).sum())
+        self.left += 0 if bounds else int((~live).sum())
         return (live, bound) if bounds else live
 
 

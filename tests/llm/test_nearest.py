@@ -66,7 +66,7 @@ def test_search_prunes_what_cannot_matter():
     best = covertree.Best(covertree.build_tree(rng.normal(size=(50, 4)) + 20, np.arange(10_000, 10_050)), 5)
     seen = []
     take = best.take
-    best.take = lambda rows, t, cols: (seen.append(cols.stop - cols.start), take(rows, t, cols))
+    best.take = lambda rows, t, cols: (seen.append(len(t.ids[cols])), take(rows, t, cols))
     best.walk(tree)
     assert sum(seen) < 4400 and (best.id < 400).all()
 
@@ -84,11 +84,11 @@ def test_trees_of_the_given_vectors_have_levels(gathered):
     def depth(i):
         return 1 + max((depth(k) for k in tree.kids[i]), default=0)
 
-    assert depth(0) >= 3 and len(tree.radius) > 60
+    assert depth(0) >= 3 and len(tree.radius) > 30
     best = covertree.Best(asked, 20)
     best.walk(tree)
     print("pairs of nodes visited", best.visited, "left", best.left)
-    assert best.left > 0 if gathered else best.visited > 1000
+    assert best.left > 0 if gathered else best.visited > 100
     for q in range(len(asked.ids)):
         scores = sorted((-int(s), int(i)) for s, i in zip(points @ asked.points[q], ids, strict=True) if i != asked.ids[q])[:20]
         assert [(-int(s), int(i)) for s, i in zip(best.score[q], best.id[q], strict=True)] == scores
