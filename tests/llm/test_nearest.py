@@ -79,7 +79,7 @@ def test_trees_of_the_given_vectors_have_levels(gathered):
         heads = np.floor(np.random.default_rng(3).normal(size=(10, 64)) * 16)
         points = np.floor(points / 10) + heads[np.array(table["label"])]
     ids = np.array(table["vec_id"])
-    tree, asked = covertree.build_tree(points, ids), covertree.build_tree(points[ids % 20 == 0], ids[ids % 20 == 0])
+    tree, asked = covertree.build_tree(points, ids), covertree.build_tree(points[ids % 4 == 0], ids[ids % 4 == 0])
 
     def depth(i):
         return 1 + max((depth(k) for k in tree.kids[i]), default=0)
@@ -88,7 +88,7 @@ def test_trees_of_the_given_vectors_have_levels(gathered):
     best = covertree.Best(asked, 20)
     best.walk(tree)
     print("pairs of nodes visited", best.visited, "left", best.left)
-    assert best.left > 0 if gathered else best.visited > 100
+    assert best.visited > 100 and (best.left > 0 or not gathered)
     for q in range(len(asked.ids)):
         scores = sorted((-int(s), int(i)) for s, i in zip(points @ asked.points[q], ids, strict=True) if i != asked.ids[q])[:20]
         assert [(-int(s), int(i)) for s, i in zip(best.score[q], best.id[q], strict=True)] == scores
