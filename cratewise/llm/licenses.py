@@ -58,7 +58,11 @@ class Automaton:
     must: frozenset[bytes]
     opens: frozenset[bytes] | None
 
-    def longest(self, word: Callable[[int], bytes], start: int, end: int, reach: dict[tuple[int, int], int]) -> int:
+    def longest(self, words: list[bytes]) -> int:
+        """How many of the leading ``words`` the longest accepted reading takes; 0 if none."""
+        return max(self.stop(words.__getitem__, 0, len(words), {}), 0)
+
+    def stop(self, word: Callable[[int], bytes], start: int, end: int, reach: dict[tuple[int, int], int]) -> int:
         """Where the longest accepted reading of the words from ``start`` to ``end`` stops; -1 if there is none.
 
         ``reach`` keeps, for all starts in one text, how far a state at a word gets, so
@@ -170,7 +174,7 @@ class Scanner:
                 done, reach = a, {}
                 for i in tries.tolist():
                     if i >= done:
-                        stop = automaton.longest(word, i, b, reach)
+                        stop = automaton.stop(word, i, b, reach)
                         if stop > i:
                             out[r]["matches"].append((i - a, stop - a, automaton.label))
                             done = stop

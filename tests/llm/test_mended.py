@@ -42,7 +42,7 @@ def test_readings_are_the_longest_whatever_their_length(markup):
         for _ in range(30):
             words, reach = [rng.choice(pool) for _ in range(n)], {}
             for i in range(n + 1):
-                assert automaton.longest(words.__getitem__, i, n, reach) == plain_longest(words, automaton.steps, automaton.jumps, i)
+                assert automaton.stop(words.__getitem__, i, n, reach) == plain_longest(words, automaton.steps, automaton.jumps, i)
 
 
 def test_a_holder_of_forty_words_is_read(spark):
