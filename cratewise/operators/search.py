@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import music, text as T
-from ..plans.ranks import nearest_rank, order_stats
+from ..plans import scan
+from ..plans.ranks import group_rank, nearest_rank, order_stats
 
 SEARCH_LIMIT = 8
 
@@ -165,27 +166,63 @@ def harmonic_matches(tracks: DataFrame, key: str, camelot: str, bpm: float | Non
     return hits if self_key is None else hits.where(F.col(key) != self_key)
 
 
-OCTAVE_BUCKETS = 11  # one bucket of the tempo octave is wider than any compatible pair is apart
+_NEAR_ENDS = 16  # half steps of a double that an end is looked for on either side
+
+
+def _tempo_windows(tempos: DataFrame) -> DataFrame:
+    """(bpm, v, kind, sign): first (kind 0) and last (2) tempo that mixes with each bpm at half, equal and double time.
+
+    Ends are exact to the double: inside a window the rule is monotone on either side,
+    so an end is the outermost neighbour of the rounded end for which the rule holds.
+    """
+    t = music.BPM_TOLERANCE
+    ends = [  # factor of the end, whether other tempos are above, octaves between, last of its window
+        (1 / (2 * (1 + t)), False, 2, False), (1 / (2 * (1 - t)), False, 2, True),
+        (1 / (1 + t), False, 1, False), (1 + t, True, 1, True),
+        (2 * (1 - t), True, 2, False), (2 * (1 + t), True, 2, True),
+    ]
+    own = F.col("bpm").cast("double")
+    stepped = tempos.select("bpm", *[(own * f).alias(f"_v{i}") for i, (f, *_) in enumerate(ends)]).select(
+        "*", *[F.pow(F.lit(2.0), F.floor(F.log2(f"_v{i}")) - 53).alias(f"_s{i}") for i in range(len(ends))]
+    )
+    near = F.array(*[F.lit(k) for k in range(-_NEAR_ENDS, _NEAR_ENDS + 1)])
+
+    def end(i: int) -> Column:
+        _, above, octave, last = ends[i]
+        ratio = (lambda x: F.try_divide(x, own)) if above else (lambda x: F.try_divide(own, x))
+        at = F.transform(near, lambda k: F.col(f"_v{i}") + F.col(f"_s{i}") * k)
+        held = F.filter(at, lambda x: F.abs(ratio(x) / octave - 1) <= t)
+        point = (F.array_max if last else F.array_min)(held)
+        return F.named_struct(F.lit("v"), point, F.lit("kind"), F.lit(2 if last else 0), F.lit("sign"), F.lit(1 if last else -1))
+
+    return stepped.select("bpm", F.explode(F.array(*[end(i) for i in range(len(ends))])).alias("_w")).select("bpm", "_w.*").where("v IS NOT NULL")
 
 
 def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     """(key, partners): how many other tracks each track mixes with.
 
     Tracks are first counted per distinct (camelot, bpm), so a popular key and tempo
-    is one row. Those cells meet on an equi-join of compatible key and neighbouring
-    tempo bucket on the octave circle; the exact tempo rule is the residual.
+    is one row. A cell asks its four codes for three windows of tempo. Cells and the
+    windows' ends are sorted together once per code, and a window is the difference of
+    two running counts, so no two cells meet: n log n whatever the tempos.
     """
-    keyed = tracks.where(music.wheel_number(F.col("camelot")).isNotNull() & (F.col("bpm").isNull() | (F.col("bpm") >= 0)))
-    cells = keyed.groupBy("camelot", "bpm").agg(F.count(F.lit(1)).alias("c"))
-    octave = F.log2("bpm") - F.floor(F.log2("bpm"))
-    timed = cells.where("bpm > 0").withColumn(
-        "bucket", F.least(F.lit(OCTAVE_BUCKETS - 1).cast("long"), F.floor(octave * OCTAVE_BUCKETS))
+    code = F.concat(music.wheel_number(F.col("camelot")).cast("string"), music.wheel_letter(F.col("camelot")))
+    coded = tracks.select(key, "bpm", code.alias("camelot"))
+    cells = coded.where(F.col("camelot").isNotNull() & (F.col("bpm").isNull() | (F.col("bpm") >= 0))).groupBy("camelot", "bpm").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    timed = cells.where("bpm > 0")
+    windows = _tempo_windows(timed.select("bpm").distinct())
+    asks = timed.select("camelot", "bpm", F.explode(music.compatible_codes(F.col("camelot"))).alias("code")).join(windows, "bpm")
+    # At one tempo the windows that start there come before its tracks, those that end there after them.
+    line = timed.select(F.col("camelot").alias("code"), F.col("bpm").cast("double").alias("v"), F.lit(1).alias("kind"), "c").unionByName(
+        asks.select("code", "v", "kind").distinct().withColumn("c", F.lit(0).cast("long"))
+    )
+    sorted_line = group_rank(line, ["code"], [F.col("v"), F.col("kind")], out="_i")
+    counts = scan.running_sum(sorted_line, ["code"], "_i", F.col("c"), "_before", scan.chunk_for(sorted_line, "_i"))
+    timed_hits = asks.join(counts.where("kind <> 1").select("code", "v", "kind", "_before"), ["code", "v", "kind"]).groupBy("camelot", "bpm").agg(
+        F.sum(F.col("sign") * F.col("_before")).alias("hits")
     )
-    near = F.array(*[F.pmod(F.col("bucket") + d, F.lit(OCTAVE_BUCKETS)) for d in (-1, 0, 1)])
-    asks = timed.withColumn("camelot2", F.explode(music.compatible_codes(F.col("camelot")))).withColumn("bucket", F.explode(near))
-    other = timed.select(F.col("camelot").alias("camelot2"), "bucket", F.col("bpm").alias("bpm2"), F.col("c").alias("c2"))
-    met = asks.join(other, ["camelot2", "bucket"]).where(music.bpms_compatible(F.col("bpm"), F.col("bpm2")))
-    timed_hits = met.groupBy("camelot", "bpm").agg(F.sum("c2").alias("hits"))
     untimed = cells.groupBy("camelot").agg(F.sum("c").alias("all"), F.sum(F.when(F.col("bpm").isNull(), F.col("c"))).alias("nobpm"))
     reach = untimed.select(F.col("camelot").alias("camelot2"), "all", "nobpm")
     wide = untimed.select("camelot", F.explode(music.compatible_codes(F.col("camelot"))).alias("camelot2")).join(reach, "camelot2").groupBy(
@@ -194,11 +231,11 @@ def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     timed_hits = timed_hits.select(F.col("camelot").alias("_c"), F.col("bpm").alias("_b"), "hits")
     scored = cells.join(wide, "camelot").join(timed_hits, (F.col("camelot") == F.col("_c")) & (F.col("bpm") == F.col("_b")), "left").select(
         "camelot", "bpm",
-        F.when(F.col("bpm").isNull(), F.col("any_bpm") - 1).when(F.col("bpm") == 0, F.col("unknown"))
+        F.when(F.col("bpm").isNull(), F.col("any_bpm") - 1).when(~music.bpms_compatible(F.col("bpm"), F.col("bpm")), F.col("unknown"))
         .otherwise(F.coalesce("hits", F.lit(0)) + F.col("unknown") - 1).alias("partners"),
     )
     per_cell = scored.select(F.col("camelot").alias("_k"), F.col("bpm").alias("_b"), "partners")
-    return tracks.join(per_cell, (F.col("camelot") == F.col("_k")) & F.col("bpm").eqNullSafe(F.col("_b")), "left").select(
+    return coded.join(per_cell, (F.col("camelot") == F.col("_k")) & F.col("bpm").eqNullSafe(F.col("_b")), "left").select(
         key, F.coalesce("partners", F.lit(0)).cast("long").alias("partners")
     )
 

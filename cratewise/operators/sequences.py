@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import dims
-from ..plans import scan
+from ..plans import dyadic, scan
 from ..plans.ranks import group_rank
 
 # Salience floor and slope, frame and read lengths, lens and wave settings.
@@ -28,9 +28,9 @@ GATE = 0.2
 PROMINENCE = 2.0
 
 
-def with_frame_index(df: DataFrame, key: str, order: list[Column], out: str = "frame_idx") -> DataFrame:
+def with_frame_index(df: DataFrame, key: str | list[str], order: list[Column], out: str = "frame_idx") -> DataFrame:
     """Dense 0-based index of each row in its key's order."""
-    return group_rank(df, [key], order, out="_r").withColumn(out, F.col("_r") - 1).drop("_r")
+    return group_rank(df, [key] if isinstance(key, str) else key, order, out="_r").withColumn(out, F.col("_r") - 1).drop("_r")
 
 
 def frame_topk(scores: DataFrame, key: str, k: int = FRAME_LENGTH) -> DataFrame:
@@ -272,16 +272,38 @@ def steady_siblings(topk: DataFrame, key: str, groups: DataFrame | None = None,
 def majority_smooth(segments: DataFrame, key: str, win: int) -> DataFrame:
     """(key, frame_idx, style): the commonest style within +/- win frames.
 
-    Ties go to the style met first in the window. Each frame votes for its
-    neighbours, so the work is a plain aggregate.
+    Ties go to the style met first in the window. Every frame of a style marks where
+    it enters the moving window and where it leaves. Between two marks of a style its
+    count and its first frame in the window stand still, so a style is a list of
+    intervals and a frame takes the best interval over it: rows do not grow with win.
     """
+    chunk = scan.chunk_for(segments, "frame_idx")
+    series = [key, "style"]
+    votes = segments.groupBy(*series, "frame_idx").agg(F.count(F.lit(1)).alias("_c"))
+    mark = lambda place, change, gone: F.struct(place.alias("at"), change.alias("change"), gone.alias("gone"))
+    both = F.array(
+        mark(F.col("frame_idx") - win, F.col("_c"), F.lit(0).cast("long")),
+        mark(F.col("frame_idx") + win + 1, -F.col("_c"), F.lit(1).cast("long")),
+    )
+    marks = votes.select(*series, F.explode(both).alias("_m")).groupBy(*series, F.col("_m.at").alias("_at")).agg(
+        F.sum("_m.change").alias("_change"), F.sum("_m.gone").alias("_gone")
+    )
+    placed = with_frame_index(marks, series, [F.col("_at")], "_i")
+    counted = scan.running_sum(placed, series, "_i", F.col("_change"), "_count", chunk)
+    passed = scan.running_sum(counted, series, "_i", F.col("_gone"), "_nth", chunk)
+    spans = scan.neighbour(passed, series, "_i", F.col("_at"), "_next", 1, chunk).where(F.col("_count") > 0)
+    # The first frame in the window is the one after all that have left it.
+    firsts = with_frame_index(votes, series, [F.col("frame_idx")], "_nth").select(
+        F.col(key).alias("_k"), F.col("style").alias("_s"), "_nth", F.col("frame_idx").alias("_first")
+    )
+    met = (F.col(key) == F.col("_k")) & F.col("style").eqNullSafe(F.col("_s")) & (spans["_nth"] == firsts["_nth"])
     size = segments.groupBy(key).agg(F.max("frame_idx").alias("_last"))
-    votes = segments.select(
-        key, "style", F.col("frame_idx").alias("src"), F.explode(F.expr(f"sequence(frame_idx - {win}, frame_idx + {win})")).alias("frame_idx")
-    ).where(F.col("frame_idx") >= 0)
-    counts = votes.groupBy(key, "frame_idx", "style").agg(F.count(F.lit(1)).alias("c"), F.min("src").alias("first"))
-    best = counts.groupBy(key, "frame_idx").agg(F.max_by("style", F.struct("c", -F.col("first"))).alias("style"))
-    return best.join(size, key).where(F.col("frame_idx") <= F.col("_last")).drop("_last")
+    inside = spans.join(firsts, met).select(key, "style", "_at", "_next", "_count", "_first").join(size, key).select(
+        key, F.greatest(F.col("_at"), F.lit(0)).alias("_lo"), F.least(F.col("_next"), F.col("_last") + 1).alias("_hi"),
+        F.struct((-F.col("_count")).alias("c"), F.col("_first").alias("first"), "style").alias("_vote"),
+    )
+    best = dyadic.best_at(inside, [key], "_lo", "_hi", F.col("_vote"), "_vote", "frame_idx")
+    return best.select(key, "frame_idx", F.col("_vote.style").alias("style"))
 
 
 def runs(segments: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
@@ -375,17 +397,26 @@ def change_points(segments: DataFrame, key: str) -> DataFrame:
 def interval_labels(frames: DataFrame, key: str, position: str, spans: DataFrame) -> DataFrame:
     """Frames with the label of the first span covering them, ``[start, end)``.
 
-    Spans are matched on the whole-unit buckets they touch, so a track with many
-    spans is an equi-join on (key, bucket) and not a scan of all its spans.
+    Of the spans over a frame the one with the least start, then end, then genre counts.
+    Spans are turned into ranges of a track's distinct positions by two ranks, and the
+    best range over each position comes from aligned nodes: a span of a whole week
+    costs a few rows, and no bucket width has to suit long and short spans alike.
+    A null position, or a span with a null or empty extent, meets nothing.
     """
-    width = spans.agg(F.greatest(F.lit(1.0), F.max(F.col("end_s") - F.col("start_s")) / 8).alias("w")).select("w").scalar()
-    cut = spans.withColumn("_w", width).withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("start_s") / F.col("_w")), F.floor(F.col("end_s") / F.col("_w"))))
-    ).drop("_w")
-    placed = frames.withColumn("_b", F.floor(F.col(position) / width))
-    hits = placed.join(cut, [key, "_b"]).where((F.col(position) >= F.col("start_s")) & (F.col(position) < F.col("end_s")))
-    labels = hits.groupBy(key, position).agg(F.min_by("genre", F.struct("start_s", "end_s", "genre")).alias("label"))
-    return frames.join(labels, [key, position], "left")
+    place = F.col(position).cast("double")
+    real = spans.select(key, F.col("start_s").cast("double"), F.col("end_s").cast("double"), "genre").where(F.col("start_s") < F.col("end_s"))
+    places = frames.select(key, place.alias("_p")).where(F.col("_p").isNotNull()).distinct()
+    ends = real.select(key, F.explode(F.array("start_s", "end_s")).alias("_p")).distinct()
+    # An end sorts before a frame at the same position: what is before it is what it leaves out.
+    line = places.withColumn("_frame", F.lit(1)).unionByName(ends.withColumn("_frame", F.lit(0)))
+    ranked = group_rank(group_rank(line, [key], [F.col("_p"), F.col("_frame")], out="_r"), [key, "_frame"], [F.col("_p")], out="_w")
+    cuts = ranked.where("_frame = 0").select(key, "_p", (F.col("_r") - F.col("_w")).alias("_i"))
+    cut = lambda end, out: cuts.select(key, F.col("_p").alias(end), F.col("_i").alias(out))
+    ranges = real.join(cut("start_s", "_lo"), [key, "start_s"]).join(cut("end_s", "_hi"), [key, "end_s"])
+    best = dyadic.best_at(ranges, [key], "_lo", "_hi", F.struct("start_s", "end_s", "genre"), "_best", "_i")
+    index = ranked.where("_frame = 1").select(key, "_p", (F.col("_w") - 1).alias("_i"))
+    labels = index.join(best, [key, "_i"]).select(key, "_p", F.col("_best.genre").alias("label"))
+    return frames.withColumn("_p", place).join(labels, [key, "_p"], "left").select(*frames.columns, "label")
 
 
 def valid_spans(spans: DataFrame, durations: DataFrame, key: str) -> DataFrame:
