@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music, text as T
@@ -198,13 +198,17 @@ def _tempo_windows(tempos: DataFrame) -> DataFrame:
     return stepped.select("bpm", F.explode(F.array(*[end(i) for i in range(len(ends))])).alias("_w")).select("bpm", "_w.*").where("v IS NOT NULL")
 
 
-def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
+_LINE_ROWS = 25  # a cell and its six ends in four codes
+
+
+def harmonic_counts(tracks: DataFrame, key: str, small: int = scan.LONG_SERIES) -> DataFrame:
     """(key, partners): how many other tracks each track mixes with.
 
     Tracks are first counted per distinct (camelot, bpm), so a popular key and tempo
     is one row. A cell asks its four codes for three windows of tempo. Cells and the
     windows' ends are sorted together once per code, and a window is the difference of
-    two running counts, so no two cells meet: n log n whatever the tempos.
+    two running counts, so no two cells meet: n log n whatever the tempos. Up to ``small``
+    rows of cells and ends take one window per code, more are ranked by ranges.
     """
     code = F.concat(music.wheel_number(F.col("camelot")).cast("string"), music.wheel_letter(F.col("camelot")))
     coded = tracks.select(key, "bpm", code.alias("camelot"))
@@ -218,8 +222,11 @@ def harmonic_counts(tracks: DataFrame, key: str) -> DataFrame:
     line = timed.select(F.col("camelot").alias("code"), F.col("bpm").cast("double").alias("v"), F.lit(1).alias("kind"), "c").unionByName(
         asks.select("code", "v", "kind").distinct().withColumn("c", F.lit(0).cast("long"))
     )
-    sorted_line = group_rank(line, ["code"], [F.col("v"), F.col("kind")], out="_i")
-    counts = scan.running_sum(sorted_line, ["code"], "_i", F.col("c"), "_before", scan.chunk_for(sorted_line, "_i"))
+    if timed.count() * _LINE_ROWS <= small:
+        counts = line.withColumn("_before", F.sum("c").over(Window.partitionBy("code").orderBy("v", "kind")))
+    else:
+        sorted_line = group_rank(line, ["code"], [F.col("v"), F.col("kind")], out="_i")
+        counts = scan.running_sum(sorted_line, ["code"], "_i", F.col("c"), "_before")
     timed_hits = asks.join(counts.where("kind <> 1").select("code", "v", "kind", "_before"), ["code", "v", "kind"]).groupBy("camelot", "bpm").agg(
         F.sum(F.col("sign") * F.col("_before")).alias("hits")
     )

@@ -64,14 +64,15 @@ def test_window_mode_equals_a_plain_count(spark, win):
     assert got == want
 
 
-def test_tempo_windows_are_exact_at_their_ends(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_tempo_windows_are_exact_at_their_ends(spark, small):
     """Tempos placed on and beside every end of a window, codes in several spellings."""
     rng = random.Random(4)
     base = [round(rng.uniform(40, 220), rng.choice((0, 1, 3))) for _ in range(25)] + [100.0, 0.0, None, float("nan")]
     tempos = base + [b * f * (1 + e) for b in base[:12] for f in (1.06, 1 / 1.06, 1.88, 2.12, 1 / 1.88, 1 / 2.12) for e in (0, 2e-16, -2e-16, 1e-9)]
     rows = [(i, rng.choice(("8A", " 8a", "08A", "9A", "8B", "1A", "12A", "H", None)), b) for i, b in enumerate(tempos)]
     df = spark.createDataFrame(rows, "id long, camelot string, bpm double")
-    got = {r["id"]: r["partners"] for r in search.harmonic_counts(df, "id").collect()}
+    got = {r["id"]: r["partners"] for r in search.harmonic_counts(df, "id", small=small).collect()}
     other = df.select(*[F.col(c).alias(c + "2") for c in df.columns])
     ok = search.music.keys_compatible(F.col("camelot"), F.col("camelot2")) & search.music.bpms_compatible(F.col("bpm"), F.col("bpm2")) & (F.col("id") != F.col("id2"))
     pairs = df.join(other, ok).groupBy("id").count()
