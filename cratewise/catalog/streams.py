@@ -39,6 +39,25 @@ def frame_stream(spark, d):
     return rows.where("not late").drop("late")
 
 
+@query(
+    """WITH RECURSIVE seen AS (SELECT *, (epoch_us(ts) + 999) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) AS passed FROM events),
+"""
+    + STREAMED.replace("FROM events WINDOW", "FROM seen WHERE passed WINDOW")
+    + " SELECT user_id, frame_idx, style FROM held"
+)
+def frame_stream_timed(spark, d):
+    """The same frames by event time: each waits in map state until a watermark of an hour has passed it (R2)."""
+    top = F.array(F.struct(F.col("event_type").alias("style"), F.col("value").alias("score")))
+    stream = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("frame_idx"), "ts", top.alias("top"))
+    out = f"{scratch_folder(spark)}/timed-{uuid.uuid4().hex}"
+    labelled = frames.label_timed(stream, "user_id", "ts", delay="1 hour")
+    labelled.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").outputMode("append").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    rows = spark.read.schema("user_id long, frame_idx long, style string, late boolean").parquet(f"{out}/rows")
+    return rows.where("not late").drop("late")
+
+
 def _byte_engines(styles: list[str]) -> Engines:
     """Features measured on the bytes themselves: how many fall to each style, their sum, their number."""
 

@@ -1,11 +1,17 @@
-"""Frame labelling as frames arrive (R2): the hold-until-beaten rule with state per track."""
+"""Frame labelling as frames arrive (R2): the hold-until-beaten rule with state per track.
+
+:func:`label_stream` orders frames by their index alone and keeps a track for ever;
+:func:`label_timed` goes by event time, lets early frames wait and forgets tracks that ended.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sequences import HOLD, MARGIN, hysteresis_step
@@ -46,3 +52,129 @@ def label_stream(frames: DataFrame, key: str, margin: float = MARGIN, hold: int
         step, f"{key} {kind}, frame_idx long, style string, late boolean",
         f"held string, rival string, count long, last long, waiting array<struct<frame_idx:bigint,top:{top_kind}>>", "append", GroupStateTimeout.NoTimeout,
     )
+
+
+class _TimedLabels(StatefulProcessor):
+    """Per track: the held style as a value, waiting frames as a map, one event-time timer.
+
+    A row is (key, frame_idx, top, _ms). Of waiting frames only the indices are read into
+    memory; their tops stay in the state store until it is their turn.
+    """
+
+    HELD = "held string, rival string, run long, last long, seen long, due long"
+
+    def __init__(self, name: str, top_kind: str, margin: float, hold: int, contiguous: bool, idle: int) -> None:
+        self.name, self.kind, self.idle = name, top_kind, idle
+        self.margin, self.hold, self.contiguous = margin, hold, contiguous
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.HELD)
+        self.waiting = handle.getMapState("waiting", "frame_idx long", f"ms long, top {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        track = self._load()
+        early = {k[0] for k in self.waiting.keys()}
+        for row in rows:
+            idx = row["frame_idx"]
+            if idx <= track["last"] or idx in early:
+                yield self._row(key, idx, None, True)
+                continue
+            track["seen"] = max(track["seen"], row["_ms"])
+            if self.contiguous and idx == track["last"] + 1:
+                yield self._label(key, track, idx, row["top"])
+            else:
+                self.waiting.updateValue((idx,), (row["_ms"], row["top"]))
+                early.add(idx)
+        yield from self._release(key, track, early, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        track = self._load()
+        track["due"] = None  # that timer has gone off
+        early = {k[0] for k in self.waiting.keys()}
+        yield from self._release(key, track, early, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> dict:
+        if not self.held.exists():
+            return {"held": None, "rival": None, "run": 0, "last": -1, "seen": 0, "due": None}
+        return dict(zip(("held", "rival", "run", "last", "seen", "due"), self.held.get()))
+
+    def _row(self, key, idx: int, style: str | None, late: bool) -> Row:
+        return Row(**{self.name: key[0], "frame_idx": idx, "style": style, "late": late})
+
+    def _label(self, key, track: dict, idx: int, top: list) -> Row:
+        state = (track["held"], track["rival"], track["run"])
+        track["held"], track["rival"], track["run"] = hysteresis_step(state, [(e["style"], e["score"]) for e in top], self.margin, self.hold)
+        track["last"] = idx
+        return self._row(key, idx, track["held"], False)
+
+    def _release(self, key, track: dict, early: set, passed: int) -> Iterator[Row]:
+        """Label what need not wait any more, then set the timer or let the track go."""
+        due = None
+        for idx in sorted(early):
+            ms, top = self.waiting.getValue((idx,))
+            if ms > passed and not (self.contiguous and idx == track["last"] + 1):
+                due = ms
+                break
+            self.waiting.removeKey((idx,))
+            yield self._label(key, track, idx, top)
+        if due is None:
+            due = track["seen"] + self.idle
+            if due <= passed:
+                if track["due"] is not None:
+                    self.handle.deleteTimer(track["due"])
+                self.held.clear()
+                return
+        if due != track["due"]:
+            if track["due"] is not None:
+                self.handle.deleteTimer(track["due"])
+            self.handle.registerTimer(due)
+        track["due"] = due
+        self.held.update(tuple(track[c] for c in ("held", "rival", "run", "last", "seen", "due")))
+
+
+def _millis(time: str) -> Column:
+    """Event time in milliseconds, rounded up: once the watermark is there, nothing earlier can come."""
+    return F.ceil(F.unix_micros(time) / 1000).cast("long")
+
+
+def label_timed(
+    frames: DataFrame, key: str, time: str, delay: str = "10 minutes", idle: int = 86400, contiguous: bool = False,
+    margin: float = MARGIN, hold: int = HOLD,
+) -> DataFrame:
+    """(key, frame_idx, style, late) for a stream of (key, frame_idx, top, time), in whatever order it comes.
+
+    Within a track later frames have higher indices. A frame waits in the state until the
+    watermark, ``delay`` behind the latest time seen, has passed its time, for nothing
+    before it can come then. With ``contiguous`` the frames of a track count 0, 1, 2, ...
+    and one is labelled as soon as all before it are there; the watermark only closes gaps
+    left by frames that never came. So the styles are those of batch hysteresis over the
+    labelled frames, however batches are cut and ordered.
+
+    * Rows at or before the watermark on arrival are dropped and counted by Spark
+      (``numRowsDroppedByWatermark``). A replayed frame, or one before the last labelled
+      one, comes back with ``late`` true and no style and changes nothing.
+    * A track with nothing waiting leaves the state ``idle`` seconds after its last frame
+      by event time. If it comes again after that it starts anew, from index 0 with
+      ``contiguous``.
+    * Frames with a null time never pass a watermark: they are left out. A frame with an
+      empty or null ``top`` is left out as well.
+
+    The state store must be RocksDB; the session is set to it.
+    """
+    spark = frames.sparkSession
+    # Map state and timers exist for this provider only.
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    kind, top_kind = (frames.schema[c].dataType.simpleString() for c in (key, "top"))
+    timed = frames.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zoned time
+    sound = timed.where(F.col(time).isNotNull() & (F.size("top") > 0)).withWatermark(time, delay)
+    rows = sound.select(key, F.col("frame_idx").cast("long").alias("frame_idx"), "top", time, _millis(time).alias("_ms"))
+    processor = _TimedLabels(key, top_kind, margin, hold, contiguous, idle * 1000)
+    return rows.groupBy(key).transformWithState(
+        processor, f"{key} {kind}, frame_idx long, style string, late boolean", "append", "EventTime"
+    )
