@@ -3,14 +3,18 @@
 Tracks are hashed into thousands of slots once and for all. A small table says which
 shard each slot belongs to; re-balancing edits that table and stores it under the next
 version, so that only the tracks of edited slots move. DataFrame expressions only.
+
+    <store>/version=<n>   the whole map of one version, renamed into place when written
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.guards import cut_lineage
+from ..plans.guards import cut_lineage, scratch_folder
 
 SLOTS = 4096
 _MAP = "array<struct<slot:int,shard:int>>"
@@ -81,18 +85,91 @@ def edited_map(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def balanced_map(tracks: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(placed, maps): all tracks with their slots, and the stored versions 0 and 1 of the map."""
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def stored_versions(spark: SparkSession, store: str) -> list[int]:
+    """The versions that a store holds, in order; empty for a folder that is not there."""
+    files, where = _files(spark, store)
+    names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def stored_map(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """(version, vslot, shard) of one stored version, the newest if none is named."""
+    if version is None:
+        version = max(stored_versions(spark, store))
+    rows = spark.read.schema("vslot int, shard int").parquet(f"{store}/version={version}")
+    return rows.select(F.lit(version).alias("version"), "vslot", "shard")
+
+
+def store_map(slot_map: DataFrame, store: str, version: int) -> DataFrame:
+    """``slot_map`` stored as ``version`` and read back. A stored version is never written again.
+
+    Rows are written aside and renamed, so a version is there whole or not at all. One
+    edit of a store goes on at a time.
+    """
+    spark = slot_map.sparkSession
+    files, target = _files(spark, f"{store}/version={version}")
+    if files.exists(target):
+        raise ValueError(f"version {version} is stored already")
+    draft = f"{store}/draft-{uuid.uuid4().hex}"
+    slot_map.select("vslot", "shard").coalesce(1).write.parquet(draft)
+    if not files.rename(_files(spark, draft)[1], target):
+        raise OSError(f"version {version} could not be stored")
+    return stored_map(spark, store, version)
+
+
+def rebalanced(spark: SparkSession, loads: DataFrame, shards: int, slots: int, store: str) -> DataFrame:
+    """The map of ``store`` after one edit for these loads.
+
+    An empty store gets version 0 first. When no slot has to move, nothing is stored and
+    the newest version stays.
+    """
+    if not stored_versions(spark, store):
+        store_map(first_map(spark, shards, slots), store, 0)
+    now = stored_map(spark, store)
+    if now.count() != slots:
+        raise ValueError(f"the stored map does not have {slots} slots; tracks are hashed to a fixed number of them")
+    edited = cut_lineage(edited_map(now, loads, shards).coalesce(1))
+    moved = now.join(edited.select("vslot", F.col("shard").alias("to")), "vslot").where("shard <> to")
+    return now if moved.isEmpty() else store_map(edited, store, max(stored_versions(spark, store)) + 1)
+
+
+def _fresh(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/slots-{uuid.uuid4().hex}"
+
+
+def _placed(tracks: DataFrame, shards: int, slots: int, store: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, loads, map): tracks with their slots, bytes per slot, the map edited for them."""
     placed = cut_lineage(slotted(tracks, slots))
-    loads = cut_lineage(slot_loads(placed, slots))
-    zero = first_map(tracks.sparkSession, shards, slots)
-    return placed, cut_lineage(zero.unionByName(edited_map(zero, loads, shards)).join(loads, "vslot").coalesce(1))
+    loads = cut_lineage(slot_loads(placed, slots).coalesce(1))
+    return placed, loads, rebalanced(tracks.sparkSession, loads, shards, slots, store)
+
+
+def balanced_map(tracks: DataFrame, shards: int, slots: int = SLOTS, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, maps): all tracks with their slots, and every stored version of the map with today's loads.
+
+    Without ``store`` the map starts from version 0 in a new folder of the shared one.
+    """
+    spark = tracks.sparkSession
+    store = store or _fresh(spark)
+    placed, loads, _ = _placed(tracks, shards, slots, store)
+    maps = None
+    for version in stored_versions(spark, store):
+        one = stored_map(spark, store, version)
+        maps = one if maps is None else maps.unionByName(one)
+    return placed, maps.join(loads, "vslot")
 
 
-def shard_tracks(tracks: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def shard_tracks(tracks: DataFrame, shards: int = 24, slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """(hash, size, crc, vslot, shard, slot) of every track, shards of near-equal bytes.
 
-    ``tracks`` is (hash, payload). ``shard`` runs from 0; ``slot`` is the track's place
+    ``tracks`` is (hash, payload). The newest map in ``store`` is edited for the tracks'
+    bytes and stored under the next version; only tracks of edited slots change shards.
+    Without ``store`` the map starts anew. ``shard`` runs from 0; ``slot`` is the track's place
     in its shard, gapless from 0: its place in its virtual slot after the tracks of the
     shard's earlier slots, so no shard is ever one task's work.
 
@@ -101,8 +178,8 @@ def shard_tracks(tracks: DataFrame, shards: int = 24, slots: int = SLOTS) -> Dat
       and stand in it one after another.
     * An empty table gives no rows; a track of any size goes whole to one shard.
     """
-    placed, maps = balanced_map(tracks, shards, slots)
-    current = maps.where("version = 1")
+    placed, loads, now = _placed(tracks, shards, slots, store or _fresh(tracks.sparkSession))
+    current = now.join(loads, "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = current.select("vslot", "shard", F.coalesce(F.sum("tracks").over(before), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("vslot").orderBy("hash", "crc", "size"))
