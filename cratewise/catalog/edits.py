@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import edits as E
+from ..operators import reuse
+from ..plans.guards import scratch_folder
 from ..plans.ranks import group_rank
-from .registry import query, table
+from .registry import STYLE_SQL, query, style_of, table
 
 
 def _talk(spark, d):
@@ -185,3 +189,22 @@ def artist_leaderboard(spark, d):
     rows = table(spark, d, "part").groupBy(F.lower(F.substring_index("p_name", " ", 1)).alias("artist")).agg(F.floor(F.max("p_size") / 10).alias("stars"))
     placed = group_rank(rows, [], [-F.col("stars"), F.lower("artist")], out="place")
     return placed.select(F.col("place").cast("long").alias("place"), "artist", "stars").orderBy("place")
+
+
+@query(f"""WITH e AS (SELECT user_id, {STYLE_SQL} AS style, value, ts::DATE = (SELECT max(ts)::DATE FROM events) AS newest FROM events),
+u AS (SELECT user_id, bool_or(newest) AS recomputed FROM e GROUP BY 1)
+SELECT user_id, style, round(sum(value), 2) AS score, any_value(recomputed) AS recomputed FROM e JOIN u USING (user_id) GROUP BY 1, 2""")
+def reused_reads(spark, d):
+    """Style scores per user kept from before the last day; that day's users are worked out again, then nothing is."""
+    home = f"{scratch_folder(spark)}/reuse-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("user_id", style_of().alias("style"), "value", F.to_date("ts").alias("day"))
+    last = events.agg(F.max("day")).first()[0]
+
+    def reads(rows):
+        return rows.groupBy("user_id", "style").agg(F.round(F.sum("value"), 2).alias("score"))
+
+    for days in (F.col("day") < F.lit(last), F.col("day") == F.lit(last), None):
+        if days is not None:
+            events.where(days).write.mode("append").parquet(f"{home}/source")
+        kept = reuse.reused(spark.read.schema(events.schema).parquet(f"{home}/source"), "user_id", reads, f"{home}/store")
+    return kept.rows.select("user_id", "style", "score", (F.col("gen") > 0).alias("recomputed"))
